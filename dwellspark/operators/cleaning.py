@@ -38,17 +38,22 @@ def reject_reason(require: list[str]) -> Column:
     return reason
 
 
-def split_rejects(cleaned: DataFrame, require: list[str] = [KEY, "description"]) -> tuple[DataFrame, DataFrame]:
-    """Rows fit for the table in its types, and the others with a ``reason`` column.
+def to_table_types(cleaned: DataFrame, require: list[str] = [KEY, "description"]) -> DataFrame:
+    """Cleaned rows in the types of the table, with the ``reason`` a row cannot be stored.
 
-    A bad row is set aside by itself, so it cannot fail the rows around it.
+    Still one projection: a bad row is marked by itself and fails no other.
     """
-    marked = cleaned.withColumns(
-        {name: F.lit(None) for name in [KEY, *DATA_FIELDS] if name not in cleaned.columns}
-    ).withColumn("reason", reject_reason(require))
     types = {name: LISTING[name].dataType for name in [KEY, *DATA_FIELDS]}
-    extra = [c for c in cleaned.columns if c not in types]
-    columns = [F.col(name).try_cast(kind).alias(name) for name, kind in types.items() if name not in FLAG_FIELDS]
-    columns += [F.coalesce(F.col(name).try_cast("boolean"), F.lit(False)).alias(name) for name in FLAG_FIELDS]
-    good = marked.where("reason is null").select(*columns, *extra)
-    return good.select(KEY, *DATA_FIELDS, *extra), marked.where("reason is not null")
+    absent = {name: F.lit(None).cast(kind) for name, kind in types.items() if name not in cleaned.columns}
+    marked = cleaned.withColumns(absent).withColumn("reason", reject_reason(require))
+    typed = {name: F.col(name).try_cast(kind) for name, kind in types.items()}
+    typed |= {name: F.coalesce(typed[name], F.lit(False)) for name in FLAG_FIELDS}
+    return marked.withColumns(typed)
+
+
+def split_rejects(cleaned: DataFrame, require: list[str] = [KEY, "description"]) -> tuple[DataFrame, DataFrame]:
+    """Rows fit for the table, and the others with their values as they came and a ``reason``."""
+    good = to_table_types(cleaned, require).where("reason is null").drop("reason")
+    absent = {name: F.lit(None).cast("string") for name in ["rooms", *require] if name not in cleaned.columns}
+    bad = cleaned.withColumns(absent).withColumn("reason", reject_reason(require)).where("reason is not null")
+    return good, bad

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dwellspark.functions.phrases import structured_text
-from dwellspark.functions.vectors import vector_dim
 from dwellspark.schema import VECTOR
 
 # Default model, its vector size and the texts per encoder call.
@@ -32,16 +32,30 @@ def not_blank(text: Column) -> Column:
     return F.when(F.length(F.trim(text)) > 0, text)
 
 
-def token_buckets(text: Column, dim: int) -> Column:
-    """Bucket of every white-space token: 32 bits of its md5 modulo ``dim``."""
-    tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
-    return F.transform(
-        tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    )
+def token_buckets(tokens: pa.Array, dim: int) -> np.ndarray:
+    """Bucket of every token: the first 32 bits of its md5 modulo ``dim``.
+
+    Each distinct token of the batch is hashed once.
+    """
+    coded = tokens.dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter((int.from_bytes(md5(w).digest()[:4]) for w in words), np.int64, len(words))
+    return (hashes % dim)[coded.indices.to_numpy()]
+
+
+def vector_array(rows: np.ndarray, known: np.ndarray) -> pa.Array:
+    """The rows as vectors at the places where ``known`` is set, NULL elsewhere."""
+    dim = rows.shape[1]
+    offsets = np.concatenate([[0], np.cumsum(known * dim)]).astype(np.int32)
+    values = pa.array(rows.astype(np.float32).ravel())
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(~known))
 
 
 class HashingEmbedder:
-    """Token hashing, for runs without a model. Deterministic and free of state."""
+    """Hashed counts of the white-space tokens, for runs without a model.
+
+    Deterministic and free of state; a text without a token gets NULL.
+    """
 
     def __init__(self, dim: int = 64, normalize: bool = True):
         self.name = f"hashing-{dim}"
@@ -52,19 +66,20 @@ class HashingEmbedder:
         dim, normalize = self.dim, self.normalize
 
         @F.arrow_udf(VECTOR)
-        def count(buckets: pa.Array) -> pa.Array:
-            sizes = np.diff(buckets.offsets.to_numpy())
-            cell = np.repeat(np.arange(len(buckets)) * dim, sizes)
-            counts = np.bincount(cell + buckets.flatten().to_numpy(), minlength=len(buckets) * dim)
-            rows = counts.reshape(len(buckets), dim).astype(np.float64)
+        def embed(texts: pa.Array) -> pa.Array:
+            n = len(texts)
+            parts = pc.ascii_split_whitespace(texts.fill_null(""))
+            row = np.repeat(np.arange(n), pc.list_value_length(parts).to_numpy())
+            tokens = parts.flatten()
+            real = pc.not_equal(tokens, "")
+            cell = row[real.to_numpy(zero_copy_only=False)] * dim + token_buckets(tokens.filter(real), dim)
+            rows = np.bincount(cell, minlength=n * dim).reshape(n, dim).astype(np.float64)
             length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
             if normalize:
                 rows /= np.where(length > 0, length, 1.0)[:, None]
-            flat = pa.array(rows.astype(np.float32).ravel())
-            offsets = pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * dim)
-            return pa.ListArray.from_arrays(offsets, flat, mask=pa.array(length == 0))
+            return vector_array(rows[length > 0], length > 0)
 
-        return count(F.coalesce(token_buckets(text, dim), F.array().cast("array<int>")))
+        return embed(F.lower(text))
 
 
 class ModelEmbedder:
@@ -79,19 +94,18 @@ class ModelEmbedder:
     def column(self, text: Column) -> Column:
         name, batch, normalize, load = self.name, self.batch, self.normalize, self.load
 
-        @F.pandas_udf(VECTOR)
-        def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(VECTOR)
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = load(name)
-            for texts in parts:
-                known = texts.notna()
-                vectors = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            for texts in batches:
+                known = texts.is_valid().to_numpy(zero_copy_only=False)
+                rows = np.empty((0, 0))
                 if known.any():
                     rows = model.encode(
-                        list(texts[known]), batch_size=batch, convert_to_numpy=True,
+                        texts.drop_null().to_pylist(), batch_size=batch, convert_to_numpy=True,
                         normalize_embeddings=normalize, show_progress_bar=False,
                     )
-                    vectors[known] = [row.astype(np.float32) for row in rows]
-                yield vectors
+                yield vector_array(rows, known)
 
         return encode(not_blank(text))
 
@@ -141,8 +155,3 @@ def dimensions(vectors: DataFrame, names: list[str]) -> DataFrame:
         )
     )
 
-
-__all__ = [
-    "Embedder", "HashingEmbedder", "ModelEmbedder", "dimensions", "embed_column", "embed_listings", "embed_text",
-    "token_buckets", "vector_dim",
-]

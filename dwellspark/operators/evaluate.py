@@ -32,13 +32,22 @@ def top_changed(a: Column, b: Column) -> Column:
     return F.element_at(a, 1) != F.element_at(b, 1)
 
 
-def compare_rankings(regular: DataFrame, multivector: DataFrame, k: int = TOP_K) -> DataFrame:
-    """One row per query: both id lists, their overlap, and the gain in the best score."""
+def compare_rankings(hits: DataFrame, k: int = TOP_K) -> DataFrame:
+    """One row per query: both id lists, their overlap, and the gain in the best score.
 
-    def side(hits: DataFrame, name: str) -> DataFrame:
-        return top_ids(hits, k).withColumnsRenamed({"top_ids": f"{name}_top_ids", "top_score": f"{name}_top_score"})
+    ``hits`` has both rankings, told apart by ``list``: regular and multivector. A query
+    that only one of them answers has nothing to compare and drops out.
+    """
+    first = F.col("rank") <= k
+
+    def side(name: str) -> list[Column]:
+        own = first & (F.col("list") == name)
+        ordered = F.array_sort(F.collect_list(F.when(own, F.struct("rank", "id"))))
+        ids = F.transform(ordered, lambda x: x["id"]).alias(f"{name}_top_ids")
+        return [ids, F.max(F.when(own, F.col("score"))).alias(f"{name}_top_score")]
 
-    joined = side(regular, "regular").join(side(multivector, "multivector"), "query_id")
+    joined = hits.groupBy("query_id").agg(*side("regular"), *side("multivector"))
+    joined = joined.where((F.size("regular_top_ids") > 0) & (F.size("multivector_top_ids") > 0))
     a, b = F.col("regular_top_ids"), F.col("multivector_top_ids")
     return joined.select(
         "query_id",

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from dwellspark.operators.knn import gather_queries, knn, knn_batch, top_hits
+from dwellspark.operators.knn import knn, knn_batch, knn_lists, top_hits
 from dwellspark.schema import VECTOR_NAMES
 
 
@@ -30,12 +30,9 @@ def max_sim_batch(
     return knn_batch(index, queries, k, names, prefix, **sizes)
 
 
-def fuse(lists: Sequence[DataFrame], k: int) -> DataFrame:
-    """Union of hit lists, the best score per query and item, the best ``k`` of each query."""
-    union = lists[0].select("query_id", "id", "score")
-    for hits in lists[1:]:
-        union = union.unionByName(hits.select("query_id", "id", "score"))
-    best = union.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+def fuse(hits: DataFrame, k: int) -> DataFrame:
+    """The best score per query and item over all hit lists, the best ``k`` of each query."""
+    best = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return top_hits(best, k).select("query_id", "rank", "id", "score")
 
 
@@ -44,8 +41,8 @@ def fuse_max_sim(
 ) -> DataFrame:
     """List form: the ``2k`` best by each vector, fused.
 
-    Gives the same as ``max_sim_batch``, with a scan per vector: an item that is among the
-    best ``k`` by its better vector is among the best ``k`` of that vector's list as well.
+    Gives the same as ``max_sim_batch``: an item that is among the best ``k`` by its better
+    vector is among the best ``k`` of that vector's list as well.
     """
-    gathered = gather_queries(queries.drop("limit"))
-    return fuse([knn_batch(index, gathered, 2 * k, name, prefix, **sizes) for name in names], k)
+    lists = {name: [name] for name in names}
+    return fuse(knn_lists(index, queries.drop("limit"), 2 * k, lists, prefix, **sizes), k)

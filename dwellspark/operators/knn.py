@@ -102,24 +102,25 @@ def _hit_schema(queries: pa.Table | DataFrame) -> T.StructType:
             T.StructField("id", T.LongType()),
             T.StructField("score", T.DoubleType()),
             T.StructField("limit", T.IntegerType()),
+            T.StructField("list", T.IntegerType()),
         ]
     )
 
 
-def _scan_with_queries(items: DataFrame, queries: pa.Table, vectors: list[str], k: int, schema: T.StructType) -> DataFrame:
+def _scan_with_queries(items: DataFrame, queries: pa.Table, lists: list[list[str]], k: int, schema: T.StructType) -> DataFrame:
     """Small query table: one pass over the items, every task holds all queries."""
     shared = items.sparkSession.sparkContext.broadcast(queries)
     names = schema.names
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in best_items(batches, QueryBlock(shared.value, k), vectors):
+        for columns in best_items(batches, QueryBlock(shared.value, k), lists):
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return _covering_filter(items, queries).mapInArrow(scan, schema)
 
 
 def _join_by_block(
-    items: DataFrame, queries: DataFrame, vectors: list[str], k: int, schema: T.StructType, block_rows: int
+    items: DataFrame, queries: DataFrame, lists: list[list[str]], k: int, schema: T.StructType, block_rows: int
 ) -> DataFrame:
     """Large query table: a grid of item blocks and query blocks.
 
@@ -143,14 +144,14 @@ def _join_by_block(
 
     def cell(item_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         batches = item_rows.combine_chunks().to_batches()
-        (columns,) = best_items(batches, QueryBlock(query_rows, k), vectors)
-        return pa.Table.from_arrays(columns, names)
+        found = best_items(batches, QueryBlock(query_rows, k), lists)
+        return pa.concat_tables(pa.Table.from_arrays(columns, names) for columns in found)
 
     keys = ["_item_block", "_query_block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
 
 
-def top_hits(hits: DataFrame, k: int) -> DataFrame:
+def top_hits(hits: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
     """The best ``k`` of every query out of many partial lists, with their rank.
 
     Two steps, so that one query over very many tasks is not merged by a single one; both
@@ -158,8 +159,8 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
     """
     order = [F.desc("score"), F.asc("id")]
     group = F.pmod(F.xxhash64("id"), F.lit(MERGE_GROUPS))
-    partial = Window.partitionBy("query_id", "_group").orderBy(*order)
-    final = Window.partitionBy("query_id").orderBy(*order)
+    partial = Window.partitionBy(*by, "_group").orderBy(*order)
+    final = Window.partitionBy(*by).orderBy(*order)
     return (
         hits.withColumn("_group", group)
         .withColumn("_place", F.row_number().over(partial))
@@ -170,31 +171,46 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
-def knn_batch(
+def knn_lists(
     items: DataFrame,
     queries: DataFrame | pa.Table,
-    k: int = 10,
-    using: str | Sequence[str] = "embedding",
+    k: int,
+    lists: Mapping[str, Sequence[str]],
     prefix: str = "",
     broadcast_queries: int = BROADCAST_QUERIES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The best items for each row of a query table: (query_id, rank, id, score).
+    """Several rankings of the same items from one scan: (list, query_id, rank, id, score).
 
-    ``queries`` has query_id, vector and, if wanted, limit and any of the filter columns
-    (NULL is no filter); or it is what ``gather_queries`` returned for such a table. With several named vectors an item counts with its best one. ``k``
-    bounds the limits. A query's filters apply before its similarity counts.
+    ``lists`` names each ranking and the vectors it takes the best similarity of. ``queries``
+    has query_id, vector and, if wanted, limit and any of the filter columns (NULL is no
+    filter); or it is what ``gather_queries`` returned for such a table. ``k`` bounds the
+    limits. A query's filters apply before its similarity counts.
     """
-    vectors = [using] if isinstance(using, str) else list(using)
+    vectors = [list(names) for names in lists.values()]
     if isinstance(queries, DataFrame):
         queries = gather_queries(queries, broadcast_queries)
     given = queries.column_names if isinstance(queries, pa.Table) else queries.columns
     needed = sorted({FILTERS[name][0] for name in FILTERS if name in given})
-    items = items.select("id", *vectors, *[F.col(prefix + name).alias(name) for name in needed])
+    columns = dict.fromkeys(sum(vectors, []))
+    items = items.select("id", *columns, *[F.col(prefix + name).alias(name) for name in needed])
     schema = _hit_schema(queries)
     if isinstance(queries, pa.Table):
         hits = _scan_with_queries(items, queries, vectors, k, schema)
     else:
         hits = _join_by_block(items, queries, vectors, k, schema, block_rows)
-    ranked = top_hits(hits, k).where(F.col("rank") <= F.col("limit"))
-    return ranked.select("query_id", "rank", "id", "score")
+    ranked = top_hits(hits, k, ("list", "query_id")).where(F.col("rank") <= F.col("limit"))
+    name = F.element_at(F.array(*[F.lit(n) for n in lists]), F.col("list") + 1)
+    return ranked.select(name.alias("list"), "query_id", "rank", "id", "score")
+
+
+def knn_batch(
+    items: DataFrame, queries: DataFrame | pa.Table, k: int = 10, using: str | Sequence[str] = "embedding",
+    prefix: str = "", **sizes: int,
+) -> DataFrame:
+    """The best items for each row of a query table: (query_id, rank, id, score).
+
+    With several named vectors an item counts with its best one. See ``knn_lists``.
+    """
+    names = [using] if isinstance(using, str) else list(using)
+    return knn_lists(items, queries, k, {"hits": names}, prefix, **sizes).drop("list")

@@ -7,6 +7,7 @@ query. Only those leave the task, never all (query, item) pairs.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -82,22 +83,25 @@ class QueryBlock:
             mask = passes if mask is None else mask & passes
         return mask
 
-    def scores(self, items: pa.RecordBatch | pa.Table, vectors: list[str]) -> np.ndarray:
-        """(query, item) matrix: the best similarity over the named vectors, -inf if excluded."""
-        best = None
-        for name in vectors:
-            rows = unit_rows(items[name])
-            if rows.shape[1] and self.vectors.shape[1]:
-                similarity = self.vectors @ rows.T
-            else:
-                similarity = np.full((len(self.ids), items.num_rows), np.nan)
-            best = similarity if best is None else np.fmax(best, similarity)
-        best = np.round(best, SCORE_DIGITS)
-        best[np.isnan(best)] = -np.inf
+    def similarities(self, items: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+        """(query, item) matrix of one named vector; NaN where either vector is missing."""
+        rows = unit_rows(items[name])
+        if rows.shape[1] and self.vectors.shape[1]:
+            return self.vectors @ rows.T
+        return np.full((len(self.ids), items.num_rows), np.nan)
+
+    def scores(self, items: pa.RecordBatch | pa.Table, lists: list[list[str]]) -> list[np.ndarray]:
+        """Per list of vector names the best similarity over them, -inf for an excluded item."""
+        single = {name: self.similarities(items, name) for name in dict.fromkeys(sum(lists, []))}
         mask = self.admits(items)
-        if mask is not None:
-            best[~mask] = -np.inf
-        return best
+        found = []
+        for names in lists:
+            best = np.round(reduce(np.fmax, [single[name] for name in names]), SCORE_DIGITS)
+            best[np.isnan(best)] = -np.inf
+            if mask is not None:
+                best[~mask] = -np.inf
+            found.append(best)
+        return found
 
 
 class TopK:
@@ -128,24 +132,28 @@ class TopK:
         full = place == k - 1
         self.floor[query[full]] = score[full]
 
-    def columns(self) -> list[pa.Array]:
-        limits = self.block.limits[self.query]
+    def columns(self, number: int) -> list[pa.Array]:
         return [
             self.block.ids.take(pa.array(self.query)),
             pa.array(self.id, pa.int64()),
             pa.array(self.score, pa.float64()),
-            pa.array(limits, pa.int32()),
+            pa.array(self.block.limits[self.query], pa.int32()),
+            pa.array(np.full(len(self.id), number), pa.int32()),
         ]
 
 
-def best_items(batches: Iterable[pa.RecordBatch], block: QueryBlock, vectors: list[str]) -> Iterator[list[pa.Array]]:
-    """The best items of all batches, as the columns query_id, id, score, limit."""
-    top = TopK(block)
+def best_items(
+    batches: Iterable[pa.RecordBatch], block: QueryBlock, lists: list[list[str]]
+) -> Iterator[list[pa.Array]]:
+    """The best items of all batches, list by list, as the columns query_id, id, score, limit, list."""
+    tops = [TopK(block) for _ in lists]
     step = max(1, CELLS // max(1, len(block.ids)))
     if block.k:
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 ids = part["id"].to_numpy(zero_copy_only=False)
-                top.add(block.scores(part, vectors), ids)
-    yield top.columns()
+                for top, scores in zip(tops, block.scores(part, lists)):
+                    top.add(scores, ids)
+    for number, top in enumerate(tops):
+        yield top.columns(number)

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from dwellspark.operators.embedding import Embedder
 from dwellspark.operators.evaluate import TOP_K, compare_models, compare_rankings
-from dwellspark.operators.fusion import max_sim_batch
-from dwellspark.operators.knn import gather_queries, knn_batch
+from dwellspark.operators.knn import knn_batch, knn_lists
+from dwellspark.schema import VECTOR_NAMES
 
 
 def compare_methods(index: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Description vectors alone against the better of both vectors, per query."""
-    gathered = gather_queries(queries)
-    regular = knn_batch(index, gathered, k, "description")
-    return compare_rankings(regular, max_sim_batch(index, gathered, k), k)
+    """Description vectors alone against the better of both vectors, from one scan."""
+    lists = {"regular": ["description"], "multivector": VECTOR_NAMES}
+    return compare_rankings(knn_lists(index, queries.select("query_id", "vector"), k, lists), k)
 
 
 def compare_embedders(items: DataFrame, queries: DataFrame, embedders: list[Embedder], query_numbers: list[int]) -> DataFrame:

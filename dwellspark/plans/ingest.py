@@ -13,7 +13,7 @@ from dwellspark.operators.records import build_points
 from dwellspark.operators.upsert import dedup_by_key, upsert_listings, upsert_vectors
 from dwellspark.schema import INDEX, LISTING
 from dwellspark.session import cut_lineage
-from dwellspark.sources.snapshots import ensure_tables, publish_index, publish_listings, scan_table
+from dwellspark.sources.snapshots import ID_BLOCKS, ensure_tables, publish_index, publish_listings, scan_table
 
 
 @dataclass(frozen=True)
@@ -50,12 +50,13 @@ def points_of(listings: DataFrame, embedder: Embedder) -> DataFrame:
     return build_points(embed_listings(listings, embedder))
 
 
-def ingest(raw: DataFrame, root: str, embedder: Embedder, loaded_at: datetime) -> Load:
+def ingest(raw: DataFrame, root: str, embedder: Embedder, loaded_at: datetime, id_blocks: int = ID_BLOCKS) -> Load:
     """Loads a batch into the tables under ``root`` and returns their new versions.
 
     Ids are a stored column before the index is derived from the same rows, so the two
     tables cannot disagree about them. ``loaded_at`` is the time of this load and must be
-    later than that of the loads before.
+    later than that of the loads before. ``id_blocks`` folders hold the listing rows; with
+    more of them a result page reads less of a large table.
     """
     spark = raw.sparkSession
     ensure_tables(spark, root)
@@ -63,7 +64,7 @@ def ingest(raw: DataFrame, root: str, embedder: Embedder, loaded_at: datetime) -
     batch = cut_lineage(batch)
     target = scan_table(spark, f"{root}/listings").select(*LISTING.names)
     merged = upsert_listings(target, batch, loaded_at).select(*LISTING.names)
-    listings = publish_listings(merged, f"{root}/listings")
+    listings = publish_listings(merged, f"{root}/listings", id_blocks)
     changed = listings.where(F.col("scraped_at") == F.lit(loaded_at))
     points = cut_lineage(points_of(changed, embedder))
     index = upsert_vectors(scan_table(spark, f"{root}/index").select(*INDEX.names), points)

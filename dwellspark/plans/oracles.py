@@ -198,7 +198,7 @@ ORACLES = {
     "clean_numbers": f"with {RAW}, {CLEANED} select external_id, price, rooms, size_sqm from cleaned",
     "clean_flags": f"with {RAW}, {CLEANED} select external_id, {', '.join(FLAGS)}, pets_allowed from cleaned",
     "clean_listings": f"""with {RAW}, {CLEANED} select external_id, title, description, price, size_sqm, city, floor, has_parking,
-  cast(pets_allowed as boolean) as pets_allowed, rooms, {REASON} as reason from cleaned""",
+  cast(pets_allowed as boolean) as pets_allowed, case when rooms < 99.95 then round(rooms, 1) end as rooms, {REASON} as reason from cleaned""",
     "structured_text": f"with {LISTING} select id, {SENTENCE} as structured_text from listing",
     "payload": f"with {LISTING} select {PAYLOAD} from listing",
     "payload_json": f"""with {LISTING}, p as (select {PAYLOAD} from listing)

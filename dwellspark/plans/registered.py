@@ -15,7 +15,7 @@ from dwellspark.functions.vectors import l2_normalize, score, vector_dim
 from dwellspark.operators import evaluate as E
 from dwellspark.operators.cleaning import clean_listings as clean
 from dwellspark.operators.cleaning import clean_text_columns as clean_texts
-from dwellspark.operators.cleaning import split_rejects
+from dwellspark.operators.cleaning import split_rejects, to_table_types
 from dwellspark.operators.embedding import HashingEmbedder, dimensions, embed_column, embed_listings
 from dwellspark.operators.fusion import fuse_max_sim, max_sim, max_sim_batch
 from dwellspark.operators.knn import knn, knn_batch, rank_all, top_hits
@@ -220,12 +220,10 @@ def clean_flags(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def clean_listings(spark: Session, sf_dir: str) -> DataFrame:
-    good, bad = split_rejects(clean(V.raw_view(spark, sf_dir)))
+    rows = to_table_types(clean(V.raw_view(spark, sf_dir)))
     columns = ["external_id", "title", "description", "price", "size_sqm", "city", "floor", "has_parking", "pets_allowed"]
     rooms = F.col("rooms").cast("double").alias("rooms")
-    fits = good.select(*columns, rooms, F.lit("").alias("reason"))
-    typed = {name: F.col(name).try_cast(LISTING[name].dataType) for name in columns}
-    return fits.unionByName(bad.withColumns(typed).select(*columns, rooms, "reason"))
+    return rows.select(*columns, rooms, F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 # Composition
