@@ -50,12 +50,13 @@ def nested_point() -> Column:
 
 def listing_to_record(listings: DataFrame) -> DataFrame:
     """Plain export record: rooms as a float (zero becomes NULL), times as ISO texts."""
-    # Fixed value: the ISO format of a time in UTC, with fraction only where there is one.
+    # Fixed value: the ISO format of a time with its zone offset, a fraction only where there is one.
     changed = {"rooms": F.nullif(F.col("rooms").cast("double"), F.lit(0.0))}
     for name in TIME_FIELDS:
-        seconds = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss")
-        micros = F.date_format(name, ".SSSSSS")
-        changed[name] = F.concat(seconds, F.when(micros == ".000000", F.lit("")).otherwise(micros), F.lit("+00:00"))
+        micros = F.nullif(F.date_format(name, ".SSSSSS"), F.lit(".000000"))
+        changed[name] = F.concat(
+            F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss"), F.coalesce(micros, F.lit("")), F.date_format(name, "xxx")
+        )
     return listings.select(*[changed.get(name, F.col(name)).alias(name) for name in LISTING.names])
 
 

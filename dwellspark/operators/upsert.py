@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from dwellspark.operators.numbering import number_rows
 from dwellspark.schema import DATA_FIELDS, FLAG_FIELDS, KEY, LISTING
 
-# A batch up to this many rows is broadcast to the table instead of shuffling the table.
+# A batch up to this size is broadcast to the table instead of shuffling the table.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 64 << 20
 
 
 def require_key(batch: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
@@ -46,9 +48,15 @@ def last_id(target: DataFrame) -> int:
     return target.agg(F.max("id")).first()[0] or 0
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether a frame has at most that many rows, without counting beyond."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame is small enough to broadcast, by rows and by bytes.
+
+    Only row sizes are read, of no more than ``rows`` + 1 rows.
+    """
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    size = reduce(Column.__add__, texts, F.lit(16 * len(df.columns))).cast("long")
+    found = df.select(size.alias("size")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
+    return found.n <= rows and (found.bytes or 0) <= most
 
 
 def _side(df: DataFrame, small: bool) -> DataFrame:
@@ -60,17 +68,14 @@ def touch(old: str, loaded_at: Column, changed: Column) -> Column:
     return F.when(changed, loaded_at).otherwise(F.col(old))
 
 
-def upsert_listings(
-    target: DataFrame, batch: DataFrame, loaded_at: datetime, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """The table after the load, with a ``status`` per row: inserted, updated or kept.
+def merge_listings(
+    target: DataFrame, batch: DataFrame, loaded_at: datetime, small: bool
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of the table after the load, and the rows new to it, each with a ``status``.
 
-    Known keys take the batch's data and keep id and created_at; new keys get the next ids.
-    ``batch`` has one row per key. It should be stored data (see ``cut_lineage``), because it
-    is read for both halves. A small batch is broadcast and the table stays where it is; a
-    large one is joined by key.
+    A ``small`` batch is broadcast, and the rows of the table stay where they are; a large one
+    is joined by key.
     """
-    small = fits(batch, broadcast_rows)
     now = F.lit(loaded_at)
     data = [c for c in DATA_FIELDS if c in batch.columns]
     incoming = batch.select(KEY, F.struct(*data).alias("_new"))
@@ -108,6 +113,19 @@ def upsert_listings(
         now.alias("scraped_at"),
         F.lit("inserted").alias("status"),
     )
+    return kept, added
+
+
+def upsert_listings(
+    target: DataFrame, batch: DataFrame, loaded_at: datetime, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The table after the load, with a ``status`` per row: inserted, updated or kept.
+
+    Known keys take the batch's data and keep id and created_at; new keys get the next ids.
+    ``batch`` has one row per key. It should be stored data (see ``cut_lineage``), because it
+    is read for both halves.
+    """
+    kept, added = merge_listings(target, batch, loaded_at, fits(batch, broadcast_rows))
     return kept.unionByName(added)
 
 
@@ -116,10 +134,15 @@ def ids_of_keys(batch: DataFrame, listings: DataFrame) -> DataFrame:
     return batch.join(listings.select(KEY, "id"), KEY)
 
 
+def other_points(index: DataFrame, points: DataFrame, small: bool) -> DataFrame:
+    """The points of the index that are not replaced; only ids are compared."""
+    return index.join(_side(points.select("id"), small), "id", "left_anti")
+
+
 def upsert_vectors(index: DataFrame, points: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The index with every given point put in, in place of the one of that id."""
-    small = fits(points, broadcast_rows)
-    return index.join(_side(points.select("id"), small), "id", "left_anti").unionByName(points)
+    small = fits(points.select("id"), broadcast_rows)
+    return other_points(index, points, small).unionByName(points)
 
 
 def load_stats(loaded: DataFrame, rejects: DataFrame | None = None) -> DataFrame:

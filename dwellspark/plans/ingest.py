@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from dwellspark.operators.cleaning import clean_listings, split_rejects
 from dwellspark.operators.embedding import Embedder, embed_listings
 from dwellspark.operators.records import build_points
-from dwellspark.operators.upsert import dedup_by_key, upsert_listings, upsert_vectors
+from dwellspark.operators.upsert import BROADCAST_ROWS, dedup_by_key, fits, merge_listings, other_points
 from dwellspark.schema import INDEX, LISTING
 from dwellspark.session import cut_lineage
 from dwellspark.sources.snapshots import ID_BLOCKS, ensure_tables, publish_index, publish_listings, scan_table
@@ -62,10 +62,15 @@ def ingest(raw: DataFrame, root: str, embedder: Embedder, loaded_at: datetime, i
     ensure_tables(spark, root)
     batch, rejects = prepare(raw, loaded_at)
     batch = cut_lineage(batch)
+    small = fits(batch, BROADCAST_ROWS)
     target = scan_table(spark, f"{root}/listings").select(*LISTING.names)
-    merged = upsert_listings(target, batch, loaded_at).select(*LISTING.names)
-    listings = publish_listings(merged, f"{root}/listings", id_blocks)
+    kept, added = (rows.select(*LISTING.names) for rows in merge_listings(target, batch, loaded_at, small))
+    # Next to a small batch the old rows are where they belong; after a join by key they are not.
+    rows, settled = (added, kept) if small else (kept.unionByName(added), None)
+    listings = publish_listings(rows, f"{root}/listings", id_blocks, settled=settled)
     changed = listings.where(F.col("scraped_at") == F.lit(loaded_at))
     points = cut_lineage(points_of(changed, embedder))
-    index = upsert_vectors(scan_table(spark, f"{root}/index").select(*INDEX.names), points)
-    return Load(listings, publish_index(index, f"{root}/index"), rejects, stats_at(listings, loaded_at))
+    others = other_points(scan_table(spark, f"{root}/index").select(*INDEX.names), points, small)
+    rows, settled = (points, others) if small else (others.unionByName(points), None)
+    index = publish_index(rows, f"{root}/index", settled=settled)
+    return Load(listings, index, rejects, stats_at(listings, loaded_at))

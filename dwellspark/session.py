@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: a lost executor re-reads the files instead of re-running the plan.
+    """The rows as a table written to the shared folder and read back.
 
-    Used where a value must not change on re-execution (row numbers) or where one
-    result feeds several branches of a plan.
+    A lost executor re-reads the files instead of re-running the plan. Used where a value
+    must not change on re-execution (row numbers) or where one result feeds several branches;
+    each branch then reads only its own columns.
     """
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

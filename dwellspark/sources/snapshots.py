@@ -46,20 +46,23 @@ def scan_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 def publish(
     df: DataFrame, path: str, cluster: str | None = None, sort: list[str] = [], folders: bool = False,
-    version: int | None = None,
+    version: int | None = None, settled: DataFrame | None = None,
 ) -> DataFrame:
     """Writes a new version and returns it as read back.
 
     Rows of one ``cluster`` value go to the same files, and with ``folders`` to a folder of
     their own. The rebalance lets AQE split a value that fills many files and put small ones
     together. ``sort`` orders each file, so that Parquet's minima and maxima let a filter
-    skip row groups.
+    skip row groups. ``settled`` rows come from an earlier version with that layout and are
+    written from where they are, without a shuffle.
     """
     spark = df.sparkSession
     if version is None:
         version = (versions(spark, path) or [0])[-1] + 1
     if cluster:
         df = df.hint("rebalance", cluster)
+    if settled is not None:
+        df = settled.unionByName(df)
     order = ([cluster] if cluster else []) + sort
     if order:
         df = df.sortWithinPartitions(*order)
@@ -71,17 +74,28 @@ def publish(
     return spark.read.parquet(target)
 
 
-def publish_listings(listings: DataFrame, path: str, blocks: int = ID_BLOCKS, version: int | None = None) -> DataFrame:
+def publish_listings(
+    listings: DataFrame, path: str, blocks: int = ID_BLOCKS, version: int | None = None, settled: DataFrame | None = None
+) -> DataFrame:
     """Listing rows laid out by id block."""
-    laid_out = listings.withColumn("id_block", id_block(F.col("id"), blocks))
-    return publish(laid_out, path, "id_block", ["id"], folders=True, version=version)
+
+    def laid_out(rows: DataFrame | None) -> DataFrame | None:
+        return rows if rows is None else rows.withColumn("id_block", id_block(F.col("id"), blocks))
+
+    return publish(laid_out(listings), path, "id_block", ["id"], True, version, laid_out(settled))
 
 
-def publish_index(index: DataFrame, path: str, version: int | None = None) -> DataFrame:
+def publish_index(
+    index: DataFrame, path: str, version: int | None = None, settled: DataFrame | None = None
+) -> DataFrame:
     """Vectors and payload, near each other by the most used filters."""
-    clustered = index.withColumn("_city", F.col("payload.city"))
+
+    def clustered(rows: DataFrame | None) -> DataFrame | None:
+        return rows if rows is None else rows.withColumn("_city", F.col("payload.city"))
+
     sort = ["payload.price", "payload.rooms"]
-    return publish(clustered, path, "_city", sort, version=version).drop("_city")
+    written = publish(clustered(index), path, "_city", sort, version=version, settled=clustered(settled))
+    return written.drop("_city")
 
 
 def ensure_tables(spark: SparkSession, root: str) -> None:
