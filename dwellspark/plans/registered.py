@@ -186,11 +186,11 @@ def text_preview(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def html_unescape_pages(spark: Session, sf_dir: str) -> DataFrame:
-    return V.read(spark, sf_dir, "pages").select("page_id", html_unescape(F.col("html")).alias("html"))
+    return V.read_texts(spark, sf_dir, "pages").select("page_id", html_unescape(F.col("html")).alias("html"))
 
 
 def collapse_whitespace_documents(spark: Session, sf_dir: str) -> DataFrame:
-    return V.read(spark, sf_dir, "documents").select("doc_id", collapse_whitespace(F.col("text")).alias("text"))
+    return V.read_texts(spark, sf_dir, "documents").select("doc_id", collapse_whitespace(F.col("text")).alias("text"))
 
 
 def trim_text_names(spark: Session, sf_dir: str) -> DataFrame:
@@ -198,11 +198,11 @@ def trim_text_names(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def clean_text_documents(spark: Session, sf_dir: str) -> DataFrame:
-    return V.read(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return V.read_texts(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 def clean_text_pages(spark: Session, sf_dir: str) -> DataFrame:
-    return V.read(spark, sf_dir, "pages").select("page_id", clean_text(F.col("html")).alias("html"))
+    return V.read_texts(spark, sf_dir, "pages").select("page_id", clean_text(F.col("html")).alias("html"))
 
 
 def clean_text_columns(spark: Session, sf_dir: str) -> DataFrame:
@@ -257,7 +257,7 @@ def records(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: Session, sf_dir: str) -> DataFrame:
-    embedded = embed_column(V.read(spark, sf_dir, "documents"), "text", EMBEDDER)
+    embedded = embed_column(V.read_texts(spark, sf_dir, "documents"), "text", EMBEDDER)
     weights = embedded.select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
     return weights.select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
@@ -416,7 +416,7 @@ def evaluation_summary(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def compare_models(spark: Session, sf_dir: str) -> DataFrame:
-    items = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    items = V.read_texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
     queries = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     numbers = [row[0] for row in queries.select("query_id").orderBy("query_id").collect()]
     wide = compare_embedders(items, queries, [HashingEmbedder(16), HashingEmbedder(64)], numbers)

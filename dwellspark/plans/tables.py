@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dwellspark.operators.records import build_payload
+from dwellspark.sources.listings import spread
 
 LISTING_COLUMNS = """
   p_partkey as id, 'ext-'||cast(p_partkey as string) as external_id, p_name as title, text as description,
@@ -62,6 +63,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, which come in few files here."""
+    return spread(read(spark, sf_dir, name))
+
+
 def select(df: DataFrame, columns: str) -> DataFrame:
     return spark_select(df, spark_text(columns))
 
@@ -71,7 +77,7 @@ def spark_select(df: DataFrame, columns: str) -> DataFrame:
 
 
 def _parts_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
+    documents = read_texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
     return read(spark, sf_dir, "part").join(documents, "p_partkey")
 
 

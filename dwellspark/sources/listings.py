@@ -22,6 +22,16 @@ def read_listings(spark: SparkSession, path: str, form: str = "json", schema: T.
     return reader.format(form).load(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with a task for every core, for heavy work per row.
+
+    Only a source of fewer file splits than cores is shuffled, which is a small one; a large
+    table is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def scan_vectors(index: DataFrame, name: str, filter_columns: list[str] = []) -> DataFrame:
     """One named vector and only the payload fields asked for."""
     return index.select("id", name, *[f"payload.{column}" for column in filter_columns])
