@@ -129,9 +129,9 @@ def upsert_listings(
     return kept.unionByName(added)
 
 
-def ids_of_keys(batch: DataFrame, listings: DataFrame) -> DataFrame:
-    """The batch with the id each key has in the table."""
-    return batch.join(listings.select(KEY, "id"), KEY)
+def ids_of_keys(batch: DataFrame, listings: DataFrame, small: bool = False) -> DataFrame:
+    """The batch with the id each key has in the table; only keys and ids are read there."""
+    return listings.select(KEY, "id").join(_side(batch, small), KEY)
 
 
 def other_points(index: DataFrame, points: DataFrame, small: bool) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from dwellspark.operators.cleaning import clean_listings, split_rejects
 from dwellspark.operators.embedding import Embedder, embed_listings
 from dwellspark.operators.records import build_points
-from dwellspark.operators.upsert import BROADCAST_ROWS, dedup_by_key, fits, merge_listings, other_points
+from dwellspark.operators.upsert import (
+    BROADCAST_ROWS, dedup_by_key, fits, ids_of_keys, merge_listings, other_points,
+)
 from dwellspark.schema import INDEX, LISTING
 from dwellspark.session import cut_lineage
 from dwellspark.sources.snapshots import ID_BLOCKS, ensure_tables, publish_index, publish_listings, scan_table
@@ -68,8 +70,8 @@ def ingest(raw: DataFrame, root: str, embedder: Embedder, loaded_at: datetime, i
     # Next to a small batch the old rows are where they belong; after a join by key they are not.
     rows, settled = (added, kept) if small else (kept.unionByName(added), None)
     listings = publish_listings(rows, f"{root}/listings", id_blocks, settled=settled)
-    changed = listings.where(F.col("scraped_at") == F.lit(loaded_at))
-    points = cut_lineage(points_of(changed, embedder))
+    # All data of the loaded rows is in the batch, so the table gives no more than their ids.
+    points = cut_lineage(points_of(ids_of_keys(batch, listings, small), embedder))
     others = other_points(scan_table(spark, f"{root}/index").select(*INDEX.names), points, small)
     rows, settled = (points, others) if small else (others.unionByName(points), None)
     index = publish_index(rows, f"{root}/index", settled=settled)

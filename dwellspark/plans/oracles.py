@@ -128,6 +128,16 @@ INGESTED = f"""{RAW}, {CLEANED}, {GOOD}, stored as (
   select *, row_number() over (order by external_id) as id from good)"""
 HITS = "found as (select label as query_id, vec_id as id, round(embedding[1]::double, 6) as score from embeddings)"
 
+SEARCHED = f"""{INDEX}, {REQUEST}, scored as (
+  select r.query_id, r."limit" as most, i.id, {MAX_SIM} as score, i.title, i.price, i.rooms from request r join idx i on
+  (r.price_min is null or i.price >= r.price_min) and (r.price_max is null or i.price <= r.price_max)
+  and (r.rooms_min is null or i.rooms >= r.rooms_min) and (r.rooms_max is null or i.rooms <= r.rooms_max)
+  and (coalesce(r.city, '') = '' or i.city = r.city) and (coalesce(r.location, '') = '' or i.location = r.location)
+  and (r.has_parking is null or coalesce(i.has_parking, false) = r.has_parking)
+  and (r.has_elevator is null or coalesce(i.has_elevator, false) = r.has_elevator)
+  and (r.furnished is null or coalesce(i.furnished, false) = r.furnished)),
+  ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored)"""
+
 ORACLES = {
     "knn_top10": f"""with {MEAN} select vec_id as id, {cos('qv', 'embedding::double[]')} as score from embeddings, mean
   order by score desc, id limit 10""",
@@ -162,17 +172,10 @@ ORACLES = {
   case when price_min > 0 then price_min end as price_min, case when price_max > 0 then price_max end as price_max,
   case when rooms_min > 0 then rooms_min end as rooms_min, case when rooms_max > 0 then rooms_max end as rooms_max,
   nullif(trim(city), '') as city, nullif(trim(location), '') as location from form""",
-    "search_filtered": f"""with {INDEX}, {REQUEST}, scored as (
-  select r.query_id, r."limit" as most, i.id, {MAX_SIM} as score, i.title, i.price, i.rooms from request r join idx i on
-  (r.price_min is null or i.price >= r.price_min) and (r.price_max is null or i.price <= r.price_max)
-  and (r.rooms_min is null or i.rooms >= r.rooms_min) and (r.rooms_max is null or i.rooms <= r.rooms_max)
-  and (coalesce(r.city, '') = '' or i.city = r.city) and (coalesce(r.location, '') = '' or i.location = r.location)
-  and (r.has_parking is null or coalesce(i.has_parking, false) = r.has_parking)
-  and (r.has_elevator is null or coalesce(i.has_elevator, false) = r.has_elevator)
-  and (r.furnished is null or coalesce(i.furnished, false) = r.furnished)),
-  ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored)
+    "search_filtered": f"""with {SEARCHED}
   select query_id, rank, score, count(*) over (partition by query_id) as total_results, id, title, price, rooms
   from ranked where rank <= most""",
+    "search_listings": f"with {SEARCHED} select query_id, rank, id, score from ranked where rank <= most",
     "search_text": f"""with {LISTING}, sentence as (select id, {SENTENCE} as text from listing),
   ask_text as (select p_name as query, min(p_partkey) as query_id from part group by 1),
   {buckets('sentence', 'id', 'text', 64, 'sv')}, {buckets('listing', 'id', 'description', 64, 'dv')},
@@ -183,6 +186,8 @@ ORACLES = {
   select query_id, rank, score, id, title, price from ranked where rank <= 5""",
     "fetch_by_ids": f"""with {LISTING}, {HITS}
   select query_id, id, score, title, price, city from found join listing using (id)""",
+    "fetch_page": f"""with {INDEX}, {MEAN}, best as (select id from idx, mean order by {MAX_SIM} desc, id limit 10)
+  select id, title, price from best join listing using (id)""",
     "assign_rank": f"""with {LISTING}, {HITS}, best as (select * from (
     select *, row_number() over (partition by query_id order by score desc, id) as place from found) where place <= 50)
   select query_id, row_number() over (partition by query_id order by score desc, id) as rank, score,
@@ -209,6 +214,10 @@ ORACLES = {
   {CREATED_TEXT} as scraped_at from listing""",
     "hash_embed": f"""with {buckets('documents', 'doc_id', 'text', 64, 'item')}
   select k as doc_id, b as bucket, round(cast(cast(w as float) as double), 6) as weight from item_cell""",
+    "embed_listings": f"""with {LISTING}, sentence as (select id, {SENTENCE} as text from listing),
+  {buckets('sentence', 'id', 'text', 64, 'sv')}, {buckets('listing', 'id', 'description', 64, 'dv')},
+  cell as (select k, b, w, 'structured' as name from sv_cell union all select k, b, w, 'description' from dv_cell)
+  select k as id, name, b as bucket, round(cast(cast(w as float) as double), 6) as weight from cell where w > 0""",
     "l2_normalize": """with x as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as x from embeddings)
   select vec_id, i, round(x / sqrt(sum(x*x) over (partition by vec_id)), 9) as x from x""",
     "vector_dim": "select len(embedding) as dim, count(*) as vectors from embeddings group by 1",
@@ -245,6 +254,7 @@ ORACLES = {
   has_parking, furnished, cast(pets_allowed as boolean) as pets_allowed, nullif(city, '') as city, 64 as dim from stored""",
     "ingest_stats": f"""with {INGESTED} select count(*) as inserted, cast(0 as bigint) as updated, count(*) as total_listings, 1 as load from stored
   union all select 0, count(*), count(*), 2 from stored""",
+    "stream_ingest": f"with {INGESTED} select id, external_id, title, price, has_parking from stored",
     "read_listings": f"with {RAW} select external_id, title, description, price, rooms, city from raw",
     "snapshot_tables": f"""with {INDEX} select l.id, l.external_id, l.id % 64 as id_block, i.price, i.city
   from listing l left join idx i on i.id = l.id""",

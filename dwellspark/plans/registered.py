@@ -13,6 +13,7 @@ from dwellspark.functions.predicates import build_filter
 from dwellspark.functions.text import clean_text, collapse_whitespace, html_unescape, trim_text
 from dwellspark.functions.vectors import l2_normalize, score, vector_dim
 from dwellspark.operators import evaluate as E
+from dwellspark.operators import lookup
 from dwellspark.operators.cleaning import clean_listings as clean
 from dwellspark.operators.cleaning import clean_text_columns as clean_texts
 from dwellspark.operators.cleaning import split_rejects, to_table_types
@@ -28,11 +29,12 @@ from dwellspark.plans import tables as V
 from dwellspark.plans.experiment import compare_embedders, compare_methods
 from dwellspark.plans.ingest import ingest
 from dwellspark.plans.requests import normalize_ui_filters, validate_requests
-from dwellspark.plans.search import search, search_vectors
-from dwellspark.schema import DATA_FIELDS, LISTING, PAYLOAD
+from dwellspark.plans.search import search, search_listings, search_vectors
+from dwellspark.schema import LISTING
 from dwellspark.session import cut_lineage, shared_dir
 from dwellspark.sources.listings import read_listings, scan_vectors
 from dwellspark.sources.snapshots import collection_info, publish_index, publish_listings, scan_table
+from dwellspark.streaming.landing import stream_ingest
 
 Session = SparkSession
 CREATED = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -149,6 +151,10 @@ def search_filtered(spark: Session, sf_dir: str) -> DataFrame:
     )
 
 
+def search_hits(spark: Session, sf_dir: str) -> DataFrame:
+    return search_listings(V.index_view(spark, sf_dir), V.request_view(spark, sf_dir))
+
+
 def search_text(spark: Session, sf_dir: str) -> DataFrame:
     listings = _stored(V.listing_view(spark, sf_dir))
     points = build_points(embed_listings(V.listing_view(spark, sf_dir), EMBEDDER))
@@ -172,6 +178,12 @@ def fetch_by_ids(spark: Session, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", "score", "title", "price", "city")
 
 
+def fetch_page(spark: Session, sf_dir: str) -> DataFrame:
+    """The rows of one result page, by its list of ids."""
+    best = max_sim(V.index_view(spark, sf_dir), V.mean_vector(spark, sf_dir), 10).collect()
+    return lookup.fetch_by_ids(V.listing_view(spark, sf_dir), [row.id for row in best]).select("id", "title", "price")
+
+
 def assign_ranks(spark: Session, sf_dir: str) -> DataFrame:
     best = top_hits(_hits(spark, sf_dir), 50).drop("rank")
     ranked = assign_rank(fetch_hits(_stored(V.listing_view(spark, sf_dir)), best, bounded=False))
@@ -262,6 +274,18 @@ def hash_embed(spark: Session, sf_dir: str) -> DataFrame:
     return weights.select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
+def listing_vectors(spark: Session, sf_dir: str) -> DataFrame:
+    embedded = embed_listings(V.listing_view(spark, sf_dir), EMBEDDER)
+    sides = F.array(
+        F.struct(F.lit("structured").alias("name"), F.col("structured_vector").alias("v")),
+        F.struct(F.lit("description").alias("name"), F.col("description_vector").alias("v")),
+    )
+    cells = embedded.select("id", F.explode(sides).alias("side")).select(
+        "id", "side.name", F.posexplode("side.v").alias("bucket", "weight")
+    )
+    return cells.where("weight > 0").withColumn("weight", F.round(F.col("weight").cast("double"), 6))
+
+
 def normalized(spark: Session, sf_dir: str) -> DataFrame:
     unit = V.read(spark, sf_dir, "embeddings").select("vec_id", l2_normalize(F.col("embedding")).alias("unit"))
     return unit.select("vec_id", F.posexplode("unit").alias("i", "x")).select("vec_id", "i", F.round("x", 9).alias("x"))
@@ -366,6 +390,15 @@ def ingest_stats(spark: Session, sf_dir: str) -> DataFrame:
     return first.stats.withColumn("load", F.lit(1)).unionByName(second.stats.withColumn("load", F.lit(2)))
 
 
+def stream_flow(spark: Session, sf_dir: str) -> DataFrame:
+    """The feed as files in a landing folder, loaded by the stream."""
+    root = _run_dir(spark)
+    V.raw_view(spark, sf_dir).write.json(f"{root}/landing")
+    stream = stream_ingest(spark, f"{root}/landing", root, EMBEDDER, f"{root}/progress", clock=lambda: LOADED)
+    stream.awaitTermination()
+    return scan_table(spark, f"{root}/listings").select("id", "external_id", "title", "price", "has_parking")
+
+
 def json_feed(spark: Session, sf_dir: str) -> DataFrame:
     folder = _run_dir(spark)
     V.raw_view(spark, sf_dir).write.json(folder)
@@ -462,8 +495,10 @@ QUERIES = {
     "validate_requests": request_check,
     "normalize_ui_filters": ui_filters,
     "search_filtered": search_filtered,
+    "search_listings": search_hits,
     "search_text": search_text,
     "fetch_by_ids": fetch_by_ids,
+    "fetch_page": fetch_page,
     "assign_rank": assign_ranks,
     "text_preview": text_preview,
     "html_unescape_pages": html_unescape_pages,
@@ -481,6 +516,7 @@ QUERIES = {
     "build_points": points,
     "listing_to_record": records,
     "hash_embed": hash_embed,
+    "embed_listings": listing_vectors,
     "l2_normalize": normalized,
     "vector_dim": vector_dims,
     "collection_info": index_info,
@@ -496,6 +532,7 @@ QUERIES = {
     "vector_stats": point_counts,
     "ingest": ingest_flow,
     "ingest_stats": ingest_stats,
+    "stream_ingest": stream_flow,
     "read_listings": json_feed,
     "snapshot_tables": snapshot_tables,
     "compare_rankings": compare_rankings,

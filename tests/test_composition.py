@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dwellspark.functions import display as D
 from dwellspark.functions.phrases import PHRASES, structured_text
-from dwellspark.operators.records import build_payload, build_points, listing_to_record, nested_point, payload_json, project_response
+from dwellspark.operators.records import build_points, listing_to_record, nested_point, payload_json, project_response
 from dwellspark.schema import LISTING
 
 EMPTY = {f.name: None for f in LISTING}

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from dwellspark.operators import evaluate as E
 from dwellspark.operators.embedding import HashingEmbedder

@@ -233,3 +233,15 @@ def test_stream_loads_what_arrived(spark, tmp_path):
     run()
     rows = {r.external_id: (r.id, r.price) for r in scan_table(spark, f"{root}/listings").collect()}
     assert rows == {"a": (1, 8000), "b": (2, 1), "z": (3, None)}
+
+
+def test_spread_touches_only_sources_of_few_files(spark, tmp_path):
+    from dwellspark.sources.listings import spread
+
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    spark.range(100).coalesce(1).write.parquet(few)
+    spark.range(100).repartition(40).write.parquet(many)
+    assert spread(spark.read.parquet(few)).rdd.getNumPartitions() == 8
+    wide = spark.read.parquet(many)
+    with_cores = spread(wide)
+    assert with_cores.count() == 100 and (with_cores is wide) == (wide.rdd.getNumPartitions() >= 8)
