@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, functions as F
 
 # Scores are compared and returned at this many decimals, so that neither summation order
@@ -11,10 +9,6 @@ from pyspark.sql import Column, functions as F
 SCORE_DIGITS = 9
 
 
-def literal(vector: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
-
-
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)

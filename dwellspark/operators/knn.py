@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from dwellspark.functions.predicates import FILTERS, build_filter
-from dwellspark.functions.vectors import literal, score
 from dwellspark.operators.numbering import number_rows
-from dwellspark.operators.scoring import QueryBlock, best_items
+from dwellspark.operators.scoring import QueryBlock, best_items, similarity
 
 # A query table up to this size is sent to every task; a larger one is joined block by block.
 BROADCAST_QUERIES = 4096
@@ -34,15 +33,14 @@ def knn(
 ) -> DataFrame:
     """The best items for one query vector as (id, score); ``k=None`` keeps all, unsorted.
 
-    All on the JVM: pushed filter, projection, ``TakeOrderedAndProject``. With several
+    Pushed filter, one matrix product per Arrow batch, ``TakeOrderedAndProject``. With several
     named vectors an item counts with its best one.
     """
     condition = build_filter(filters, prefix)
     if condition is not None:
         items = items.where(condition)
     names = [using] if isinstance(using, str) else list(using)
-    query = literal(vector)
-    similarities = [score(F.col(name), query) for name in names]
+    similarities = [similarity(vector, F.col(name)) for name in names]
     best = similarities[0] if len(names) == 1 else F.greatest(*similarities)
     scored = items.select("id", best.alias("score")).where("score is not null")
     return scored if k is None else scored.orderBy(F.desc("score"), "id").limit(k)

@@ -6,18 +6,24 @@ query. Only those leave the task, never all (query, item) pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, functions as F, types as T
 
 from dwellspark.functions.predicates import FILTERS
 from dwellspark.functions.vectors import SCORE_DIGITS
 
 # Scores held at a time in one task: 4M doubles are 32 MB.
 CELLS = 4_000_000
+# Below every cosine: the bound before k items are known, and the score of an excluded item.
+NO_FLOOR = -2.0
+EXCLUDED = -3.0
+# More than rounding can move two scores against each other.
+SLACK = 2.0 * 10.0**-SCORE_DIGITS
 
 
 def unit_rows(vectors: pa.Array) -> np.ndarray:
@@ -37,6 +43,25 @@ def unit_rows(vectors: pa.Array) -> np.ndarray:
     return rows / length[:, None]
 
 
+def similarity(vector: Sequence[float], column: Column) -> Column:
+    """Score of a vector column for one query vector; NULL where there is none.
+
+    Declared non-deterministic only to be evaluated once: otherwise a condition on the score
+    would move below the projection with a second call.
+    """
+    query = np.asarray(vector, np.float64)
+    length = np.sqrt(query @ query)
+    unit = query / length if length else np.full(len(query), np.nan)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(vectors: pa.Array) -> pa.Array:
+        rows = unit_rows(vectors)
+        scores = np.round(rows @ unit, SCORE_DIGITS) if rows.shape[1] else np.full(len(rows), np.nan)
+        return pa.array(scores, mask=np.isnan(scores))
+
+    return score.asNondeterministic()(column)
+
+
 class QueryBlock:
     """The queries as arrays: unit vectors, limits and the filters that any of them sets."""
 
@@ -91,46 +116,50 @@ class QueryBlock:
         return np.full((len(self.ids), items.num_rows), np.nan)
 
     def scores(self, items: pa.RecordBatch | pa.Table, lists: list[list[str]]) -> list[np.ndarray]:
-        """Per list of vector names the best similarity over them, -inf for an excluded item."""
+        """Per list of vector names the best similarity over them, not yet rounded."""
         single = {name: self.similarities(items, name) for name in dict.fromkeys(sum(lists, []))}
         mask = self.admits(items)
         found = []
         for names in lists:
-            best = np.round(reduce(np.fmax, [single[name] for name in names]), SCORE_DIGITS)
-            best[np.isnan(best)] = -np.inf
+            best = np.nan_to_num(reduce(np.fmax, [single[name] for name in names]), nan=EXCLUDED)
             if mask is not None:
-                best[~mask] = -np.inf
+                best[~mask] = EXCLUDED
             found.append(best)
         return found
 
 
 class TopK:
-    """Running best items of every query: score descending, then id ascending."""
+    """Running best items of every query: rounded score descending, then id ascending."""
 
     def __init__(self, block: QueryBlock):
         self.block = block
         self.query = np.empty(0, np.int64)
         self.id = np.empty(0, np.int64)
         self.score = np.empty(0)
-        self.floor = np.full(len(block.ids), -np.inf)
+        self.floor = np.full(len(block.ids), NO_FLOOR)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+    def candidates(self, scores: np.ndarray) -> np.ndarray:
+        """Items that can still be among the best; few after the first batches."""
         k = self.block.k
-        floor = self.floor
-        if scores.shape[1] > k:
-            floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-        query, position = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, scores[query[len(self.query):], position]])
+        open_ = scores >= (self.floor - SLACK)[:, None]
+        if scores.shape[1] > k and np.count_nonzero(open_) > 4 * k * len(scores):
+            floor = np.maximum(self.floor, np.partition(scores, -k, axis=1)[:, -k])
+            open_ = scores >= (floor - SLACK)[:, None]
+        return open_
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        new, position = np.nonzero(self.candidates(scores))
+        query = np.concatenate([self.query, new])
+        score = np.concatenate([self.score, np.round(scores[new, position], SCORE_DIGITS)])
         ids = np.concatenate([self.id, ids[position]])
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
         starts = np.searchsorted(query, np.arange(len(self.floor)))
         place = np.arange(len(query)) - starts[query]
+        full = place == self.block.k - 1
+        self.floor[query[full]] = score[full]
         keep = place < self.block.limits[query]
         self.query, self.score, self.id = query[keep], score[keep], ids[keep]
-        full = place == k - 1
-        self.floor[query[full]] = score[full]
 
     def columns(self, number: int) -> list[pa.Array]:
         return [
