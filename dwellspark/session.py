@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CUTS = threading.local()
+
 
 def local_session(cpus: str | int = "*", app: str = "dwellspark", **conf: str) -> SparkSession:
     """A session for tests and the bench; on a cluster the submitter sets these."""
@@ -30,21 +34,32 @@ def local_session(cpus: str | int = "*", app: str = "dwellspark", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node reaches, as ``spark.checkpoint.dir`` names it.
+    """The folder every node reaches: ``spark.checkpoint.dir``, else the warehouse folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-    Only a local session may fall back to a temporary folder: there is one machine then.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
-    folder = tempfile.mkdtemp(prefix="dwellspark-")
-    context.setCheckpointDir(folder)
-    return folder
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data on whatever file system it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def cuts_deleted(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the lineage cuts made inside; for flows that end with a write."""
+    outer, _CUTS.paths = getattr(_CUTS, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _CUTS.paths:
+            delete_folder(spark, path)
+        _CUTS.paths = outer
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -54,6 +69,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     must not change on re-execution (row numbers) or where one result feeds several branches;
     each branch then reads only its own columns.
     """
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "cut")
+    if getattr(_CUTS, "paths", None) is not None:
+        _CUTS.paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

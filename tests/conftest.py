@@ -9,5 +9,6 @@ from dwellspark.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, "tests")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    return local_session(8, "tests", **{"spark.checkpoint.dir": shared.as_uri()})
