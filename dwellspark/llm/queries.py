@@ -67,11 +67,11 @@ from keyed left join shared using (key) group by doc_id
 OP3 = r"""
 with d as (
   select doc_id, words, unnest(words) as word, unnest(range(len(words))) as doc_at
-  from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') as words
+  from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as words
         from documents where text is not null)),
 b as (
   select item_id, len(words) as n, unnest(words) as word, unnest(range(len(words))) as item_at
-  from (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') as words
+  from (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as words
         from benchmark where text is not null)),
 same as (
   select doc_id, item_id, doc_at - item_at as lies, doc_at, len(d.words) as doc_n, n from d join b using (word)),
