@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import public_tokenizers
+from dwellspark.llm.bpe import bpe
 from dwellspark.llm.decontaminate import leaks
 from dwellspark.llm.line_dedup import line_dedup
+from dwellspark.llm.quality import quality_rules, train
+from dwellspark.llm.secrets import secret_scan
 from dwellspark.llm.sharding import shard_records
+from dwellspark.llm.simhash import simhash_groups
+from dwellspark.llm.substring_dedup import repeated_passages
 from dwellspark.llm.url_filter import Rule, url_filter
+from dwellspark.llm.warc import through_warc
 
+#: The rank file and the pattern that goes with it.
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 RULES = [
     Rule("allow", "com", "/"),
     Rule("block", "example.com", "/en/"),
@@ -27,6 +36,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,11 +54,39 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe(_table(spark, sf_dir, "documents"), RANKS, PATTERN, ids_column=None)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = through_warc(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
+    "op6_simhash": op6_simhash,
+    "op7_bpe": op7_bpe,
+    "op8_warc": op8_warc,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
