@@ -206,6 +206,16 @@ def train(
     return fit(parts, rows["good"].to_numpy()[order]) if parts else None
 
 
+def judge(
+    text: str, model: Model | None, least: float = LEAST, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED
+) -> tuple:
+    """The counts of a text, then ``base_failed, probability, kept``."""
+    n = counts(text)
+    failed = n[0] < min_words or 100 * n[4] > max_repeated * n[0]
+    probability = None if failed or model is None else model.probability(text)
+    return *n, failed, probability, not failed and (probability is None or probability >= least)
+
+
 def quality_rules(
     docs: DataFrame, model: Model | None, least: float = LEAST, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED,
     id_column: str = "doc_id", text_column: str = "text",
@@ -225,12 +235,7 @@ def quality_rules(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in (t.as_py() or "" for t in batch["text"]):
-                n = counts(text)
-                failed = n[0] < min_words or 100 * n[4] > max_repeated * n[0]
-                p = None if failed or shared.value is None else shared.value.probability(text)
-                rows.append((*n, failed, p, not failed and (p is None or p >= least)))
+            rows = [judge(t.as_py() or "", shared.value, least, min_words, max_repeated) for t in batch["text"]]
             columns = list(zip(*rows)) or [()] * 8
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch["id"], *map(pa.array, columns, kinds)], ["id", *made])
@@ -240,3 +245,14 @@ def quality_rules(
     types = ["bigint"] * 5 + ["boolean", "double", "boolean"]
     schema = f"id {wanted.schema['id'].dataType.simpleString()}, " + ", ".join(map(" ".join, zip(made, types)))
     return wanted.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+
+
+def quality_filter(docs: DataFrame, model: Model | None, text_column: str = "text", **limits) -> DataFrame:
+    """The rows that ``quality_rules`` keeps, with all their columns; judged where they are, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def keeps(texts: pa.Array) -> pa.Array:
+        return pa.array([judge(t.as_py() or "", shared.value, **limits)[-1] for t in texts], pa.bool_())
+
+    return docs.filter(keeps(column(text_column)))
