@@ -44,7 +44,7 @@ ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:[0-2]?\d|3[01]))?)?|(?:[0-2]?\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
-#: The longest word, date or repeated block that is looked for; walks and runs may be of any length.
+#: The longest word or repeated block that is looked for; of longer walks and runs only the whole counts.
 LONGEST = 16
 
 
@@ -68,6 +68,11 @@ def _any_cost(char: str) -> float:
     return math.log10(10 if char.isdigit() else 26 if char.isalpha() else 33)
 
 
+def _sizes(least: int, most: int) -> list[int]:
+    """Lengths a segment may have: all up to ``LONGEST``, and the longest."""
+    return [*range(least, min(most, LONGEST) + 1), *([most] if most > LONGEST else [])]
+
+
 def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON)) -> float:
     """Power of ten of the guesses for the cheapest way to put the value together.
 
@@ -96,15 +101,14 @@ def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON)) -> float:
         if i > 1:
             walk = walk + 1 if (low[i - 2], low[i - 1]) in near else 1
             run = run + 1 if low[i - 2] == low[i - 1] else 1
-        if walk >= 3:
-            best = min(best, cost[i - walk] + math.log10(47 * walk) + join)
-        if run >= 3:
-            best = min(best, cost[i - run] + _any_cost(value[i - 1]) + math.log10(run) + join)
+        for size in _sizes(3, walk):
+            best = min(best, cost[i - size] + math.log10(47 * size) + join)
+        for size in _sizes(3, run):
+            best = min(best, cost[i - size] + _any_cost(value[i - 1]) + math.log10(size) + join)
         for size in range(2, min(LONGEST, i - 1) + 1):
             same[size] = same[size] + 1 if i > size and low[i - 1] == low[i - 1 - size] else 0
-            if same[size] >= size:
-                first = i - same[size]  # the block's first showing ends here
-                best = min(best, cost[first] + math.log10(same[size] // size + 1) + join)
+            for more in _sizes(size, same[size]):  # the block's first showing ends where these begin
+                best = min(best, cost[i - more] + math.log10(more // size + 1) + join)
         for start in range(max(0, i - LONGEST), i - 2):
             part = plain[start:i]
             if part in ranks:
