@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from hashlib import md5
-from typing import Protocol
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dwellspark.functions.phrases import structured_text
 from dwellspark.schema import VECTOR
@@ -27,6 +27,14 @@ class Embedder(Protocol):
     def column(self, text: Column) -> Column:
         """Vector of the text as ARRAY<FLOAT>; NULL for NULL or blank text."""
 
+    def columns(self, *texts: Column) -> Column:
+        """Vectors of several texts as a struct of v0, v1, …"""
+
+
+# Hashes of tokens that a Python worker keeps from batch to batch, some tens of MB.
+HASHED = 300_000
+_HASHES: dict[bytes, int] = {}
+
 
 def not_blank(text: Column) -> Column:
     return F.when(F.length(F.trim(text)) > 0, text)
@@ -35,11 +43,15 @@ def not_blank(text: Column) -> Column:
 def token_buckets(tokens: pa.Array, dim: int) -> np.ndarray:
     """Bucket of every token: the first 32 bits of its md5 modulo ``dim``.
 
-    Each distinct token of the batch is hashed once.
+    Each distinct token of the batch is looked up once, and hashed if it is not among the
+    ``HASHED`` that the worker has kept.
     """
     coded = tokens.dictionary_encode()
     words = coded.dictionary.cast(pa.binary()).to_pylist()
-    hashes = np.fromiter((int.from_bytes(md5(w).digest()[:4]) for w in words), np.int64, len(words))
+    if len(_HASHES) > HASHED:
+        _HASHES.clear()
+    _HASHES.update((w, int.from_bytes(md5(w).digest()[:4])) for w in words if w not in _HASHES)
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
     return (hashes % dim)[coded.indices.to_numpy()]
 
 
@@ -81,9 +93,15 @@ class HashingEmbedder:
 
         return embed(F.lower(text))
 
+    def columns(self, *texts: Column) -> Column:
+        return F.struct(*[self.column(text).alias(f"v{n}") for n, text in enumerate(texts)])
+
 
 class ModelEmbedder:
-    """A sentence-transformers model, loaded once per Python worker on first use."""
+    """A sentence-transformers model, loaded once per Python worker, when the first text comes.
+
+    Its vectors must have the size ``dim``.
+    """
 
     def __init__(
         self, name: str = MODEL_NAME, dim: int = MODEL_DIM, batch: int = ENCODE_BATCH, normalize: bool = True, load=None
@@ -91,23 +109,46 @@ class ModelEmbedder:
         self.name, self.dim, self.batch, self.normalize = name, dim, batch, normalize
         self.load = load or _load_model
 
+    def _encode(self, texts: pa.Array) -> pa.Array:
+        known = texts.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.empty((0, self.dim))
+        if known.any():
+            rows = _model(self.load, self.name).encode(
+                texts.drop_null().to_pylist(), batch_size=self.batch, convert_to_numpy=True,
+                normalize_embeddings=self.normalize, show_progress_bar=False,
+            )
+            if rows.shape[1] != self.dim:
+                raise ValueError(f"{self.name} gives {rows.shape[1]} values, not {self.dim}")
+        return vector_array(rows, known)
+
     def column(self, text: Column) -> Column:
-        name, batch, normalize, load = self.name, self.batch, self.normalize, self.load
+        encode = self._encode
 
         @F.arrow_udf(VECTOR)
-        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = load(name)
-            for texts in batches:
-                known = texts.is_valid().to_numpy(zero_copy_only=False)
-                rows = np.empty((0, 0))
-                if known.any():
-                    rows = model.encode(
-                        texts.drop_null().to_pylist(), batch_size=batch, convert_to_numpy=True,
-                        normalize_embeddings=normalize, show_progress_bar=False,
-                    )
-                yield vector_array(rows, known)
+        def vector(texts: pa.Array) -> pa.Array:
+            return encode(texts)
+
+        return vector(not_blank(text))
 
-        return encode(not_blank(text))
+    def columns(self, *texts: Column) -> Column:
+        encode, names = self._encode, [f"v{n}" for n in range(len(texts))]
+
+        @F.arrow_udf(T.StructType([T.StructField(name, VECTOR) for name in names]))
+        def vectors(*texts: pa.Array) -> pa.Array:
+            return pa.StructArray.from_arrays([encode(part) for part in texts], names)
+
+        return vectors(*[not_blank(text) for text in texts])
+
+
+# The models this Python worker has loaded.
+_MODELS: dict[tuple, Any] = {}
+
+
+def _model(load: Callable[[str], Any], name: str) -> Any:
+    key = (load.__module__, load.__qualname__, name)
+    if key not in _MODELS:
+        _MODELS[key] = load(name)
+    return _MODELS[key]
 
 
 def _load_model(name: str):
@@ -134,12 +175,9 @@ def embed_listings(listings: DataFrame, embedder: Embedder) -> DataFrame:
     The description column is taken, so its vector is called ``description_vector``. Blank
     descriptions get NULL; ``split_rejects`` sets them aside before.
     """
-    return listings.withColumns(
-        {
-            "structured_vector": embedder.column(structured_text()),
-            "description_vector": embedder.column(F.col("description")),
-        }
-    )
+    both = listings.withColumn("_vectors", embedder.columns(structured_text(), F.col("description")))
+    vectors = {"structured_vector": F.col("_vectors.v0"), "description_vector": F.col("_vectors.v1")}
+    return both.withColumns(vectors).drop("_vectors")
 
 
 def dimensions(vectors: DataFrame, names: list[str]) -> DataFrame:

@@ -110,10 +110,19 @@ def timing_summary(times: DataFrame) -> DataFrame:
     )
 
 
-def compare_models(scores: DataFrame, models: DataFrame, query_numbers: list[int]) -> DataFrame:
-    """One row per model: its properties and the best score of each query as a column.
+def compare_models(scores: DataFrame, models: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """A row per model and query: the model's properties and the query's best score.
 
-    ``scores`` has model, query_number and score; the query numbers are the pivot's columns.
+    ``scores`` has model, query_id and score. ``times``, measured outside, has a row per
+    model, of which all columns are added.
     """
-    best = scores.groupBy("model").pivot("query_number", query_numbers).agg(F.max("score"))
-    return models.join(best.withColumnsRenamed({str(n): f"query_{n}" for n in query_numbers}), "model")
+    best = scores.groupBy("model", "query_id").agg(F.max("score").alias("score"))
+    found = models.join(best, "model")
+    return found if times is None else found.join(times, "model", "left")
+
+
+def models_side_by_side(compared: DataFrame, query_ids: list[int]) -> DataFrame:
+    """For display: a row per model, the best scores of the named queries as columns."""
+    fixed = [c for c in compared.columns if c not in ("query_id", "score")]
+    wide = compared.groupBy(*fixed).pivot("query_id", query_ids).agg(F.max("score"))
+    return wide.withColumnsRenamed({str(n): f"query_{n}" for n in query_ids})

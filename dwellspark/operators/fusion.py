@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from dwellspark.operators.knn import knn, knn_batch, knn_lists, top_hits
-from dwellspark.schema import VECTOR_NAMES
+from dwellspark.schema import DEFAULT_LIMIT, VECTOR_NAMES
 
 
 def max_sim(
@@ -39,10 +39,14 @@ def fuse(hits: DataFrame, k: int) -> DataFrame:
 def fuse_max_sim(
     index: DataFrame, queries: DataFrame, k: int, names: Sequence[str] = VECTOR_NAMES, prefix: str = "", **sizes: int
 ) -> DataFrame:
-    """List form: the ``2k`` best by each vector, fused.
+    """List form: the ``2k`` best by each vector, fused, and of them as many as the query's limit says.
 
     Gives the same as ``max_sim_batch``: an item that is among the best ``k`` by its better
     vector is among the best ``k`` of that vector's list as well.
     """
     lists = {name: [name] for name in names}
-    return fuse(knn_lists(index, queries.drop("limit"), 2 * k, lists, prefix, **sizes), k)
+    fused = fuse(knn_lists(index, queries.drop("limit"), 2 * k, lists, prefix, **sizes), k)
+    if "limit" not in queries.columns:
+        return fused
+    most = queries.select("query_id", F.coalesce("limit", F.lit(DEFAULT_LIMIT)).alias("limit"))
+    return fused.join(most, "query_id").where(F.col("rank") <= F.col("limit")).drop("limit")

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from typing import Any
+from urllib.parse import unquote
 
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from dwellspark.functions.predicates import FILTERS, build_filter
 from dwellspark.operators.numbering import number_rows
 from dwellspark.operators.scoring import QueryBlock, best_items, similarity
+from dwellspark.session import file_system, new_folder
 
-# A query table up to this size is sent to every task; a larger one is joined block by block.
+# A query table up to this size is sent to every task; a larger one is read by the tasks block by block.
 BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 64 << 20
-# Rows in one block of the block-by-block form.
+# Queries in one block, and bytes of items that a task holds against the blocks.
 BLOCK_ROWS = 16_384
+HELD_BYTES = 256 << 20
+# Names that a scan is asked for.
+LISTED = 1000
 # Groups of tasks whose partial lists are merged before the last merge of a query.
 MERGE_GROUPS = 16
 
@@ -60,31 +65,46 @@ def query_table(queries: DataFrame) -> DataFrame:
 def gather_queries(queries: DataFrame, most: int = BROADCAST_QUERIES) -> pa.Table | DataFrame:
     """The query table as Arrow data if it is small enough to send to every task.
 
-    At most ``most`` rows and one more are read; a larger table is returned as it is.
+    At most ``most`` rows and one more are read, once their bytes are known to be few; a
+    larger table is returned as it is.
     """
     queries = query_table(queries)
-    probe = queries.limit(most + 1).toArrow()
-    return probe if probe.num_rows <= most and probe.nbytes <= BROADCAST_BYTES else queries
+    wide = F.sum(F.lit(8).cast("long") * F.size("vector") + 100)
+    rows, size = queries.limit(most + 1).agg(F.count(F.lit(1)), wide).first()
+    return queries.toArrow() if rows <= most and (size or 0) <= BROADCAST_BYTES else queries
 
 
-def _covering_filter(items: DataFrame, queries: pa.Table) -> DataFrame:
+def _covering_filter(items: DataFrame, queries: pa.Table | DataFrame) -> DataFrame:
     """A condition that holds for every item any of the queries lets through.
 
-    It reaches the Parquet scan, where the per-query filters cannot go.
+    It reaches the Parquet scan, where the per-query filters cannot go. Of a large query
+    table one row of bounds comes to the driver, and at most ``LISTED`` names a column.
     """
+    given = queries.column_names if isinstance(queries, pa.Table) else queries.columns
+    names = [name for name in FILTERS if name in given]
+    if not names:
+        return items
+    if isinstance(queries, pa.Table):
+        queries = items.sparkSession.createDataFrame(queries.select(names))
+    # Without queries, and where some query sets no bound, there is no bound on all.
+    bounds = queries.agg(
+        *[F.when(F.count_if(F.col(n).isNull()) == 0, F.min(n)).alias(f"{n}_low") for n in names],
+        *[F.when(F.count_if(F.col(n).isNull()) == 0, F.max(n)).alias(f"{n}_high") for n in names],
+    ).first()
     common: dict[str, Any] = {}
-    for name, (column, kind) in FILTERS.items():
-        if name not in queries.column_names or queries[name].null_count or not queries.num_rows:
+    for name in names:
+        column, kind = FILTERS[name]
+        low, high = bounds[f"{name}_low"], bounds[f"{name}_high"]
+        if low is None:
             continue
         if kind in ("ge", "le"):
-            bound = pc.min_max(queries[name])["min" if kind == "ge" else "max"].as_py()
-            common[name] = bound
-        else:
-            values = pc.unique(queries[name]).to_pylist()
-            if kind == "flag" and len(values) == 1:
-                common[name] = values[0]
-            elif kind == "eq" and "" not in values:
-                items = items.where(F.col(column).isin(values))
+            common[name] = low if kind == "ge" else high
+        elif kind == "flag" and low == high:
+            common[name] = low
+        elif kind == "eq" and low != "":
+            listed = [row[0] for row in queries.select(name).distinct().limit(LISTED + 1).collect()]
+            if len(listed) <= LISTED:
+                items = items.where(F.col(column).isin(listed))
     condition = build_filter(common)
     return items if condition is None else items.where(condition)
 
@@ -117,36 +137,40 @@ def _scan_with_queries(items: DataFrame, queries: pa.Table, lists: list[list[str
     return _covering_filter(items, queries).mapInArrow(scan, schema)
 
 
-def _join_by_block(
+def _scan_with_blocks(
     items: DataFrame, queries: DataFrame, lists: list[list[str]], k: int, schema: T.StructType, block_rows: int
 ) -> DataFrame:
-    """Large query table: a grid of item blocks and query blocks.
+    """Large query table: still one pass over the items, which stay where they are.
 
-    Ids are unique, so hashing them gives even blocks. Each cell of the grid is one bounded
-    group; rows are repeated once per block of the other side, never once per pair.
+    The queries are written once, in files of at most ``block_rows`` rows, to the shared
+    folder. A task takes in items up to ``HELD_BYTES`` and goes through the files with them,
+    one block in memory at a time.
     """
-    item_blocks = -(-items.count() // block_rows) or 1
-    query_blocks = -(-queries.count() // block_rows) or 1
-
-    def block(key: str, blocks: int):
-        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    spark = queries.sparkSession
+    path = new_folder(spark, "queries")
+    queries.write.option("maxRecordsPerFile", block_rows).parquet(path)
+    written = spark.read.schema(queries.schema).parquet(path)
+    files, names = sorted(written.inputFiles()), schema.names
+
+    def passed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri in files:
+            system, place = file_system(unquote(uri))
+            block = QueryBlock(pq.read_table(place, filesystem=system), k)
+            for columns in best_items(batches, block, lists):
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    left = items.withColumn("_item_block", block("id", item_blocks)).withColumn("_query_block", every(query_blocks))
-    right = queries.withColumn("_query_block", block("query_id", query_blocks)).withColumn(
-        "_item_block", every(item_blocks)
-    )
-    names = schema.names
-
-    def cell(item_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        batches = item_rows.combine_chunks().to_batches()
-        found = best_items(batches, QueryBlock(query_rows, k), lists)
-        return pa.concat_tables(pa.Table.from_arrays(columns, names) for columns in found)
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from passed(held)
+                held, size = [], 0
+        if held:
+            yield from passed(held)
 
-    keys = ["_item_block", "_query_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
+    return _covering_filter(items, written).mapInArrow(scan, schema)
 
 
 def top_hits(hits: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -196,7 +220,7 @@ def knn_lists(
     if isinstance(queries, pa.Table):
         hits = _scan_with_queries(items, queries, vectors, k, schema)
     else:
-        hits = _join_by_block(items, queries, vectors, k, schema, block_rows)
+        hits = _scan_with_blocks(items, queries, vectors, k, schema, block_rows)
     ranked = top_hits(hits, k, ("list", "query_id")).where(F.col("rank") <= F.col("limit"))
     name = F.element_at(F.array(*[F.lit(n) for n in lists]), F.col("list") + 1)
     return ranked.select(name.alias("list"), "query_id", "rank", "id", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dwellspark.functions.text import preview
 from dwellspark.operators.records import project_response
-from dwellspark.sources.snapshots import ID_BLOCKS, id_block
+from dwellspark.sources.snapshots import id_block, stored_blocks
 
 # The most hits that are sent to every task beside a listing scan: 16 bytes of keys,
 # 8 of score and 4 of rank each, so some tens of MB.
@@ -25,16 +25,18 @@ def fetch_by_ids(listings: DataFrame, ids: Sequence[int]) -> DataFrame:
     return found.orderBy(F.array_position(F.lit(ids) if ids else F.array().cast("array<bigint>"), F.col("id")))
 
 
-def fetch_hits(listings: DataFrame, hits: DataFrame, bounded: bool, id_blocks: int = ID_BLOCKS) -> DataFrame:
+def fetch_hits(listings: DataFrame, hits: DataFrame, bounded: bool) -> DataFrame:
     """Hits joined with their rows; ids without a row are dropped.
 
     ``bounded`` hits are broadcast, so the listing table is not shuffled; if it is laid out
     by ``id_block``, only the blocks that hold hits are read (dynamic partition pruning).
+    How many blocks there are is read from the stored table; a table that doesn't say is
+    joined by id alone.
     """
-    keys = ["id"]
-    if "id_block" in listings.columns:
+    keys, blocks = ["id"], stored_blocks(listings)
+    if blocks:
         keys.append("id_block")
-        hits = hits.withColumn("id_block", id_block(F.col("id"), id_blocks))
+        hits = hits.withColumn("id_block", id_block(F.col("id"), blocks))
     return listings.join(F.broadcast(hits) if bounded else hits, keys)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from dwellspark.functions.predicates import FILTERS
 from dwellspark.functions.vectors import SCORE_DIGITS
+from dwellspark.schema import DEFAULT_LIMIT
 
 # Scores held at a time in one task: 4M doubles are 32 MB.
 CELLS = 4_000_000
@@ -69,7 +70,7 @@ class QueryBlock:
         self.ids = table["query_id"].combine_chunks()
         self.vectors = unit_rows(table["vector"])
         if "limit" in table.column_names:
-            limits = table["limit"].combine_chunks().fill_null(k).to_numpy(zero_copy_only=False)
+            limits = table["limit"].combine_chunks().fill_null(DEFAULT_LIMIT).to_numpy(zero_copy_only=False)
             self.limits = np.minimum(limits, k)
         else:
             self.limits = np.full(len(self.ids), k)

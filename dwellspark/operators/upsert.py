@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwellspark.operators.numbering import number_rows
 from dwellspark.schema import DATA_FIELDS, FLAG_FIELDS, KEY, LISTING
-
-# A batch up to this size is broadcast to the table instead of shuffling the table.
-BROADCAST_ROWS = 20_000
-BROADCAST_BYTES = 64 << 20
+from dwellspark.session import cut_lineage
 
 
 def require_key(batch: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
@@ -21,14 +18,17 @@ def require_key(batch: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]
     return batch.where(has_key), batch.where(~has_key)
 
 
-def dedup_by_key(batch: DataFrame, key: str = KEY, latest: str = "scraped_at", mode: str = "last") -> DataFrame:
+def dedup_by_key(
+    batch: DataFrame, key: str = KEY, latest: str | Sequence[str] = "scraped_at", mode: str = "last"
+) -> DataFrame:
     """One row per key: the latest, and among equally late ones the greatest by its columns.
 
     The window cuts to one row per key and task before the shuffle, so a key that fills a
     third of the batch does not meet in one task. ``mode="error"`` raises on a second row.
     """
-    others = [c for c in batch.columns if c not in (key, latest)]
-    order = [F.col(c).desc_nulls_last() for c in [latest, *others]]
+    latest = [latest] if isinstance(latest, str) else list(latest)
+    others = [c for c in batch.columns if c != key and c not in latest]
+    order = [F.col(c).desc_nulls_last() for c in [*latest, *others]]
     window = Window.partitionBy(key).orderBy(*order)
     if mode == "error":
         repeated = batch.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).collect()
@@ -48,101 +48,53 @@ def last_id(target: DataFrame) -> int:
     return target.agg(F.max("id")).first()[0] or 0
 
 
-def fits(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> bool:
-    """Whether a frame is small enough to broadcast, by rows and by bytes.
-
-    Only row sizes are read, of no more than ``rows`` + 1 rows.
-    """
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
-    size = reduce(Column.__add__, texts, F.lit(16 * len(df.columns))).cast("long")
-    found = df.select(size.alias("size")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
-    return found.n <= rows and (found.bytes or 0) <= most
-
-
-def _side(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
 def touch(old: str, loaded_at: Column, changed: Column) -> Column:
     """``updated_at``: the load time for a row of the batch, else as it was."""
     return F.when(changed, loaded_at).otherwise(F.col(old))
 
 
-def merge_listings(
-    target: DataFrame, batch: DataFrame, loaded_at: datetime, small: bool
-) -> tuple[DataFrame, DataFrame]:
-    """The rows of the table after the load, and the rows new to it, each with a ``status``.
+def full_batch(batch: DataFrame) -> DataFrame:
+    """Key and all data fields in the table's types; an absent flag is false, any other absent field NULL."""
+    values = {name: F.col(name) if name in batch.columns else F.lit(None) for name in DATA_FIELDS}
+    values |= {name: F.coalesce(values[name], F.lit(False)) for name in FLAG_FIELDS}
+    return batch.select(KEY, *[value.cast(LISTING[name].dataType).alias(name) for name, value in values.items()])
 
-    A ``small`` batch is broadcast, and the rows of the table stay where they are; a large one
-    is joined by key.
+
+def changed_listings(target: DataFrame, batch: DataFrame, loaded_at: datetime, last: int) -> DataFrame:
+    """The rows that a batch (one row per key) changes or adds, with a ``status``.
+
+    Known keys keep id and created_at and take the batch's data, whole; new keys get the ids
+    after ``last``. One join with three columns of the table, written once, as both halves
+    and the numbering read it. How to join is left to Spark: it broadcasts a small batch.
     """
     now = F.lit(loaded_at)
-    data = [c for c in DATA_FIELDS if c in batch.columns]
-    incoming = batch.select(KEY, F.struct(*data).alias("_new"))
-    hit = F.col("_new").isNotNull()
-
-    def merged(name: str) -> Column:
-        if name not in data:
-            return F.col(name)
-        value = F.col(f"_new.{name}")
-        if name in FLAG_FIELDS:
-            value = F.coalesce(value, F.lit(False))
-        return F.when(hit, value.cast(LISTING[name].dataType)).otherwise(F.col(name))
-
-    kept = target.join(_side(incoming, small), KEY, "left").select(
-        "id",
-        KEY,
-        *[merged(name).alias(name) for name in DATA_FIELDS],
-        "created_at",
-        touch("updated_at", now, hit).alias("updated_at"),
-        F.when(hit, now).otherwise(F.col("scraped_at")).alias("scraped_at"),
-        F.when(hit, F.lit("updated")).otherwise(F.lit("kept")).alias("status"),
-    )
-    # Keys of the batch that the table has: at most as many as the batch has rows.
-    known = target.select(KEY).join(_side(batch.select(KEY), small), KEY, "left_semi")
-    new = assign_ids(batch.join(_side(known, small), KEY, "left_anti"), last_id(target))
-    values = {
-        name: F.coalesce(F.col(name), F.lit(False)) if name in FLAG_FIELDS else F.col(name) for name in data
-    }
-    added = new.select(
-        "id",
-        KEY,
-        *[values.get(name, F.lit(None)).cast(LISTING[name].dataType).alias(name) for name in DATA_FIELDS],
-        now.alias("created_at"),
-        now.alias("updated_at"),
-        now.alias("scraped_at"),
-        F.lit("inserted").alias("status"),
-    )
-    return kept, added
+    joined = cut_lineage(full_batch(batch).join(target.select(KEY, "id", "created_at"), KEY, "left"))
+    known = joined.where(F.col("id").isNotNull()).withColumn("status", F.lit("updated"))
+    new = assign_ids(joined.where(F.col("id").isNull()).drop("id"), last)
+    new = new.withColumns({"created_at": now, "status": F.lit("inserted")})
+    rows = known.unionByName(new).withColumns({"updated_at": now, "scraped_at": now})
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in LISTING], "status")
 
 
-def upsert_listings(
-    target: DataFrame, batch: DataFrame, loaded_at: datetime, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def upsert_listings(target: DataFrame, batch: DataFrame, loaded_at: datetime) -> DataFrame:
     """The table after the load, with a ``status`` per row: inserted, updated or kept.
 
-    Known keys take the batch's data and keep id and created_at; new keys get the next ids.
-    ``batch`` has one row per key. It should be stored data (see ``cut_lineage``), because it
-    is read for both halves.
+    ``batch`` has one row per key. The store does not rewrite the table like this: it takes
+    only the changed rows (see ``ingest``).
     """
-    kept, added = merge_listings(target, batch, loaded_at, fits(batch, broadcast_rows))
-    return kept.unionByName(added)
+    changed = cut_lineage(changed_listings(target, batch, loaded_at, last_id(target)))
+    kept = target.join(changed.select("id"), "id", "left_anti").select(*LISTING.names)
+    return kept.withColumn("status", F.lit("kept")).unionByName(changed)
 
 
-def ids_of_keys(batch: DataFrame, listings: DataFrame, small: bool = False) -> DataFrame:
+def ids_of_keys(batch: DataFrame, listings: DataFrame) -> DataFrame:
     """The batch with the id each key has in the table; only keys and ids are read there."""
-    return listings.select(KEY, "id").join(_side(batch, small), KEY)
-
-
-def other_points(index: DataFrame, points: DataFrame, small: bool) -> DataFrame:
-    """The points of the index that are not replaced; only ids are compared."""
-    return index.join(_side(points.select("id"), small), "id", "left_anti")
+    return listings.select(KEY, "id").join(batch, KEY)
 
 
-def upsert_vectors(index: DataFrame, points: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The index with every given point put in, in place of the one of that id."""
-    small = fits(points.select("id"), broadcast_rows)
-    return other_points(index, points, small).unionByName(points)
+def upsert_vectors(index: DataFrame, points: DataFrame) -> DataFrame:
+    """The index with every given point put in, in place of the one of that id; only ids are compared."""
+    return index.join(points.select("id"), "id", "left_anti").unionByName(points)
 
 
 def load_stats(loaded: DataFrame, rejects: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import PythonException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dwellspark.operators.embedding import Embedder
 from dwellspark.operators.evaluate import TOP_K, compare_models, compare_rankings
@@ -18,17 +19,28 @@ def compare_methods(index: DataFrame, queries: DataFrame, k: int = TOP_K) -> Dat
     return compare_rankings(knn_lists(index, queries.select("query_id", "vector"), k, lists), k)
 
 
-def compare_embedders(items: DataFrame, queries: DataFrame, embedders: list[Embedder], query_numbers: list[int]) -> DataFrame:
-    """Best description score of each query under each embedder.
+def works(spark: SparkSession, embedder: Embedder) -> bool:
+    """Whether an embedder can encode a text; a model that is not there cannot."""
+    try:
+        spark.range(1).select(embedder.column(F.lit("text"))).collect()
+    except PythonException:
+        return False
+    return True
 
-    ``items`` has id and description, ``queries`` has query_id (its number) and query.
+
+def compare_embedders(items: DataFrame, queries: DataFrame, embedders: list[Embedder], times: DataFrame | None = None) -> DataFrame:
+    """Best description score of each query under each embedder; one that fails is left out.
+
+    ``items`` has id and description, ``queries`` has query_id and query.
     """
     spark = items.sparkSession
-    best = []
+    embedders, best = [e for e in embedders if works(spark, e)], []
     for embedder in embedders:
         index = items.select("id", embedder.column(F.col("description")).alias("description"))
         asked = queries.select("query_id", embedder.column(F.col("query")).alias("vector"))
         hits = knn_batch(index, asked, 1, "description")
-        best.append(hits.select(F.lit(embedder.name).alias("model"), F.col("query_id").alias("query_number"), "score"))
+        best.append(hits.select(F.lit(embedder.name).alias("model"), "query_id", "score"))
+    if not best:
+        best = [spark.createDataFrame([], "model string, query_id long, score double")]
     models = spark.createDataFrame([(e.name, e.dim) for e in embedders], "model string, dimension int")
-    return compare_models(reduce(DataFrame.unionByName, best), models, query_numbers)
+    return compare_models(reduce(DataFrame.unionByName, best), models, times)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dwellspark.functions.text import strip_whitespace
 from dwellspark.operators.cleaning import clean_listings, split_rejects
 from dwellspark.operators.embedding import Embedder, embed_listings
 from dwellspark.operators.records import build_points
-from dwellspark.operators.upsert import (
-    BROADCAST_ROWS, dedup_by_key, fits, ids_of_keys, merge_listings, other_points,
-)
-from dwellspark.schema import INDEX, LISTING
-from dwellspark.session import cut_lineage
-from dwellspark.sources.snapshots import ID_BLOCKS, ensure_tables, publish_index, publish_listings, scan_table
+from dwellspark.operators.upsert import changed_listings, dedup_by_key
+from dwellspark.schema import KEY, LISTING
+from dwellspark.session import cut_lineage, cuts_deleted
+from dwellspark.sources.snapshots import ID_BLOCKS
+from dwellspark.sources.store import Commit, commit, commits, ensure_tables, new_load, read_table, write_load
+
+# Fields whose text may not be readable as their type.
+TYPED = ["price", "rooms", "size_sqm", "floor", "total_floors", "pets_allowed"]
+STATS = "inserted long, updated long, duplicates long, errors long, unread_values long, total_listings long"
 
 
 @dataclass(frozen=True)
@@ -28,23 +32,19 @@ class Load:
     stats: DataFrame
 
 
-def prepare(raw: DataFrame, loaded_at: datetime) -> tuple[DataFrame, DataFrame]:
-    """One typed row per key, and the rejected rows."""
-    good, rejects = split_rejects(clean_listings(raw))
-    if "scraped_at" not in good.columns:
-        good = good.withColumn("scraped_at", F.lit(loaded_at))
-    return dedup_by_key(good).drop("scraped_at"), rejects
-
+def prepare(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed rows with ``unread``, how many of their values could not be read, and the rejected rows.
 
-def stats_at(listings: DataFrame, loaded_at: datetime) -> DataFrame:
-    """Counts of the load made at that time, from the stored table alone."""
-    now = F.lit(loaded_at)
-    loaded = F.col("scraped_at") == now
-    return listings.agg(
-        F.count_if(loaded & (F.col("created_at") == now)).alias("inserted"),
-        F.count_if(loaded & (F.col("created_at") < now)).alias("updated"),
-        F.count(F.lit(1)).alias("total_listings"),
-    )
+    ``source_order`` tells which of two rows is later; rows without one count in the order
+    in which they come.
+    """
+    if "source_order" not in raw.columns:
+        raw = raw.withColumn("source_order", F.monotonically_increasing_id())
+    given = [name for name in TYPED if name in raw.columns]
+    said = F.struct(*[(F.length(strip_whitespace(F.col(n).cast("string"))) > 0).alias(n) for n in given], F.lit(True).alias("_"))
+    good, rejects = split_rejects(clean_listings(raw.withColumn("_said", said)))
+    lost = [F.when(F.col(f"_said.{n}") & F.col(n).isNull(), 1).otherwise(0) for n in given]
+    return good.withColumn("unread", sum(lost, F.lit(0))).drop("_said"), rejects.drop("_said", "source_order")
 
 
 def points_of(listings: DataFrame, embedder: Embedder) -> DataFrame:
@@ -52,27 +52,53 @@ def points_of(listings: DataFrame, embedder: Embedder) -> DataFrame:
     return build_points(embed_listings(listings, embedder))
 
 
-def ingest(raw: DataFrame, root: str, embedder: Embedder, loaded_at: datetime, id_blocks: int = ID_BLOCKS) -> Load:
-    """Loads a batch into the tables under ``root`` and returns their new versions.
+def _loaded(spark: SparkSession, root: str, known: list[Commit]) -> Load:
+    last = known[-1]
+    stats = spark.createDataFrame([last.stats or {}], STATS)
+    rejects = spark.read.parquet(f"{last.folder}/rejects")
+    return Load(read_table(spark, root, "listings", known), read_table(spark, root, "index", known), rejects, stats)
+
+
+def ingest(
+    raw: DataFrame, root: str, embedder: Embedder, loaded_at: datetime, id_blocks: int = ID_BLOCKS, epoch: int | None = None
+) -> Load:
+    """Loads a batch into the store under ``root`` and returns the tables as of this load.
+
+    Of several rows with a key the latest by ``source_order`` counts; the others are counted
+    as duplicates, rejected rows as errors, both in ``stats``. Rejects are stored beside the
+    load. The load costs the batch, its embedding, and a join with the table's keys; stored
+    files stay as they are. The index rows are derived from the stored listing rows of the
+    same load, and one commit makes both visible.
 
-    Ids are a stored column before the index is derived from the same rows, so the two
-    tables cannot disagree about them. ``loaded_at`` is the time of this load and must be
-    later than that of the loads before. ``id_blocks`` folders hold the listing rows; with
-    more of them a result page reads less of a large table.
+    ``id_blocks`` holds for a new store. An ``epoch`` not after the last one committed was
+    loaded before: then nothing is done, so a stream may repeat it.
     """
     spark = raw.sparkSession
-    ensure_tables(spark, root)
-    batch, rejects = prepare(raw, loaded_at)
-    batch = cut_lineage(batch)
-    small = fits(batch, BROADCAST_ROWS)
-    target = scan_table(spark, f"{root}/listings").select(*LISTING.names)
-    kept, added = (rows.select(*LISTING.names) for rows in merge_listings(target, batch, loaded_at, small))
-    # Next to a small batch the old rows are where they belong; after a join by key they are not.
-    rows, settled = (added, kept) if small else (kept.unionByName(added), None)
-    listings = publish_listings(rows, f"{root}/listings", id_blocks, settled=settled)
-    # All data of the loaded rows is in the batch, so the table gives no more than their ids.
-    points = cut_lineage(points_of(ids_of_keys(batch, listings, small), embedder))
-    others = other_points(scan_table(spark, f"{root}/index").select(*INDEX.names), points, small)
-    rows, settled = (points, others) if small else (others.unionByName(points), None)
-    index = publish_index(rows, f"{root}/index", settled=settled)
-    return Load(listings, index, rejects, stats_at(listings, loaded_at))
+    ensure_tables(spark, root, id_blocks)
+    known = commits(spark, root)
+    last = known[-1]
+    if epoch is not None and last.epoch is not None and epoch <= last.epoch:
+        return _loaded(spark, root, known)
+    made = replace(last, number=last.number + 1, folder=new_load(root, last.number + 1), base=False, epoch=last.epoch if epoch is None else epoch)
+    with cuts_deleted(spark):
+        good, rejects = prepare(raw)
+        rejects.write.parquet(f"{made.folder}/rejects")
+        order = [c for c in ("scraped_at", "source_order") if c in good.columns]
+        good = cut_lineage(good.select(KEY, *[c for c in good.columns if c != KEY and c in {*LISTING.names, *order, "unread"}]))
+        batch = dedup_by_key(good, latest=order).drop("unread")
+        rows = changed_listings(read_table(spark, root, "listings", known), batch, loaded_at, last.last_id)
+        rows = write_load(rows.drop("status"), made.folder, "listings", last.blocks)
+        write_load(points_of(rows, embedder), made.folder, "index", last.blocks)
+        sums = good.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("unread"), F.lit(0)).alias("unread")).first()
+        errors = spark.read.parquet(f"{made.folder}/rejects").count()
+    found = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("created_at") == F.lit(loaded_at)).alias("new"), F.max("id").alias("last")
+    ).first()
+    total = last.total + found.new
+    stats = {
+        "inserted": found.new, "updated": found.n - found.new, "duplicates": sums.n - found.n, "errors": errors,
+        "unread_values": sums.unread, "total_listings": total,
+    }
+    made = replace(made, last_id=max(last.last_id, found.last or 0), total=total, stats=stats)
+    commit(spark, root, made)
+    return _loaded(spark, root, [*known, made])

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from dwellspark.functions.phrases import PHRASES as P
-from dwellspark.functions import display as D
 from dwellspark.plans.tables import FORM_COLUMNS, LISTING_COLUMNS, RAW_COLUMNS, REQUEST_COLUMNS
 
-PARTS = "from (select p.*, d.text from part p join documents d on d.doc_id = p.p_partkey)"
+PARTS = "from (select p.*, d.text from part p join documents d on d.doc_id = p.p_partkey % (select count(*) from documents))"
 LISTING = f"listing as (select {LISTING_COLUMNS} {PARTS})"
 RAW = f"raw as (select {RAW_COLUMNS} {PARTS})"
 FORM = f"form as (select {FORM_COLUMNS} from part)"
@@ -14,12 +12,12 @@ N = "(select count(*) from embeddings)"
 HALF = "(select count(*)//2 from listing)"
 INDEX = f"""{LISTING}, idx as (
   select l.*, s.embedding::double[] as sv, d.embedding::double[] as dv
-  from listing l join embeddings s on s.vec_id = l.id
+  from listing l join embeddings s on s.vec_id = l.id % {N}
   join embeddings d on d.vec_id = (l.id + {N}//2) % {N})"""
-REQUEST = f"request as (select r.*, e.embedding::double[] as qv from (select {REQUEST_COLUMNS} from listing) r join embeddings e on e.vec_id = r.query_id)"
+REQUEST = f"request as (select r.*, e.embedding::double[] as qv from (select {REQUEST_COLUMNS} from listing) r join benchmark on item_id = r.query_id join embeddings e on e.vec_id = r.query_id % {N})"
 MEAN = """mean as (select list(x order by i) as qv from (select i, avg(x) as x from (
   select generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings) group by i))"""
-EACH = "q as (select vec_id as query_id, embedding::double[] as qv from embeddings)"
+EACH = f"q as (select item_id as query_id, embedding::double[] as qv from benchmark join embeddings on vec_id = item_id % {N})"
 
 
 def cos(a: str, b: str) -> str:
@@ -68,19 +66,16 @@ REASON = "case when rooms >= 99.95 then 'rooms out of range' else '' end"
 ROOMS_TEXT = r"regexp_replace(cast(rooms as varchar), '\.0$', '')"
 
 
-def phrase(name: str, value: str) -> str:
-    head, tail = P[name].split("{}")
-    return f"'{head}'||{value}||'{tail}'"
-
-
-SENTENCE = f"""concat_ws(', ', {phrase('rooms', ROOMS_TEXT)}, nullif(city, ''),
+SENTENCE = f"""concat_ws(', ', {ROOMS_TEXT}||' חדרים', nullif(city, ''),
   coalesce(nullif(neighborhood, ''), nullif(location, '')),
-  case when has_parking then '{P['has_parking']}' end, case when has_elevator then '{P['has_elevator']}' end,
-  case when furnished then '{P['furnished']}' end, case when has_balcony then '{P['has_balcony']}' end,
-  case when has_storage then '{P['has_storage']}' end, {phrase('price', "format('{:,}', price)")},
-  case when size_sqm <> 0 then {phrase('size_sqm', 'size_sqm')} end,
-  case when floor = 0 then '{P['ground']}' when floor < 0 then {phrase('below', 'abs(floor)')}
-    else {phrase('above', 'floor')} end)"""
+  case when has_parking then 'עם חניה' end, case when has_elevator then 'עם מעלית' end,
+  case when furnished then 'מרוהט' end, case when has_balcony then 'עם מרפסת' end,
+  case when has_storage then 'עם מחסן' end, format('{{:,}}', price)||' ש״ח',
+  case when size_sqm <> 0 then size_sqm||' מ״ר' end,
+  case when floor = 0 then 'קרקע' when floor < 0 then 'קומה '||abs(floor)||' למטה' else 'קומה '||floor end)"""
+CARD_FLAGS = """case when has_parking then '🚗 חניה' end, case when has_elevator then '🛗 מעלית' end,
+  case when has_balcony then '🌳 מרפסת' end, case when has_storage then '📦 מחסן' end,
+  case when furnished then '🛋️ מרוהט' end, case when pets_allowed then '🐾 חיות מחמד' end"""
 
 FLAGS = ["has_parking", "has_elevator", "has_balcony", "has_storage", "furnished"]
 PAYLOAD = f"""id as listing_id, external_id, price, rooms, size_sqm, floor, total_floors, nullif(city, '') as city,
@@ -107,10 +102,15 @@ def buckets(source: str, key: str, text: str, dim: int, name: str) -> str:
 
 def best_per_model(dim: int) -> str:
     return f"""with {buckets('documents', 'doc_id', 'text', dim, 'item')}, {buckets('benchmark', 'item_id', 'text', dim, 'ask')}
-  select 'hashing-{dim}' as model, {dim} as dimension, 'query_'||ask.k as query, max({cos('ask.v', 'item.v')}) as score
+  select 'hashing-{dim}' as model, {dim} as dimension, ask.k as query_id, max({cos('ask.v', 'item.v')}) as score
   from ask, item group by ask.k"""
 
 
+def digest(vector: str) -> str:
+    """One number of all values of a vector and their places."""
+    return f"round(list_sum(list_transform({vector}, lambda x, i: round(x, 6) * i)), 6)"
+
+
 BATCH = f"batch as (select 'ext-'||(id+{HALF}) as external_id, title, price+1000 as price, rooms, furnished from listing)"
 COMPARED = f"""{INDEX}, {EACH}, {top(cos('qv', 'dv'), 'idx', 5, 'regular')}, {top(MAX_SIM, 'idx', 5, 'multi')},
   a as (select query_id, list(id order by rank) as ids, max(score) as s from regular group by query_id),
@@ -126,6 +126,8 @@ LISTING_FIELDS = """id, external_id, title, description, price, nullif(rooms, 0)
 CREATED_TEXT = "'2024-01-01T00:00:00+00:00'"
 INGESTED = f"""{RAW}, {CLEANED}, {GOOD}, stored as (
   select *, row_number() over (order by external_id) as id from good)"""
+STORED_TEXT = f"(select id, {SENTENCE} as text, description from stored)"
+SENTENCES = f"{buckets(STORED_TEXT, 'id', 'text', 64, 'sv')}, {buckets('stored', 'id', 'description', 64, 'dv')}"
 HITS = "found as (select label as query_id, vec_id as id, round(embedding[1]::double, 6) as score from embeddings)"
 
 SEARCHED = f"""{INDEX}, {REQUEST}, scored as (
@@ -142,6 +144,8 @@ ORACLES = {
     "knn_top10": f"""with {MEAN} select vec_id as id, {cos('qv', 'embedding::double[]')} as score from embeddings, mean
   order by score desc, id limit 10""",
     "knn_batch": f"""with {EACH}, item as (select vec_id as id, embedding::double[] as v from embeddings),
+  {top(cos('qv', 'v'), 'item', 10)} select * from hit""",
+    "knn_many_queries": f"""with {EACH}, item as (select vec_id as id, embedding::double[] as v from embeddings),
   {top(cos('qv', 'v'), 'item', 10)} select * from hit""",
     "knn_filtered": f"""with {INDEX}, {MEAN} select id, {cos('qv', 'sv')} as score from idx, mean where {FILTER_ALL}
   order by score desc, id limit 20""",
@@ -154,6 +158,8 @@ ORACLES = {
   best as (select query_id, id, max(score) as score from (select * from one union all select * from two) group by 1, 2)
   select * from (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from best)
   where rank <= 10""",
+    "fuse_with_limits": f"""with {INDEX}, {EACH}, {top(MAX_SIM, 'idx', 100)} select * from hit
+  where rank <= case when query_id % 3 > 0 then 1 + query_id % 30 else 10 end""",
     "filter_price": f"with {LISTING} select id, price from listing where price >= 905 and price <= 990",
     "filter_rooms": f"with {LISTING} select id, rooms from listing where rooms >= 1 and rooms <= 3.5",
     "filter_city": f"with {LISTING} select id, city from listing where city = 'Brand#17'",
@@ -175,6 +181,18 @@ ORACLES = {
     "search_filtered": f"""with {SEARCHED}
   select query_id, rank, score, count(*) over (partition by query_id) as total_results, id, title, price, rooms
   from ranked where rank <= most""",
+    "search_stored": f"""with {SEARCHED}
+  select query_id, rank, score, count(*) over (partition by query_id) as total_results, l.* replace (l.rooms as rooms),
+  '2024-01-01 00:00:00' as created_at, '2024-01-01 00:00:00' as updated_at, '2024-01-01 00:00:00' as scraped_at
+  from ranked join listing l using (id) where rank <= most""",
+    "search_one": f"""with {LISTING}, sentence as (select id, {SENTENCE} as text from listing),
+  ask_text as (select 1 as query_id, 'large green room' as query),
+  {buckets('sentence', 'id', 'text', 64, 'sv')}, {buckets('listing', 'id', 'description', 64, 'dv')},
+  {buckets('ask_text', 'query_id', 'query', 64, 'qv')},
+  scored as (select l.id, greatest({cos('qv.v', 'sv.v')}, {cos('qv.v', 'dv.v')}) as score, l.title
+    from qv, listing l join sv on sv.k = l.id left join dv on dv.k = l.id where l.price <= 1900 and l.has_parking),
+  ranked as (select *, row_number() over (order by score desc, id) as rank from scored)
+  select rank, score, (select least(20, count(*)) from scored) as total_results, id, title from ranked where rank <= 20""",
     "search_listings": f"with {SEARCHED} select query_id, rank, id, score from ranked where rank <= most",
     "search_text": f"""with {LISTING}, sentence as (select id, {SENTENCE} as text from listing),
   ask_text as (select p_name as query, min(p_partkey) as query_id from part group by 1),
@@ -208,8 +226,14 @@ ORACLES = {
     "payload": f"with {LISTING} select {PAYLOAD} from listing",
     "payload_json": f"""with {LISTING}, p as (select {PAYLOAD} from listing)
   select listing_id as id, '{{'||concat_ws(',', {JSON_PARTS})||'}}' as payload from p""",
-    "build_points": f"""with {LISTING} select id, 64 as structured_dim, 64 as description_dim, id as listing_id,
-  coalesce(furnished, false) as furnished from listing""",
+    "build_points": f"""with {LISTING}, sentence as (select id, {SENTENCE} as text from listing),
+  {buckets('sentence', 'id', 'text', 64, 'sv')}, {buckets('listing', 'id', 'description', 64, 'dv')}
+  select id, {digest('sv.v')} as structured, {digest('dv.v')} as description, id as listing_id,
+  coalesce(furnished, false) as furnished from listing left join sv on sv.k = id left join dv on dv.k = id""",
+    "nested_point": f"""with {INDEX} select id, {digest('sv')} as structured, {digest('dv')} as description, external_id, rooms from idx""",
+    "embed_text": f"""with ask_text as (select 1 as query_id, 'the and of large room' as query),
+  {buckets('documents', 'doc_id', 'text', 64, 'dv')}, {buckets('ask_text', 'query_id', 'query', 64, 'qv')}
+  select dv.k as doc_id, {cos('dv.v', 'qv.v')} as score from dv, qv""",
     "listing_to_record": f"""with {LISTING} select {LISTING_FIELDS}, {CREATED_TEXT} as created_at, {CREATED_TEXT} as updated_at,
   {CREATED_TEXT} as scraped_at from listing""",
     "hash_embed": f"""with {buckets('documents', 'doc_id', 'text', 64, 'item')}
@@ -227,7 +251,7 @@ ORACLES = {
   select 'description', len(dv) from idx)
   select name, count(*) as points_count, count(*) filter (dim is null) as missing, min(dim) as min_dim, max(dim) as max_dim
   from v group by name""",
-    "scan_vectors": f"with {INDEX} select id, city, price, round(dv[1], 6) as first from idx",
+    "scan_vectors": f"with {INDEX} select id, city, price, {digest('dv')} as digest from idx",
     "upsert_listings": f"""with {LISTING}, {BATCH}, known as (
     select l.id, l.external_id, b.external_id is not null as hit, l.title as t, b.title as bt, l.price as p, b.price as bp,
       l.rooms as r, b.rooms as br, l.furnished as f, coalesce(b.furnished, false) as bf
@@ -238,6 +262,18 @@ ORACLES = {
     case when hit then br else r end as rooms, case when hit then bf else f end as furnished,
     case when hit then 'updated' else 'kept' end as status, false as created_now, hit as updated_now, hit as scraped_now from known
   union all select id, external_id, title, price, rooms, coalesce(furnished, false), 'inserted', true, true, true from fresh""",
+    "upsert_partial_batch": f"""with {LISTING}, b as (
+    select 'ext-'||(id+{HALF}) as external_id, price+1000 as price from listing),
+  fresh as (select *, row_number() over (order by external_id) + (select max(id) from listing) as id
+    from b anti join listing using (external_id))
+  select l.id, external_id, case when b.external_id is null then title end as title, case when b.external_id is null then l.price else b.price end as price,
+    case when b.external_id is null then city end as city, b.external_id is null and has_parking as has_parking,
+    case when b.external_id is null then furnished else false end as furnished, case when b.external_id is null then pets_allowed end as pets_allowed,
+    case when b.external_id is null then 'kept' else 'updated' end as status from listing l left join b using (external_id)
+  union all select id, external_id, null, price, null, false, false, null, 'inserted' from fresh""",
+    "dedup_latest_feed": """select 'ext-'||k as external_id, arg_max(p_partkey, (p_partkey % 2) * 1000000000 + p_partkey)::int as price
+  from (select p_partkey, p_partkey % 50 as k from part) group by k""",
+    "ensure_tables": f"with {INGESTED} select id, external_id, price from stored",
     "load_stats": f"""with {RAW}, {CLEANED} select cast(0 as bigint) as inserted, count(*) filter (rooms is null or rooms < 99.95) as updated,
   count(*) filter (rooms >= 99.95) as errors, count(*) as total_listings from cleaned""",
     "dedup_by_key": """select external_id, event_id, event_type, value from (select 'ext-'||user_id as external_id, event_id, event_type, value,
@@ -246,15 +282,23 @@ ORACLES = {
   select p_partkey, case when p_size%4=0 then '' when p_size%4<>1 then p_name end as external_id from part)""",
     "assign_ids": f"with {LISTING} select external_id, title, 1000 + row_number() over (order by external_id) as id from listing",
     "key_lookup": f"with {LISTING}, {BATCH} select l.id, external_id, b.price from batch b join listing l using (external_id)",
-    "upsert_vectors": f"""with {INDEX}, moved as (select id+{HALF} as id, id as listing_id, dv[1] as first from idx)
-  select id, listing_id, round(first, 6) as first from moved union all
-  select id, id, round(sv[1], 6) from idx where id not in (select id from moved)""",
+    "upsert_vectors": f"""with {INDEX}, points as materialized (select id, {digest('sv')} as s, {digest('dv')} as d from idx),
+  moved as materialized (select id + (select count(*)//2 from points) as id, id as listing_id, d as structured, s as description from points)
+  select * from moved union all select id, id, s, d from points anti join moved using (id)""",
     "vector_stats": f"with {LISTING} select count(*) as loaded, cast(0 as bigint) as errors from listing",
-    "ingest": f"""with {INGESTED} select id, external_id, title, description, price, round(rooms, 1) as rooms, size_sqm,
-  has_parking, furnished, cast(pets_allowed as boolean) as pets_allowed, nullif(city, '') as city, 64 as dim from stored""",
-    "ingest_stats": f"""with {INGESTED} select count(*) as inserted, cast(0 as bigint) as updated, count(*) as total_listings, 1 as load from stored
-  union all select 0, count(*), count(*), 2 from stored""",
-    "stream_ingest": f"with {INGESTED} select id, external_id, title, price, has_parking from stored",
+    "ingest": f"""with {INGESTED}, {SENTENCES} select id, external_id, title, description, price, round(rooms, 1) as rooms, size_sqm,
+  has_parking, furnished, cast(pets_allowed as boolean) as pets_allowed, nullif(city, '') as city,
+  {digest('sv.v')} as structured, {digest('dv.v')} as about from stored left join sv on sv.k = id left join dv on dv.k = id""",
+    "ingest_stats": f"""with {RAW}, {CLEANED}, {GOOD}, unread as (select r.external_id,
+    coalesce(trim(r.price) <> '' and c.price is null, false)::int + coalesce(trim(r.rooms) <> '' and c.rooms is null, false)::int
+    + coalesce(trim(r.size_sqm) <> '' and c.size_sqm is null, false)::int as cells from raw r join cleaned c using (external_id)),
+  n as (select count(*) as rows, count(*) filter (length(external_id) % 3 = 0) as part, coalesce(sum(u.cells), 0) as cells,
+    coalesce(sum(u.cells) filter (length(external_id) % 3 = 0), 0) as part_cells from good join unread u using (external_id)),
+  bad as (select count(*) as rows, count(*) filter (length(external_id) % 3 = 0) as part from cleaned where rooms >= 99.95)
+  select n.part as inserted, cast(0 as bigint) as updated, cast(0 as bigint) as duplicates, bad.part as errors,
+    cast(part_cells as bigint) as unread_values, n.part as total_listings, 1 as load from n, bad
+  union all select n.rows - n.part, n.part, n.rows, 2 * bad.rows, cast(2 * cells as bigint), n.rows, 2 from n, bad""",
+    "stream_ingest": f"with {INGESTED} select external_id, title, price, has_parking, true as loaded from stored",
     "read_listings": f"with {RAW} select external_id, title, description, price, rooms, city from raw",
     "snapshot_tables": f"""with {INDEX} select l.id, l.external_id, l.id % 64 as id_block, i.price, i.city
   from listing l left join idx i on i.id = l.id""",
@@ -268,13 +312,16 @@ ORACLES = {
   round(avg(overlap_ratio), 6) as avg_overlap, round(avg(score_improvement), 6) as avg_score_improvement,
   avg(score_improvement) > 0 as improves, count(*) filter (top_changed) * 2 > count(*) as changes_ranking from compared""",
     "compare_models": f"select * from ({best_per_model(16)}) union all select * from ({best_per_model(64)})",
+    "timing_summary": """with t as (select 10.0::double as e, (value / 1000 + 1) * 1000 as r, (value / 900 + 1.1) * 1000 as m from events)
+  select round(avg(e), 6) as avg_query_encode_time_ms, round(avg(r), 6) as avg_regular_time_ms, round(avg(m), 6) as avg_multivector_time_ms,
+  round((avg(m) / avg(r) - 1) * 100, 6) as overhead_percent, (avg(m) / avg(r) - 1) * 100 < 20 as overhead_minimal from t""",
     "display_card": f"""with {LISTING}, s as (select *, rooms/7 as score from listing) select id,
-  '#'||(id+1)||' - '||coalesce(title, '{D.NO_TITLE}')||' | דמיון: '||printf('%.2f', score*100)||'%' as card_title,
-  coalesce('₪'||format('{{:,}}', price), '{D.UNKNOWN}') as price_text, coalesce({ROOMS_TEXT}, '{D.UNKNOWN}') as rooms_text,
-  coalesce(case when size_sqm <> 0 then size_sqm||' מ²' end, '{D.UNKNOWN}') as size_text,
-  case when pets_allowed is null then '{D.UNKNOWN}' when pets_allowed then '{D.YES}' else '{D.NO}' end as pets_text,
+  '#'||(id+1)||' - '||coalesce(title, 'ללא כותרת')||' | דמיון: '||printf('%.2f', score*100)||'%' as card_title,
+  coalesce('₪'||format('{{:,}}', price), 'לא צוין') as price_text, coalesce({ROOMS_TEXT}, 'לא צוין') as rooms_text,
+  coalesce(case when size_sqm <> 0 then size_sqm||' מ²' end, 'לא צוין') as size_text,
+  case when pets_allowed is null then 'לא צוין' when pets_allowed then 'כן' else 'לא' end as pets_text,
   concat_ws(', ', nullif(city, ''), nullif(location, ''), nullif(neighborhood, '')) as place_line,
   concat_ws(', ', 'קומה '||floor, 'מתוך '||total_floors||' קומות') as floor_line,
-  concat_ws(' | ', {', '.join(f"case when {n} then '{t}' end" for n, t in D.FEATURES.items())}) as feature_line,
+  concat_ws(' | ', {CARD_FLAGS}) as feature_line,
   printf('%.1f', score*100)||'%' as score_text from s""",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,23 +16,24 @@ from dwellspark.operators import lookup
 from dwellspark.operators.cleaning import clean_listings as clean
 from dwellspark.operators.cleaning import clean_text_columns as clean_texts
 from dwellspark.operators.cleaning import split_rejects, to_table_types
-from dwellspark.operators.embedding import HashingEmbedder, dimensions, embed_column, embed_listings
+from dwellspark.operators.embedding import HashingEmbedder, dimensions, embed_column, embed_listings, embed_text
 from dwellspark.operators.fusion import fuse_max_sim, max_sim, max_sim_batch
 from dwellspark.operators.knn import knn, knn_batch, rank_all, top_hits
 from dwellspark.operators.lookup import assign_rank, fetch_hits, respond, with_preview
-from dwellspark.operators.records import build_payload, build_points, listing_to_record, payload_json
+from dwellspark.operators.records import build_payload, build_points, listing_to_record, nested_point, payload_json
 from dwellspark.operators.upsert import (
     assign_ids, dedup_by_key, ids_of_keys, load_stats, require_key, upsert_listings, upsert_vectors, vector_stats,
 )
 from dwellspark.plans import tables as V
 from dwellspark.plans.experiment import compare_embedders, compare_methods
-from dwellspark.plans.ingest import ingest
-from dwellspark.plans.requests import normalize_ui_filters, validate_requests
-from dwellspark.plans.search import search, search_listings, search_vectors
+from dwellspark.plans.ingest import ingest, prepare
+from dwellspark.plans.requests import SearchRequest, normalize_ui_filters, validate_requests
+from dwellspark.plans.search import search, search_listings, search_one, search_vectors
 from dwellspark.schema import LISTING
-from dwellspark.session import cut_lineage, shared_dir
+from dwellspark.session import cut_lineage, new_folder
 from dwellspark.sources.listings import read_listings, scan_vectors
 from dwellspark.sources.snapshots import collection_info, publish_index, publish_listings, scan_table
+from dwellspark.sources.store import compact, ensure_tables, read_table
 from dwellspark.streaming.landing import stream_ingest
 
 Session = SparkSession
@@ -66,8 +66,14 @@ def _batch(spark: Session, sf_dir: str) -> DataFrame:
     ).drop("id")
 
 
+def _digest(vector) -> F.Column:
+    """One number of all values of a vector and their places."""
+    weighed = F.transform(vector, lambda x, i: F.round(x.cast("double"), 6) * (i + 1))
+    return F.round(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 6)
+
+
 def _run_dir(spark: Session) -> str:
-    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    return new_folder(spark, "run")
 
 
 # Similarity search
@@ -82,6 +88,12 @@ def knn_all_queries(spark: Session, sf_dir: str) -> DataFrame:
     return knn_batch(items, V.query_vectors(spark, sf_dir), 10)
 
 
+def knn_many_queries(spark: Session, sf_dir: str) -> DataFrame:
+    """The form for query tables that are too large to send around, in blocks of 64."""
+    items = V.read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return knn_batch(items, V.query_vectors(spark, sf_dir), 10, broadcast_queries=1, block_rows=64)
+
+
 def rank_all_items(spark: Session, sf_dir: str) -> DataFrame:
     items = V.read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     return rank_all(items, V.mean_vector(spark, sf_dir))
@@ -99,6 +111,12 @@ def fuse_max_sim_top10(spark: Session, sf_dir: str) -> DataFrame:
     return fuse_max_sim(V.index_view(spark, sf_dir), V.query_vectors(spark, sf_dir), 10)
 
 
+def fuse_with_limits(spark: Session, sf_dir: str) -> DataFrame:
+    """Queries with their own limits; without one it is the default."""
+    limit = F.when(F.col("query_id") % 3 > 0, (1 + F.col("query_id") % 30).cast("int"))
+    return fuse_max_sim(V.index_view(spark, sf_dir), V.query_vectors(spark, sf_dir).withColumn("limit", limit), 100)
+
+
 def knn_filtered(spark: Session, sf_dir: str) -> DataFrame:
     return knn(V.index_view(spark, sf_dir), V.mean_vector(spark, sf_dir), 20, "structured", FILTER_ALL, "payload.")
 
@@ -151,6 +169,18 @@ def search_filtered(spark: Session, sf_dir: str) -> DataFrame:
     )
 
 
+def search_stored(spark: Session, sf_dir: str) -> DataFrame:
+    """The same over stored tables, the listings in 256 blocks; all fields of the response."""
+    root = _run_dir(spark)
+    listings = publish_listings(_stored(V.listing_view(spark, sf_dir)), f"{root}/listings", 256)
+    index = publish_index(V.index_view(spark, sf_dir), f"{root}/index")
+    found = search_vectors(index, listings, V.request_view(spark, sf_dir))
+    times = [F.date_format(f"listing.{n}", "yyyy-MM-dd HH:mm:ss").alias(n) for n in ("created_at", "updated_at", "scraped_at")]
+    return found.select("query_id", "rank", "score", "total_results", "listing.*").drop("created_at", "updated_at", "scraped_at").join(
+        found.select("query_id", "rank", *times), ["query_id", "rank"]
+    )
+
+
 def search_hits(spark: Session, sf_dir: str) -> DataFrame:
     return search_listings(V.index_view(spark, sf_dir), V.request_view(spark, sf_dir))
 
@@ -165,6 +195,15 @@ def search_text(spark: Session, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "score", "listing.id", "listing.title", "listing.price")
 
 
+def search_single(spark: Session, sf_dir: str) -> DataFrame:
+    """One request, by a text."""
+    points = build_points(embed_listings(V.listing_view(spark, sf_dir), EMBEDDER))
+    index = publish_index(points, f"{_run_dir(spark)}/index")
+    request = SearchRequest("large green room", limit=20, price_max=1900, has_parking=True)
+    found = search_one(index, _stored(V.listing_view(spark, sf_dir)), request, EMBEDDER)
+    return found.select("rank", "score", "total_results", "listing.id", "listing.title")
+
+
 def _hits(spark: Session, sf_dir: str) -> DataFrame:
     """Every embedding as a hit for its label; some ids have no listing."""
     first = F.round(F.element_at("embedding", 1).cast("double"), 6)
@@ -198,11 +237,11 @@ def text_preview(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def html_unescape_pages(spark: Session, sf_dir: str) -> DataFrame:
-    return V.read_texts(spark, sf_dir, "pages").select("page_id", html_unescape(F.col("html")).alias("html"))
+    return V.read(spark, sf_dir, "pages").select("page_id", html_unescape(F.col("html")).alias("html"))
 
 
 def collapse_whitespace_documents(spark: Session, sf_dir: str) -> DataFrame:
-    return V.read_texts(spark, sf_dir, "documents").select("doc_id", collapse_whitespace(F.col("text")).alias("text"))
+    return V.read(spark, sf_dir, "documents").select("doc_id", collapse_whitespace(F.col("text")).alias("text"))
 
 
 def trim_text_names(spark: Session, sf_dir: str) -> DataFrame:
@@ -210,11 +249,11 @@ def trim_text_names(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def clean_text_documents(spark: Session, sf_dir: str) -> DataFrame:
-    return V.read_texts(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return V.read(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 def clean_text_pages(spark: Session, sf_dir: str) -> DataFrame:
-    return V.read_texts(spark, sf_dir, "pages").select("page_id", clean_text(F.col("html")).alias("html"))
+    return V.read(spark, sf_dir, "pages").select("page_id", clean_text(F.col("html")).alias("html"))
 
 
 def clean_text_columns(spark: Session, sf_dir: str) -> DataFrame:
@@ -256,11 +295,19 @@ def payload_as_json(spark: Session, sf_dir: str) -> DataFrame:
 def points(spark: Session, sf_dir: str) -> DataFrame:
     built = build_points(embed_listings(V.listing_view(spark, sf_dir), EMBEDDER))
     return built.select(
-        "id", F.size("structured").alias("structured_dim"), F.size("description").alias("description_dim"),
+        "id", _digest("structured").alias("structured"), _digest("description").alias("description"),
         F.col("payload.listing_id").alias("listing_id"), F.col("payload.furnished").alias("furnished"),
     )
 
 
+def nested_points(spark: Session, sf_dir: str) -> DataFrame:
+    point = V.index_view(spark, sf_dir).select(nested_point().alias("point"))
+    return point.select(
+        "point.id", _digest("point.vector.structured").alias("structured"),
+        _digest("point.vector.description").alias("description"), "point.payload.external_id", "point.payload.rooms",
+    )
+
+
 def records(spark: Session, sf_dir: str) -> DataFrame:
     return listing_to_record(_stored(V.listing_view(spark, sf_dir)))
 
@@ -269,11 +316,19 @@ def records(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: Session, sf_dir: str) -> DataFrame:
-    embedded = embed_column(V.read_texts(spark, sf_dir, "documents"), "text", EMBEDDER)
+    embedded = embed_column(V.read(spark, sf_dir, "documents"), "text", EMBEDDER)
     weights = embedded.select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
     return weights.select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
+def one_text(spark: Session, sf_dir: str) -> DataFrame:
+    """The documents nearest to one embedded text."""
+    text = "the and of large room"
+    documents = V.read(spark, sf_dir, "documents").select("doc_id", EMBEDDER.column(F.col("text")).alias("v"))
+    scored = documents.withColumn("score", score(F.col("v"), embed_text(text, EMBEDDER)))
+    return scored.where("score is not null").select("doc_id", "score")
+
+
 def listing_vectors(spark: Session, sf_dir: str) -> DataFrame:
     embedded = embed_listings(V.listing_view(spark, sf_dir), EMBEDDER)
     sides = F.array(
@@ -307,7 +362,7 @@ def named_vectors(spark: Session, sf_dir: str) -> DataFrame:
 
 def scan_one_vector(spark: Session, sf_dir: str) -> DataFrame:
     scanned = scan_vectors(V.index_view(spark, sf_dir), "description", ["city", "price"])
-    return scanned.select("id", "city", "price", F.round(F.element_at("description", 1).cast("double"), 6).alias("first"))
+    return scanned.select("id", "city", "price", _digest("description").alias("digest"))
 
 
 # Loading
@@ -323,6 +378,13 @@ def upsert_rows(spark: Session, sf_dir: str) -> DataFrame:
     )
 
 
+def upsert_partial(spark: Session, sf_dir: str) -> DataFrame:
+    """A batch that brings three fields only: flags become false, other absent fields NULL."""
+    batch = _batch(spark, sf_dir).select("external_id", "description", "price")
+    merged = upsert_listings(_stored(V.listing_view(spark, sf_dir)), batch, LOADED)
+    return merged.select("id", "external_id", "title", "price", "city", "has_parking", "furnished", "pets_allowed", "status")
+
+
 def load_counts(spark: Session, sf_dir: str) -> DataFrame:
     good, bad = split_rejects(clean(V.raw_view(spark, sf_dir)))
     merged = upsert_listings(_stored(V.listing_view(spark, sf_dir)), cut_lineage(good), LOADED)
@@ -337,6 +399,20 @@ def dedup_events(spark: Session, sf_dir: str) -> DataFrame:
     return dedup_by_key(batch).drop("scraped_at")
 
 
+def dedup_feed(spark: Session, sf_dir: str) -> DataFrame:
+    """A feed in two files, in which later rows repeat keys: the later file, and in it the later row, counts."""
+    folder = _run_dir(spark)
+    rows = V.read(spark, sf_dir, "part").select(
+        F.concat(F.lit("ext-"), (F.col("p_partkey") % 50).cast("string")).alias("external_id"),
+        F.lit("text").alias("description"), F.col("p_partkey").cast("string").alias("price"),
+    )
+    for half in (0, 1):
+        part = rows.where(F.col("price").cast("int") % 2 == half).coalesce(1).sortWithinPartitions(F.col("price").cast("int"))
+        part.write.mode("append").json(folder)
+    good, _ = prepare(read_listings(spark, folder))
+    return dedup_by_key(good, latest="source_order").select("external_id", "price")
+
+
 def keyed_rows(spark: Session, sf_dir: str) -> DataFrame:
     key = F.when(F.col("p_size") % 4 == 0, F.lit("")).when(F.col("p_size") % 4 != 1, F.col("p_name"))
     keyed, rest = require_key(V.read(spark, sf_dir, "part").withColumn("external_id", key))
@@ -354,16 +430,16 @@ def key_lookup(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def upsert_points(spark: Session, sf_dir: str) -> DataFrame:
+    """All points again, vectors exchanged, under ids half the table further: half of them replace one."""
     index = V.index_view(spark, sf_dir)
-    count = V.listing_view(spark, sf_dir).count()
     moved = index.select(
-        (F.col("id") + count // 2).alias("id"), F.col("description").alias("structured"),
+        (F.col("id") + index.count() // 2).alias("id"), F.col("description").alias("structured"),
         F.col("structured").alias("description"), "payload",
     )
     merged = upsert_vectors(index, cut_lineage(moved))
     return merged.select(
-        "id", F.col("payload.listing_id").alias("listing_id"),
-        F.round(F.element_at("structured", 1).cast("double"), 6).alias("first"),
+        "id", F.col("payload.listing_id").alias("listing_id"), _digest("structured").alias("structured"),
+        _digest("description").alias("description"),
     )
 
 
@@ -373,7 +449,9 @@ def point_counts(spark: Session, sf_dir: str) -> DataFrame:
 
 def ingest_flow(spark: Session, sf_dir: str) -> DataFrame:
     load = ingest(V.raw_view(spark, sf_dir), _run_dir(spark), EMBEDDER, LOADED)
-    index = load.index.select("id", "payload.city", F.size("structured").alias("dim"))
+    index = load.index.select(
+        "id", "payload.city", _digest("structured").alias("structured"), _digest("description").alias("about")
+    )
     listings = load.listings.select(
         "id", "external_id", "title", "description", "price", F.col("rooms").cast("double").alias("rooms"), "size_sqm",
         "has_parking", "furnished", "pets_allowed",
@@ -382,21 +460,35 @@ def ingest_flow(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def ingest_stats(spark: Session, sf_dir: str) -> DataFrame:
-    """The same feed loaded twice: the second load only updates."""
+    """A third of the feed, then all of it twice over: inserts, updates, duplicates and errors."""
     root = _run_dir(spark)
     raw = V.raw_view(spark, sf_dir)
-    first = ingest(raw, root, EMBEDDER, CREATED)
-    second = ingest(raw, root, EMBEDDER, LOADED)
+    first = ingest(raw.where(F.length("external_id") % 3 == 0), root, EMBEDDER, CREATED)
+    second = ingest(raw.unionByName(raw), root, EMBEDDER, LOADED)
     return first.stats.withColumn("load", F.lit(1)).unionByName(second.stats.withColumn("load", F.lit(2)))
 
 
 def stream_flow(spark: Session, sf_dir: str) -> DataFrame:
-    """The feed as files in a landing folder, loaded by the stream."""
+    """The feed as files in a landing folder, loaded in several epochs; one of them comes again."""
+    root = _run_dir(spark)
+    raw = V.raw_view(spark, sf_dir)
+    raw.repartition(3, "external_id").write.json(f"{root}/landing")
+    for _ in range(2):  # a new checkpoint repeats the epochs; the store knows them
+        mark = _run_dir(spark)
+        stream_ingest(spark, f"{root}/landing", root, EMBEDDER, mark, files_per_load=2, clock=lambda: LOADED).awaitTermination()
+    compact(spark, root)
+    table = read_table(spark, root, "listings")
+    return table.select("external_id", "title", "price", "has_parking", (F.col("updated_at") == F.lit(LOADED)).alias("loaded"))
+
+
+def empty_tables(spark: Session, sf_dir: str) -> DataFrame:
+    """Tables created twice, with a load in between; the load stays."""
     root = _run_dir(spark)
-    V.raw_view(spark, sf_dir).write.json(f"{root}/landing")
-    stream = stream_ingest(spark, f"{root}/landing", root, EMBEDDER, f"{root}/progress", clock=lambda: LOADED)
-    stream.awaitTermination()
-    return scan_table(spark, f"{root}/listings").select("id", "external_id", "title", "price", "has_parking")
+    ensure_tables(spark, root)
+    ingest(V.raw_view(spark, sf_dir), root, EMBEDDER, LOADED)
+    ensure_tables(spark, root)
+    listings, index = (read_table(spark, root, name) for name in ("listings", "index"))
+    return listings.select("id", "external_id").join(index.select("id", "payload.price"), "id")
 
 
 def json_feed(spark: Session, sf_dir: str) -> DataFrame:
@@ -449,12 +541,19 @@ def evaluation_summary(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def compare_models(spark: Session, sf_dir: str) -> DataFrame:
-    items = V.read_texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    items = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
     queries = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    numbers = [row[0] for row in queries.select("query_id").orderBy("query_id").collect()]
-    wide = compare_embedders(items, queries, [HashingEmbedder(16), HashingEmbedder(64)], numbers)
-    columns = [F.col(f"query_{n}") for n in numbers]
-    return wide.unpivot(["model", "dimension"], columns, "query", "score")
+    return compare_embedders(items, queries, [HashingEmbedder(16), HashingEmbedder(64)])
+
+
+def timing_summary(spark: Session, sf_dir: str) -> DataFrame:
+    """Times from a table of measurements: here the values of events stand for them."""
+    times = V.read(spark, sf_dir, "events").select(
+        F.lit(0.01).alias("query_encode_time"), (F.col("value") / 1000 + 1).alias("regular_time"),
+        (F.col("value") / 900 + 1.1).alias("multivector_time"),
+    )
+    found = E.timing_summary(times)
+    return found.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])
 
 
 # Display
@@ -479,12 +578,14 @@ def display_card(spark: Session, sf_dir: str) -> DataFrame:
 QUERIES = {
     "knn_top10": knn_top10,
     "knn_batch": knn_all_queries,
+    "knn_many_queries": knn_many_queries,
     "knn_filtered": knn_filtered,
     "rank_all": rank_all_items,
     "cosine_similarity": cosine_pairs,
     "max_sim_top10": max_sim_top10,
     "max_sim_batch": max_sim_all_queries,
     "fuse_max_sim_top10": fuse_max_sim_top10,
+    "fuse_with_limits": fuse_with_limits,
     "filter_price": filter_price,
     "filter_rooms": filter_rooms,
     "filter_city": filter_city,
@@ -495,6 +596,8 @@ QUERIES = {
     "validate_requests": request_check,
     "normalize_ui_filters": ui_filters,
     "search_filtered": search_filtered,
+    "search_stored": search_stored,
+    "search_one": search_single,
     "search_listings": search_hits,
     "search_text": search_text,
     "fetch_by_ids": fetch_by_ids,
@@ -514,7 +617,9 @@ QUERIES = {
     "payload": payload,
     "payload_json": payload_as_json,
     "build_points": points,
+    "nested_point": nested_points,
     "listing_to_record": records,
+    "embed_text": one_text,
     "hash_embed": hash_embed,
     "embed_listings": listing_vectors,
     "l2_normalize": normalized,
@@ -523,7 +628,10 @@ QUERIES = {
     "named_vectors": named_vectors,
     "scan_vectors": scan_one_vector,
     "upsert_listings": upsert_rows,
+    "upsert_partial_batch": upsert_partial,
     "load_stats": load_counts,
+    "dedup_latest_feed": dedup_feed,
+    "ensure_tables": empty_tables,
     "dedup_by_key": dedup_events,
     "require_key": keyed_rows,
     "assign_ids": new_ids,
@@ -541,5 +649,6 @@ QUERIES = {
     "expected_hit": expected_hit,
     "evaluation_summary": evaluation_summary,
     "compare_models": compare_models,
+    "timing_summary": timing_summary,
     "display_card": display_card,
 }

@@ -6,10 +6,9 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dwellspark.schema import REQUEST
+from dwellspark.schema import DEFAULT_LIMIT, REQUEST
 
 # The bounds of a request.
-DEFAULT_LIMIT = 10
 MIN_LIMIT = 1
 MAX_LIMIT = 100
 FORM_MAX_LIMIT = 50

@@ -11,7 +11,6 @@ from dwellspark.operators.knn import gather_queries
 from dwellspark.operators.lookup import BROADCAST_HITS, assign_rank, fetch_hits, respond
 from dwellspark.plans.requests import MAX_LIMIT, SearchRequest, validate_requests
 from dwellspark.schema import VECTOR_NAMES
-from dwellspark.sources.snapshots import ID_BLOCKS
 
 
 def search_listings(index: DataFrame, queries: DataFrame | pa.Table, prefix: str = "payload.") -> DataFrame:
@@ -19,30 +18,25 @@ def search_listings(index: DataFrame, queries: DataFrame | pa.Table, prefix: str
     return max_sim_batch(index, queries, MAX_LIMIT, VECTOR_NAMES, prefix)
 
 
-def search_vectors(
-    index: DataFrame, listings: DataFrame, queries: DataFrame, prefix: str = "payload.", id_blocks: int = ID_BLOCKS
-) -> DataFrame:
+def search_vectors(index: DataFrame, listings: DataFrame, queries: DataFrame, prefix: str = "payload.") -> DataFrame:
     """Hits of embedded queries with their listing rows, ranked after dropping ids without a row."""
     gathered = gather_queries(queries)
     bounded = isinstance(gathered, pa.Table) and gathered.num_rows * MAX_LIMIT <= BROADCAST_HITS
     hits = search_listings(index, gathered, prefix).select("query_id", "id", "score")
-    return respond(assign_rank(fetch_hits(listings, hits, bounded, id_blocks)))
+    return respond(assign_rank(fetch_hits(listings, hits, bounded)))
 
 
-def search(
-    index: DataFrame, listings: DataFrame, requests: DataFrame, embedder: Embedder, id_blocks: int = ID_BLOCKS
-) -> DataFrame:
+def search(index: DataFrame, listings: DataFrame, requests: DataFrame, embedder: Embedder) -> DataFrame:
     """Answers every valid request; a request without a match has no rows.
 
-    ``index`` and ``listings`` are stored tables, as ``ingest`` writes them, ``id_blocks`` as
-    given there. The rejected requests are ``validate_requests(requests)[1]``.
+    ``index`` and ``listings`` are stored tables, as ``ingest`` writes them. The rejected requests are ``validate_requests(requests)[1]``.
     """
     valid, _ = validate_requests(requests)
     queries = valid.withColumn("vector", embedder.column(F.col("query")))
-    return search_vectors(index, listings, queries, id_blocks=id_blocks)
+    return search_vectors(index, listings, queries)
 
 
-def search_one(index: DataFrame, listings: DataFrame, request: SearchRequest, embedder: Embedder, **layout: int) -> DataFrame:
+def search_one(index: DataFrame, listings: DataFrame, request: SearchRequest, embedder: Embedder) -> DataFrame:
     """The ranked results of one request."""
-    found = search(index, listings, request.as_table(index.sparkSession), embedder, **layout)
+    found = search(index, listings, request.as_table(index.sparkSession), embedder)
     return found.drop("query_id").orderBy("rank")

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dwellspark.operators.records import build_payload
-from dwellspark.sources.listings import spread
 
 LISTING_COLUMNS = """
   p_partkey as id, 'ext-'||cast(p_partkey as string) as external_id, p_name as title, text as description,
@@ -38,7 +37,7 @@ RAW_COLUMNS = """
   'true' as has_balcony, case when p_partkey%2=0 then 'no' end as has_storage, cast(null as string) as furnished,
   case p_partkey%3 when 0 then 'true' when 1 then 'false' end as pets_allowed"""
 
-# One request per listing, for listings like it.
+# A request after a listing, for listings like it.
 REQUEST_COLUMNS = """
   id as query_id, cast(1+id%10 as int) as "limit", price-20 as price_min, price+20 as price_max,
   case when id%2=0 then greatest(rooms-1,0) end as rooms_min, case when id%3=0 then rooms+1 end as rooms_max,
@@ -63,11 +62,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, which come in few files here."""
-    return spread(read(spark, sf_dir, name))
-
-
 def select(df: DataFrame, columns: str) -> DataFrame:
     return spark_select(df, spark_text(columns))
 
@@ -77,8 +71,10 @@ def spark_select(df: DataFrame, columns: str) -> DataFrame:
 
 
 def _parts_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
-    return read(spark, sf_dir, "part").join(documents, "p_partkey")
+    """Every part, with the text of the document of its number; numbers start again after the last document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    part = read(spark, sf_dir, "part").withColumn("doc_id", F.col("p_partkey") % documents.count())
+    return part.join(documents, "doc_id").drop("doc_id")
 
 
 def listing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,25 +90,30 @@ def form_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings with two vectors: the embedding of the id, and the one half the table further."""
+    """Every listing with two vectors: the embedding of its number, and the one half the table further.
+
+    Numbers start again after the last embedding.
+    """
     embeddings = read(spark, sf_dir, "embeddings")
     count = embeddings.count()
-    structured = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("structured"))
-    shifted = F.pmod(F.col("vec_id") - count // 2, F.lit(count))
-    description = embeddings.select(shifted.alias("id"), F.col("embedding").alias("description"))
+    one = embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("structured"))
+    two = embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("description"))
     payload = listing_view(spark, sf_dir).select("id", build_payload().alias("payload"))
-    return payload.join(structured, "id").join(description, "id").select("id", "structured", "description", "payload")
+    numbered = payload.withColumns({"a": F.col("id") % count, "b": (F.col("id") + count // 2) % count})
+    return numbered.join(one, "a").join(two, "b").select("id", "structured", "description", "payload")
 
 
 def request_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each benchmark item, after the listing of its number."""
     requests = select(listing_view(spark, sf_dir), REQUEST_COLUMNS)
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return requests.join(vectors, "query_id")
+    return requests.join(query_vectors(spark, sf_dir), "query_id")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding as a query."""
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """Every benchmark item as a query, with the embedding of its number."""
+    embeddings = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return asked.withColumn("vec_id", F.col("query_id") % embeddings.count()).join(embeddings, "vec_id").drop("vec_id")
 
 
 def mean_vector(spark: SparkSession, sf_dir: str) -> list[float]:

@@ -15,6 +15,8 @@ DATA_FIELDS = [
 TIME_FIELDS = ["created_at", "updated_at", "scraped_at"]
 
 KEY = "external_id"
+# Fixed value: the hits of a request that names no limit.
+DEFAULT_LIMIT = 10
 VECTOR_NAMES = ["structured", "description"]
 
 LISTING = T.StructType(

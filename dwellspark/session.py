@@ -44,6 +44,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str):
+    """The Arrow file system of a shared folder, for reads and writes inside tasks, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate data on whatever file system it is."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

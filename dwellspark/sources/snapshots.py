@@ -1,4 +1,4 @@
-"""Tables as Parquet snapshots: each load writes a new version beside the old one.
+"""Single tables as Parquet snapshots: each write makes a new version beside the old one.
 
 A version counts once its writer has committed (``_SUCCESS``), so a reader never sees half
 a load and the folder being read is never overwritten.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dwellspark.operators.embedding import dimensions
-from dwellspark.schema import INDEX, LISTING, VECTOR_NAMES
+from dwellspark.schema import VECTOR_NAMES
 
 # Folders of a listing table laid out by id, so that a result page reads few of them.
 ID_BLOCKS = 64
@@ -19,7 +19,19 @@ def id_block(listing_id: Column, blocks: int = ID_BLOCKS) -> Column:
     return F.pmod(listing_id, F.lit(blocks)).cast("int")
 
 
-def _folder(spark: SparkSession, path: str):
+def with_blocks(listings: DataFrame, blocks: int) -> DataFrame:
+    """The table with its number of blocks noted on the id column, where Parquet keeps it."""
+    return listings.withMetadata("id", {"id_blocks": blocks})
+
+
+def stored_blocks(listings: DataFrame) -> int | None:
+    """The number of id blocks a table was written with, if it says."""
+    if not {"id", "id_block"} <= set(listings.columns):
+        return None
+    return listings.schema["id"].metadata.get("id_blocks")
+
+
+def hadoop_folder(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target, hadoop
@@ -27,7 +39,7 @@ def _folder(spark: SparkSession, path: str):
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The committed versions of a table, ascending."""
-    files, target, hadoop = _folder(spark, path)
+    files, target, hadoop = hadoop_folder(spark, path)
     if not files.exists(target):
         return []
     names = [status.getPath().getName() for status in files.listStatus(target)]
@@ -44,65 +56,53 @@ def scan_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(f"{path}/version={found[-1]}")
 
 
-def publish(
-    df: DataFrame, path: str, cluster: str | None = None, sort: list[str] = [], folders: bool = False,
-    version: int | None = None, settled: DataFrame | None = None,
-) -> DataFrame:
-    """Writes a new version and returns it as read back.
+def lay_out(df: DataFrame, path: str, cluster: str | None = None, sort: list[str] = [], folders: bool = False) -> DataFrame:
+    """Writes rows to a folder that must not exist, and returns them as read back.
 
     Rows of one ``cluster`` value go to the same files, and with ``folders`` to a folder of
     their own. The rebalance lets AQE split a value that fills many files and put small ones
     together. ``sort`` orders each file, so that Parquet's minima and maxima let a filter
-    skip row groups. ``settled`` rows come from an earlier version with that layout and are
-    written from where they are, without a shuffle.
+    skip row groups.
     """
-    spark = df.sparkSession
-    if version is None:
-        version = (versions(spark, path) or [0])[-1] + 1
     if cluster:
         df = df.hint("rebalance", cluster)
-    if settled is not None:
-        df = settled.unionByName(df)
     order = ([cluster] if cluster else []) + sort
     if order:
         df = df.sortWithinPartitions(*order)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("errorifexists")
     if folders and cluster:
         writer = writer.partitionBy(cluster)
-    target = f"{path}/version={version}"
-    writer.parquet(target)
-    return spark.read.parquet(target)
+    writer.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def publish_listings(
-    listings: DataFrame, path: str, blocks: int = ID_BLOCKS, version: int | None = None, settled: DataFrame | None = None
-) -> DataFrame:
-    """Listing rows laid out by id block."""
+def publish(df: DataFrame, path: str, **layout) -> DataFrame:
+    """Writes a new version and returns it as read back; if another writer took its number, that is an error."""
+    return lay_out(df, _next(df.sparkSession, path), **layout)
+
 
-    def laid_out(rows: DataFrame | None) -> DataFrame | None:
-        return rows if rows is None else rows.withColumn("id_block", id_block(F.col("id"), blocks))
+def _next(spark: SparkSession, path: str) -> str:
+    return f"{path}/version={(versions(spark, path) or [0])[-1] + 1}"
 
-    return publish(laid_out(listings), path, "id_block", ["id"], True, version, laid_out(settled))
+
+def lay_out_listings(listings: DataFrame, path: str, blocks: int = ID_BLOCKS) -> DataFrame:
+    """Listing rows laid out by id block."""
+    rows = with_blocks(listings, blocks).withColumn("id_block", id_block(F.col("id"), blocks))
+    return lay_out(rows, path, "id_block", ["id"], True)
 
 
-def publish_index(
-    index: DataFrame, path: str, version: int | None = None, settled: DataFrame | None = None
-) -> DataFrame:
+def lay_out_index(index: DataFrame, path: str) -> DataFrame:
     """Vectors and payload, near each other by the most used filters."""
+    clustered = index.withColumn("_city", F.col("payload.city"))
+    return lay_out(clustered, path, "_city", ["payload.price", "payload.rooms"]).drop("_city")
 
-    def clustered(rows: DataFrame | None) -> DataFrame | None:
-        return rows if rows is None else rows.withColumn("_city", F.col("payload.city"))
 
-    sort = ["payload.price", "payload.rooms"]
-    written = publish(clustered(index), path, "_city", sort, version=version, settled=clustered(settled))
-    return written.drop("_city")
+def publish_listings(listings: DataFrame, path: str, blocks: int = ID_BLOCKS) -> DataFrame:
+    return lay_out_listings(listings, _next(listings.sparkSession, path), blocks)
 
 
-def ensure_tables(spark: SparkSession, root: str) -> None:
-    """Creates the empty tables that do not exist yet; harmless if they do."""
-    for name, schema in (("listings", LISTING), ("index", INDEX)):
-        if not versions(spark, f"{root}/{name}"):
-            publish(spark.createDataFrame([], schema), f"{root}/{name}", version=0)
+def publish_index(index: DataFrame, path: str) -> DataFrame:
+    return lay_out_index(index, _next(index.sparkSession, path))
 
 
 def collection_info(index: DataFrame, name: str, dim: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dwellspark.operators.embedding import Embedder
 from dwellspark.plans.ingest import ingest
 from dwellspark.schema import RAW
+from dwellspark.sources.listings import FORMATS, with_source_file, with_source_row
 
 
 def utc_now() -> datetime:
@@ -30,18 +31,18 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Loads what has arrived and stops.
 
-    The only state is the newest row per key, which the target tables hold, so no watermark
-    is needed. A load repeated after a failure merges the same rows again, to the same result.
+    The only state is the newest row per key, which the store holds, so no watermark is
+    needed. A load is committed together with its epoch: one repeated after a failure is
+    either done as if for the first time, or found committed and left out. A store is fed
+    by one stream, with one ``checkpoint``; files are read as ``read_listings`` does.
     """
 
     def load(batch: DataFrame, epoch: int) -> None:
-        ingest(batch, root, embedder, clock())
+        ingest(with_source_row(batch), root, embedder, clock(), epoch=epoch)
 
+    files = spark.readStream.schema(schema).options(**FORMATS.get(form, {})).option("maxFilesPerTrigger", files_per_load)
     return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_load)
-        .format(form)
-        .load(landing)
+        with_source_file(files.format(form).load(landing))
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

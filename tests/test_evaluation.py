@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from dwellspark.operators import evaluate as E
 from dwellspark.operators.embedding import HashingEmbedder
+from dwellspark.operators.evaluate import models_side_by_side
 from dwellspark.plans.experiment import compare_embedders, compare_methods
 
 
@@ -50,7 +52,19 @@ def test_timing(spark):
 
 
 def test_models(spark):
+    class Broken:
+        name, dim = "broken", 3
+
+        def column(self, text):
+            return HashingEmbedder(3).column(F.raise_error(F.lit("no such model")))
+
     items = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, None)], "id long, description string")
     queries = spark.createDataFrame([(1, "a b c"), (2, "x")], "query_id long, query string")
-    rows = {r.model: r for r in compare_embedders(items, queries, [HashingEmbedder(64), HashingEmbedder(4)], [1, 2]).collect()}
-    assert rows["hashing-64"].dimension == 64 and rows["hashing-64"].query_1 == 1.0 and rows["hashing-4"].query_2 is not None
+    times = spark.createDataFrame([("hashing-64", 0.5)], "model string, encode_time double")
+    found = compare_embedders(items, queries, [HashingEmbedder(64), HashingEmbedder(4)], times)
+    rows = {(r.model, r.query_id): r for r in found.collect()}
+    assert set(rows) == {(m, q) for m in ("hashing-64", "hashing-4") for q in (1, 2)}
+    assert rows["hashing-64", 1].score == 1.0 and rows["hashing-64", 1].dimension == 64
+    assert rows["hashing-64", 1].encode_time == 0.5 and rows["hashing-4", 1].encode_time is None
+    wide = {r.model: r for r in models_side_by_side(found, [1, 2]).collect()}
+    assert wide["hashing-64"].query_1 == 1.0

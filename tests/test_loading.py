@@ -15,7 +15,8 @@ from dwellspark.plans.requests import SearchRequest
 from dwellspark.plans.search import search_one
 from dwellspark.schema import INDEX, LISTING, RAW
 from dwellspark.sources.listings import read_listings, scan_vectors
-from dwellspark.sources.snapshots import collection_info, ensure_tables, publish, scan_table, versions
+from dwellspark.sources.snapshots import collection_info, publish, scan_table, versions
+from dwellspark.sources.store import ConcurrentLoad, commit, commits, compact, ensure_tables, read_table
 from dwellspark.streaming.landing import stream_ingest
 
 T1, T2 = (datetime(2024, m, 1, tzinfo=timezone.utc) for m in (1, 2))
@@ -41,16 +42,15 @@ def batch(spark):
     return spark.createDataFrame(rows, "external_id string, description string, price int, has_parking boolean")
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 100])
-def test_upsert(table, batch, broadcast_rows):
-    merged = {r.external_id: r for r in upsert_listings(table, batch, T2, broadcast_rows).collect()}
+def test_upsert(table, batch):
+    merged = {r.external_id: r for r in upsert_listings(table, batch, T2).collect()}
     assert {k: (r.id, r.description, r.price, r.has_parking, r.status) for k, r in merged.items()} == {
         "k1": (1, "old", 1, True, "kept"), "k2": (2, "old", 2, True, "kept"), "k3": (3, "new", 30, False, "updated"),
         "k4": (4, "old", 4, True, "kept"), "k5": (5, "new", None, False, "inserted"), "k9": (6, "new", 90, True, "inserted"),
     }
     assert (merged["k3"].created_at, merged["k3"].updated_at, merged["k3"].scraped_at) == (naive(T1), naive(T2), naive(T2))
     assert merged["k1"].updated_at == naive(T1) and merged["k9"].created_at == naive(T2)
-    stats = load_stats(upsert_listings(table, batch, T2, broadcast_rows)).first()
+    stats = load_stats(upsert_listings(table, batch, T2)).first()
     assert tuple(stats) == (2, 1, 0, 6)
 
 
@@ -60,6 +60,14 @@ def test_upsert_twice_changes_nothing_more(table, batch):
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
 
 
+def test_absent_fields_of_a_batch_are_null_and_flags_false(spark, table):
+    batch = spark.createDataFrame([("k1", "new"), ("k8", "new")], "external_id string, description string")
+    rows = {r.external_id: r for r in upsert_listings(table, batch, T2).collect()}
+    for key in ("k1", "k8"):
+        assert (rows[key].price, rows[key].pets_allowed, rows[key].has_parking, rows[key].furnished) == (None, None, False, False)
+    assert rows["k2"].has_parking
+
+
 def test_upsert_into_an_empty_table(spark, batch):
     merged = upsert_listings(spark.createDataFrame([], LISTING), batch, T2)
     assert sorted((r.id, r.external_id) for r in merged.collect()) == [(1, "k3"), (2, "k5"), (3, "k9")]
@@ -100,9 +108,8 @@ def points(spark, *rows):
     return spark.createDataFrame([(i, v, v, None) for i, v in rows], INDEX)
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 100])
-def test_points_are_replaced_whole(spark, broadcast_rows):
-    merged = upsert_vectors(points(spark, (1, [1.0]), (2, [2.0])), points(spark, (2, [5.0]), (3, [None])), broadcast_rows)
+def test_points_are_replaced_whole(spark):
+    merged = upsert_vectors(points(spark, (1, [1.0]), (2, [2.0])), points(spark, (2, [5.0]), (3, [None])))
     assert sorted((r.id, r.structured) for r in merged.collect()) == [(1, [1.0]), (2, [5.0]), (3, [None])]
 
 
@@ -164,7 +171,9 @@ def test_ensure_tables_is_idempotent(spark, tmp_path):
     root = str(tmp_path)
     ensure_tables(spark, root)
     ensure_tables(spark, root)
-    assert versions(spark, f"{root}/listings") == [0] and scan_table(spark, f"{root}/index").count() == 0
+    assert [c.number for c in commits(spark, root)] == [0] and read_table(spark, root, "index").count() == 0
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, f"{root}/none", "index")
     with pytest.raises(FileNotFoundError):
         scan_table(spark, f"{root}/none")
 
@@ -194,7 +203,7 @@ def write_feed(path, rows):
 
 def test_read_listings(spark, tmp_path):
     feed = read_listings(spark, write_feed(tmp_path / "feed", FEED))
-    assert feed.schema == RAW and feed.count() == 5
+    assert feed.drop("source_order").schema == RAW and feed.count() == 5
     assert {r.price for r in feed.collect()} == {"8,000 ש״ח", "5000", "4000", None}
     (tmp_path / "f.csv").write_text('external_id,description\na,"line one\nline ""two"""\n')
     rows = read_listings(spark, str(tmp_path / "f.csv"), "csv", T.StructType().add("external_id", "string").add("description", "string")).collect()
@@ -207,13 +216,13 @@ def test_ingest_then_search(spark, tmp_path):
     rows = {r.external_id: r for r in load.listings.collect()}
     assert rows["a"].id == 1 and rows["b"].id == 2 and len(rows) == 2
     assert rows["a"].description == "two & rooms near sea" and rows["a"].price == 8000 and rows["a"].city == "X Y" and rows["a"].has_parking
-    assert rows["b"].price == 5000 and rows["b"].pets_allowed is False
+    assert rows["b"].price == 4000 and rows["b"].pets_allowed is None  # the later of two rows, whole
     assert sorted(r.reason for r in load.rejects.collect()) == ["blank description", "blank external_id"]
-    assert tuple(load.stats.first()) == (2, 0, 2)
+    assert tuple(load.stats.first()) == (2, 0, 1, 2, 0, 2)
     again = ingest(read_listings(spark, write_feed(tmp_path / "more", [{**FEED[0], "price": "9000"}, {"external_id": "d", "description": "cellar"}])), root, embedder, T2)
-    assert tuple(again.stats.first()) == (1, 1, 3)
-    assert {r.external_id: (r.id, r.price) for r in again.listings.collect()} == {"a": (1, 9000), "b": (2, 5000), "d": (3, None)}
-    assert sorted((r.id, r.payload.price) for r in again.index.collect() if r.payload.price) == [(1, 9000), (2, 5000)]
+    assert tuple(again.stats.first()) == (1, 1, 0, 0, 0, 3)
+    assert {r.external_id: (r.id, r.price) for r in again.listings.collect()} == {"a": (1, 9000), "b": (2, 4000), "d": (3, None)}
+    assert sorted((r.id, r.payload.price) for r in again.index.collect() if r.payload.price) == [(1, 9000), (2, 4000)]
     found = search_one(again.index, again.listings, SearchRequest("large flat", limit=2), embedder).collect()
     assert found[0].listing.external_id == "b" and found[0].score == pytest.approx(1.0) and found[0].total_results == 2
     dear = search_one(again.index, again.listings, SearchRequest("large flat", price_min=8000), embedder).collect()
@@ -231,17 +240,87 @@ def test_stream_loads_what_arrived(spark, tmp_path):
     run()
     write_feed(landing, [{**FEED[1], "price": 1}, {"external_id": "z", "description": "late"}])
     run()
-    rows = {r.external_id: (r.id, r.price) for r in scan_table(spark, f"{root}/listings").collect()}
+    rows = {r.external_id: (r.id, r.price) for r in read_table(spark, root, "listings").collect()}
     assert rows == {"a": (1, 8000), "b": (2, 1), "z": (3, None)}
 
 
-def test_spread_touches_only_sources_of_few_files(spark, tmp_path):
-    from dwellspark.sources.listings import spread
+def test_a_csv_stream_reads_like_a_csv_feed(spark, tmp_path):
+    (tmp_path / "landing").mkdir()
+    (tmp_path / "landing" / "a.csv").write_text('external_id,description\na,"line one\nline ""two"""\n')
+    schema = T.StructType().add("external_id", "string").add("description", "string")
+    root = str(tmp_path / "store")
+    stream_ingest(spark, str(tmp_path / "landing"), root, HashingEmbedder(8), str(tmp_path / "mark"), schema, "csv", clock=lambda: T1).awaitTermination()
+    assert [(r.external_id, r.description) for r in read_table(spark, root, "listings").collect()] == [("a", 'line one line "two"')]
+
+
+def files_of(root):
+    return {p: p.stat().st_mtime_ns for p in root.rglob("*") if p.is_file()}
+
+
+def test_a_load_writes_no_old_file_and_leaves_no_cuts(spark, tmp_path):
+    from urllib.parse import urlparse
+    from pathlib import Path
+
+    from dwellspark.session import shared_dir
+
+    store, shared = tmp_path / "store", Path(urlparse(shared_dir(spark)).path)
+    rows = [{"external_id": f"k{i:03d}", "description": f"flat {i}", "price": i} for i in range(200)]
+    ingest(read_listings(spark, write_feed(tmp_path / "f0", rows)), str(store), HashingEmbedder(8), T1, id_blocks=4)
+    compact(spark, str(store))
+    before, cuts = files_of(store), set(shared.glob("cut-*"))
+    for n, price in enumerate((1000, 2000)):
+        load = ingest(read_listings(spark, write_feed(tmp_path / f"f{n + 1}", [{**rows[5], "price": price}, {"external_id": f"new{n}", "description": "x"}])), str(store), HashingEmbedder(8), T2)
+    after = files_of(store)
+    assert all(after[p] == t for p, t in before.items()) and len(after) > len(before)
+    assert set(shared.glob("cut-*")) == cuts
+    found = {r.external_id: (r.id, r.price, r.id_block) for r in load.listings.collect()}
+    assert len(found) == 202 and found["k005"] == (6, 2000, 2) and found["new1"][0] == 202
+    assert sorted(r.id for r in load.index.collect()) == list(range(1, 203))
+    kept = {r.external_id: (r.id, r.price, r.id_block) for r in load.listings.collect()}
+    made = compact(spark, str(store), blocks=7)
+    assert made.base and made.last_id == 202
+    assert {r.external_id: (r.id, r.price) for r in read_table(spark, str(store), "listings").collect()} == {k: v[:2] for k, v in kept.items()}
+
+
+def test_both_tables_become_visible_at_once_and_one_of_two_writers_fails(spark, tmp_path):
+    root = str(tmp_path / "store")
+    load = ingest(read_listings(spark, write_feed(tmp_path / "feed", FEED)), root, HashingEmbedder(8), T1)
+    last = commits(spark, root)[-1]
+    with pytest.raises(ConcurrentLoad):
+        commit(spark, root, last)
+    (tmp_path / "store" / "data" / "00000002-half").mkdir()
+    assert read_table(spark, root, "listings").count() == load.index.count() == 2
+
+
+def test_a_repeated_epoch_is_loaded_once(spark, tmp_path):
+    root = str(tmp_path / "store")
+    feed = read_listings(spark, write_feed(tmp_path / "feed", FEED))
+    once = ingest(feed, root, HashingEmbedder(8), T1, epoch=0)
+    again = ingest(feed, root, HashingEmbedder(8), T2, epoch=0)
+    assert len(commits(spark, root)) == 2 and tuple(again.stats.first()) == tuple(once.stats.first())
+    assert {r.updated_at for r in again.listings.collect()} == {naive(T1)}
+
+
+def test_unreadable_values_are_counted(spark, tmp_path):
+    feed = [{"external_id": "a", "description": "x", "price": "99999999999", "floor": "third", "rooms": "2"}, {"external_id": "b", "description": "x", "price": " ", "pets_allowed": "maybe"}]
+    load = ingest(read_listings(spark, write_feed(tmp_path / "feed", feed)), str(tmp_path / "store"), HashingEmbedder(8), T1)
+    assert load.stats.first().unread_values == 3
+
+
+def test_a_model_is_loaded_once_per_worker_for_both_texts(spark, tmp_path):
+    class CountingModel:
+        def __init__(self, folder):
+            import os
+            import uuid
+
+            open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+
+        def encode(self, texts, **options):
+            return np.ones((len(texts), 2))
 
-    few, many = str(tmp_path / "few"), str(tmp_path / "many")
-    spark.range(100).coalesce(1).write.parquet(few)
-    spark.range(100).repartition(40).write.parquet(many)
-    assert spread(spark.read.parquet(few)).rdd.getNumPartitions() == 8
-    wide = spark.read.parquet(many)
-    with_cores = spread(wide)
-    assert with_cores.count() == 100 and (with_cores is wide) == (wide.rdd.getNumPartitions() >= 8)
+    rows = spark.range(400).repartition(40).select("id", F.lit("some text").alias("description"), *[F.lit(None).cast(LISTING[n].dataType).alias(n) for n in ("title", "city", "neighborhood", "location", "price", "rooms", "size_sqm", "floor", "has_parking", "has_elevator", "has_balcony", "has_storage", "furnished")])
+    embedder = ModelEmbedder(str(tmp_path), 2, load=CountingModel)
+    assert embed_listings(rows, embedder).where("size(structured_vector) = 2 and size(description_vector) = 2").count() == 400
+    assert 1 <= len(list(tmp_path.iterdir())) <= 8  # workers, not the 40 tasks
+    with pytest.raises(Exception, match="gives 2 values, not 3"):
+        embed_column(rows, "description", ModelEmbedder(str(tmp_path), 3, load=CountingModel)).collect()

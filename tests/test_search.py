@@ -103,11 +103,29 @@ def test_batch_equals_brute_force(world, names):
     assert got(knn_batch(index, queries, 100, names)) == brute(items, asks, names, 100)
 
 
-def test_large_query_table_takes_the_block_join_with_the_same_result(world):
+def test_large_query_table_gives_the_same_without_moving_items(world):
     items, asks, index, queries = world
-    found = knn_batch(index, queries, 100, ["structured", "description"], broadcast_queries=3, block_rows=16)
+    found = knn_batch(index, queries, 100, ["structured", "description"], broadcast_queries=3, block_rows=4)
     assert got(found) == brute(items, asks, ["structured", "description"], 100)
-    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroups" not in plan and plan.index("MapInArrow") < len(plan)
+
+
+def test_large_query_table_keeps_the_covering_filter(world):
+    _, _, index, queries = world
+    asked = queries.withColumns({"price_min": F.lit(100), "city": F.lit("A"), "has_parking": F.lit(True)})
+    forms = [knn_batch(index, asked, 10, "structured", **sizes) for sizes in ({}, {"broadcast_queries": 1, "block_rows": 3})]
+    assert got(forms[0]) == got(forms[1])
+    for form in forms:
+        assert "price" in (text := form._jdf.queryExecution().optimizedPlan().toString()) and ">= 100" in text
+
+
+def test_limits_are_honoured_in_both_forms(world):
+    _, _, index, queries = world
+    asked = queries.withColumn("limit", F.when(F.col("query_id") % 2 == 0, F.lit(3)))
+    hits = fuse_max_sim(index, asked.drop(*REQUEST_FILTERS.names), 100)
+    assert got(hits) == got(max_sim_batch(index, asked.drop(*REQUEST_FILTERS.names), 100))
+    assert {(r.query_id % 2, r.n) for r in hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {(0, 3), (1, 10)}
 
 
 def test_both_fusion_forms_agree(world):
@@ -232,14 +250,17 @@ def test_rows_by_id_keep_the_order_of_the_list(stored):
     assert fetch_by_ids(stored, []).count() == 0
 
 
-def test_hits_read_only_their_blocks(spark, stored, tmp_path):
+@pytest.mark.parametrize("blocks", [1, 4, 256])
+def test_hits_read_only_their_blocks_whatever_their_number(spark, stored, tmp_path, blocks):
     from dwellspark.sources.snapshots import publish_listings
 
-    listings = publish_listings(stored, str(tmp_path / "listings"), blocks=4)
+    listings = publish_listings(stored, str(tmp_path / "listings"), blocks=blocks)
     hits = spark.createDataFrame([(1, 2, 0.9), (1, 4, 0.8)], "query_id long, id long, score double").where("score > 0.1")
-    joined = fetch_hits(listings, hits, True, id_blocks=4)
+    joined = fetch_hits(listings, hits, True)
     assert sorted(r.id for r in joined.collect()) == [2, 4]
     assert "dynamicpruning" in joined._jdf.queryExecution().toString().lower()
+    unknown = spark.createDataFrame(listings.collect(), listings.schema).withColumn("id", F.col("id") + 0)
+    assert sorted(r.id for r in fetch_hits(unknown, hits, True).collect()) == [2, 4]
 
 
 def test_preview(spark, stored):
