@@ -167,6 +167,18 @@ select page_id, host, path, rule,
   coalesce(says, case when host in (select host from bad_hosts) then 'block' else 'allow' end) as verdict
 from urls left join ruled using (page_id)
 """
+OP8 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+last as (select html, max(page_id) as keeper from p group by html)
+select page_id, octet_length(encode(html)) as payload_bytes,
+  array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda k: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(sha1(html), 5 * g + 1, 5) as int) >> (15 - 5 * k)) & 31)::int, 1)), '')), '')
+    as payload_digest,
+  case when page_id = keeper then 'response' else 'revisit' end as record_type,
+  case when page_id <> keeper then keeper end as refers_to
+from p join last using (html)
+"""
+
 _STRENGTH = (
     "case when coalesce(excess, 0) = 0 or spread <= noise then 1000.0 else "
     "round(least(greatest((1 - least((spread - noise) / excess, 0.5)) / least((spread - noise) / excess, 0.5), 1.0), 1000.0), 6) end"
@@ -176,4 +188,5 @@ ORACLES = {
     "op1_line_dedup": OP1,
     "op3_decontaminate": OP3,
     "op4_url_filter": OP4.replace("{strength}", _STRENGTH),
+    "op8_warc": OP8,
 }

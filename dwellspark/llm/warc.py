@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from dwellspark.llm.rows import column
-from dwellspark.session import cut_lineage, new_folder
+from dwellspark.session import cut_lineage, file_system, new_folder
 
 #: Payload bytes after which a task begins another archive, and bytes read at a time.
 ARCHIVE, CHUNK = 128 << 20, 1 << 20
@@ -23,13 +23,6 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a shared folder's path, from any task."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
-
-
 def _publish(files: fs.FileSystem, made: str, path: str) -> None:
     """A file appears whole; if a task runs again, the same bytes replace it."""
     files.move(made, path)
