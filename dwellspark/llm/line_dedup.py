@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dwellspark.llm.rows import BLANKS, ascii_lower, hash_pair, pack, unpack
+from dwellspark.session import cut_lineage
 
 
 def line_key(line: Column) -> Column:
@@ -25,8 +26,9 @@ def line_dedup(
     No rows in, no rows out; other columns are kept, those named like an output are replaced.
 
     Lines are exploded to 128-bit hashes. Counting them combines on the map side, so a line
-    that a third of all documents hold costs each task one row. The join of hashes with their
-    counts is a plain equi-join, whose hot keys Spark splits. The text itself moves once.
+    that a third of all documents hold costs each task one row. The shared hashes are written
+    and joined back with the lines by a plain equi-join, whose hot keys Spark splits. The text
+    itself moves once.
     """
     names = {"doc_id": id_column, "text": text_column}
     rows = pack(docs, **names).withColumn("mark", F.hash("text"))
@@ -45,8 +47,10 @@ def line_dedup(
     else:
         holders = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         shared = holders.groupBy("h1", "h2").agg(first, F.sum("one").alias("n")).filter(F.col("n") >= min_documents)
+    # Written, so that the join shuffles both sides anew and Spark can split a line that very many documents hold.
+    shared = cut_lineage(shared.select("h1", "h2", "first"))
     dropped = (
-        lines.join(shared.select("h1", "h2", "first"), ["h1", "h2"])
+        lines.join(shared, ["h1", "h2"])
         .filter(F.col("doc_id") != F.col("first"))
         .groupBy("doc_id", "mark")
         .agg(F.collect_set("pos").alias("gone"))
