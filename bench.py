@@ -18,7 +18,7 @@ from dwellspark.plans.registered import QUERIES  # noqa: E402
 from dwellspark.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "knn_top10", "knn_batch", "max_sim_batch", "fuse_max_sim_top10", "rank_all", "search_filtered", "search_text",
+    "knn_top10", "knn_batch", "knn_many_queries", "max_sim_batch", "fuse_max_sim_top10", "rank_all", "search_filtered", "search_text",
     "clean_text_documents", "clean_text_pages", "clean_listings", "structured_text", "payload_json", "hash_embed",
     "dedup_by_key", "upsert_listings", "upsert_vectors", "ingest", "compare_rankings", "compare_models", "display_card",
 ]

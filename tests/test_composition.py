@@ -26,16 +26,16 @@ def sentence(spark, **fields):
 @pytest.mark.parametrize(
     "fields, text",
     [
-        ({"rooms": "2.0", "city": "תל אביב", "neighborhood": "דיזינגוף"}, "2 חדרים, תל אביב, דיזינגוף"),
-        ({"rooms": "3.5", "has_parking": True, "has_elevator": True, "furnished": True}, "3.5 חדרים, עם חניה, עם מעלית, מרוהט"),
-        ({"price": 8000}, "8,000 ש״ח"),
+        ({"rooms": "6.0", "city": "City Q", "neighborhood": "Hill"}, "6 חדרים, City Q, Hill"),
+        ({"rooms": "7.5", "has_parking": True, "has_elevator": True, "furnished": True}, "7.5 חדרים, עם חניה, עם מעלית, מרוהט"),
+        ({"price": 71250}, "71,250 ש״ח"),
         ({"price": 0}, "0 ש״ח"),
         ({"price": 1234567}, "1,234,567 ש״ח"),
-        ({"size_sqm": 60}, "60 מ״ר"),
+        ({"size_sqm": 217}, "217 מ״ר"),
         ({"size_sqm": 0}, "דירה"),
         ({"floor": 0}, "קרקע"),
-        ({"floor": 3}, "קומה 3"),
-        ({"floor": -1}, "קומה 1 למטה"),
+        ({"floor": 14}, "קומה 14"),
+        ({"floor": -4}, "קומה 4 למטה"),
         ({"neighborhood": "N", "location": "L"}, "N"),
         ({"neighborhood": "", "location": "L"}, "L"),
         ({"city": "", "location": ""}, "דירה"),
@@ -59,9 +59,9 @@ def payload(spark, **fields):
 
 
 def test_payload_leaves_absent_keys_out(spark):
-    found = payload(spark, id=123, city="", location=None)
+    found = payload(spark, id=777, city="", location=None)
     assert found == {
-        "listing_id": 123, "external_id": "k", "has_parking": False, "has_elevator": False, "has_balcony": False,
+        "listing_id": 777, "external_id": "k", "has_parking": False, "has_elevator": False, "has_balcony": False,
         "has_storage": False, "furnished": False,
     }
 
@@ -70,10 +70,10 @@ def test_payload_with_everything(spark):
     from decimal import Decimal
 
     found = payload(
-        spark, price=8000, rooms=Decimal("3.5"), size_sqm=60, floor=0, total_floors=4, city="c", location="l", neighborhood="n",
+        spark, price=4321, rooms=Decimal("5.5"), size_sqm=98, floor=0, total_floors=4, city="c", location="l", neighborhood="n",
         has_parking=True, furnished=True, pets_allowed=False,
     )
-    assert len(found) == 16 and found["rooms"] == 3.5 and found["floor"] == 0 and found["pets_allowed"] is False
+    assert len(found) == 16 and found["rooms"] == 5.5 and found["floor"] == 0 and found["pets_allowed"] is False
 
 
 def test_pets_are_tri_state(spark):
@@ -108,12 +108,12 @@ def test_response_fields(spark):
 
 
 def test_display(spark):
-    df = spark.createDataFrame([(8000, 2.0, 60, True, 0.98765), (None, 3.5, 0, None, 0.5)], "p int, r double, s int, f boolean, x double")
+    df = spark.createDataFrame([(90210, 9.0, 45, True, 0.98765), (None, 3.5, 0, None, 0.5)], "p int, r double, s int, f boolean, x double")
     shown = df.select(
         D.format_price(F.col("p")), D.format_rooms(F.col("r")), D.format_size(F.col("s")), D.format_flag(F.col("f")),
         D.score_percent(F.col("x")), D.score_percent(F.col("x"), 1),
     ).collect()
-    assert tuple(shown[0]) == ("₪8,000", "2", "60 מ²", "כן", "98.77%", "98.8%")
+    assert tuple(shown[0]) == ("₪90,210", "9", "45 מ²", "כן", "98.77%", "98.8%")
     assert tuple(shown[1]) == ("לא צוין", "3.5", "לא צוין", "לא צוין", "50.00%", "50.0%")
 
 
