@@ -40,6 +40,15 @@ COMMON = (
     "for this that with from not you are have word code home house star blue red green black white money computer "
     "internet soccer hockey killer pepper ginger cookie flower tiger lion bear eagle"
 ).split()
+# Letters, each with those that often follow it in words of languages in Latin script.
+FOLLOWERS = (
+    "abcdefgijklmnopqrstuvyz baeilorsuy cacehiklortuyz dadeijlosu eabcdefghijlmnpqrstuvwxy faefiloruy gaeghilnorsu "
+    "haeilnort iabcdefgjlmnoprstvxz jaou keistu ladeijlopstuyz mabeimopsu nacdefgijlnostuvyz oabcdefgijklmnoprstuvw "
+    "paehiloprstu qu racdefgiklmnoprstuvwyz sacehiklopstuwyz tacdehilorstuyz uabcdegilmnprst vaeio waehior xceiptx "
+    "yinpst zaeuw"
+).split()
+#: Guesses for any word of a dictionary, as a power of ten.
+WORD_COST = 6.0
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 
@@ -137,14 +146,27 @@ def spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int
             while base < len(taken) and taken[base][1] <= start:
                 base += 1
             inside = base < len(taken) and taken[base][0] < end
-            if not inside and _mixed(m[1]) and guess_cost(m[1]) >= least_cost:
+            if not inside and min(guess_cost(m[1]), _word_cost(m[1])) >= least_cost:
                 found.append((start, 3, end))
     return sorted(found)
 
 
-def _mixed(value: str) -> bool:
-    """Letters and something else: a lone word or number after a colon is prose."""
-    return any(c.isalpha() for c in value) and any(not c.isalpha() for c in value.rstrip(".:!?)"))
+@lru_cache
+def _follow() -> frozenset[str]:
+    return frozenset(x[0] + y for x in FOLLOWERS for y in x[1:])
+
+
+def _word_cost(value: str) -> float:
+    """``WORD_COST`` of a lone word, else infinite: the value after a colon may be prose.
+
+    A word has letters of one case, or a capital first, and of its neighbouring letters at
+    most one pair that is rare in words; other scripts than Latin count as words.
+    """
+    word = value.rstrip(".:!?)")
+    if not word.isalpha() or not (word[1:].islower() or word.isupper() or word.lower() == word.upper()):
+        return math.inf
+    low = word.lower()
+    return WORD_COST if sum(p.isascii() and p not in _follow() for p in map("".join, zip(low, low[1:]))) <= 1 else math.inf
 
 
 def secret_scan(
@@ -153,8 +175,8 @@ def secret_scan(
     """A row per document: its id, ``n_assign, n_access, n_hex, n_guess, base_sha256, spans``.
 
     ``assign``, ``access`` and ``hex`` are the base patterns; ``guess`` is a value in a
-    credential context, outside those, that mixes letters with others and takes
-    10^``least_cost`` guesses or more. ``spans`` lists ``kind:start:end`` (code points, end
+    credential context, outside those, that takes 10^``least_cost`` guesses or more, be it
+    of letters or digits only; a lone word takes ``WORD_COST``. ``spans`` lists ``kind:start:end`` (code points, end
     exclusive) by start, then kind, comma-joined; ``base_sha256`` is of the same list without
     ``guess``. NULL and empty texts have none. Repeated rows and rows without id are scanned
     each; empty tables give no rows; other columns are not read.

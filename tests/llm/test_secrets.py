@@ -102,3 +102,12 @@ def test_dynamic_programming_equals_all_segmentations():
 def test_values_in_credential_contexts(text, values):
     assert [text[a:b] for a, kind, b in S.spans(text) if kind == 3] == values
     assert [x for x in S.spans(text) if x[1] < 3] == sorted((int(a), S.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in base(text)))
+
+
+@pytest.mark.parametrize("text, values", [
+    ("Authorization: Bearer KqXvBnWpLtRzHgTd", ["KqXvBnWpLtRzHgTd"]), ("pwd=73950281640927518364", ["73950281640927518364"]), ("secret: hQzVbTkWxN", ["hQzVbTkWxN"]),
+    ("login: xkqzvbwjtpfm", ["xkqzvbwjtpfm"]), ("passphrase = XKQZVBWJTPFM", ["XKQZVBWJTPFM"]),
+    ("the secret: understanding.", []), ("credentials: Documentation", []), ("token: IMPORTANT!", []), ("pwd: 20190517", []), ("login: 密码密码密码密码", []),
+])
+def test_values_of_letters_only_and_digits_only(text, values):
+    assert [text[a:b] for a, kind, b in S.spans(text) if kind == 3] == values
