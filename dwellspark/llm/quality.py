@@ -136,11 +136,13 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int = 150, rate: float = 0.5) -> Model | None:
+def fit(
+    rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, stands: tuple[float, float] = (1.0, 1.0), steps: int = 150, rate: float = 0.5
+) -> Model | None:
     """Logistic regression on three of four rows, calibrated on the others; None without both outcomes.
 
     Outcomes weigh the same in training, however rare one is; calibration goes by their
-    true shares.
+    true shares: ``stands`` tells how many labels a bad and a good row stand for.
     """
     held = np.arange(len(rows)) % 4 == 3
     if any(len(set(good[part].tolist())) < 2 for part in (held, ~held)):
@@ -164,10 +166,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int
     score, y = np.bincount(row, weights[at] * value, held.sum()), good[held].astype(float)
     # Platt's two parameters by Newton steps, the outcomes a little off 0 and 1.
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    weight = np.where(y > 0, stands[1], stands[0])
+    weight /= weight.mean()
     design, found = np.stack([score, np.ones_like(score)], 1), np.zeros(2)
     for _ in range(50):
         p = _logistic(design @ found)
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), design.T @ (p - target) + 1e-6 * found)
+        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + 1e-6 * np.eye(2), design.T @ (weight * (p - target)) + 1e-6 * found)
         found -= np.clip(step, -5, 5)
     return Model(weights.astype(np.float32), float(found[0]), float(found[1]))
 
@@ -179,10 +183,12 @@ def train(
     """A model from at most ``sample`` labelled documents.
 
     Documents of both outcomes are drawn alike, half and half where there are enough, by a
-    hash of the id, so a task that runs again draws the same. Labels without quality or
-    document don't count. Only features of the sample reach the driver.
+    hash of the id, so a task that runs again draws the same; in calibration they weigh by
+    what they stand for among all labels. Labels without quality or document don't count. Only features of the sample reach the driver.
     """
     known = labels.select(column(id_column).alias("id"), column(quality_column).alias("quality")).dropna().dropDuplicates(["id"])
+    bad, labelled = known.agg(F.count_if(F.col("quality") == 0), F.count(F.lit(1))).first()
+    stands = tuple(max(n, 1) / max(min(n, sample // 2), 1) for n in (bad, labelled - bad))
     drawn = None
     for outcome in (0, 1):
         part = known.filter((F.col("quality") == 0) if outcome == 0 else (F.col("quality") != 0))
@@ -203,7 +209,7 @@ def train(
     order = np.argsort(rows["key"].to_numpy(), kind="stable")
     at, value = rows["at"].combine_chunks(), rows["value"].combine_chunks()
     parts = [(at[int(k)].values.to_numpy(), value[int(k)].values.to_numpy()) for k in order]
-    return fit(parts, rows["good"].to_numpy()[order]) if parts else None
+    return fit(parts, rows["good"].to_numpy()[order], stands) if parts else None
 
 
 def judge(

@@ -95,3 +95,13 @@ def test_query(spark, folder, documents):
     got = sorted(op9_quality_rules(spark, folder).collect())
     assert [tuple(r[:7]) for r in got] == sorted((r.doc_id, *brute(r.text)) for r in documents.collect())
     assert not any(r.kept and r.base_failed for r in got)
+
+
+def test_calibration_goes_by_the_shares_of_all_labels(spark):
+    """Drawn half and half from nine good to one bad; where the outcomes can't be told apart, the share is the answer."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 60))) for i in range(4000)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.pmod("doc_id", F.lit(10)) > 0).cast("int").alias("quality"))
+    model = Q.train(docs, labels, sample=800)
+    assert np.mean([model.probability(r.text) for r in docs.limit(100).collect()]) == pytest.approx(0.9, abs=0.04)
