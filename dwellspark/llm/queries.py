@@ -9,6 +9,7 @@ from dwellspark.llm.bpe import bpe
 from dwellspark.llm.conversation_repair import damage, repair_report
 from dwellspark.llm.decontaminate import leaks
 from dwellspark.llm.line_dedup import line_dedup
+from dwellspark.llm.prefix_trie import prefix_trie, turn_ids, with_borrowed_beginnings
 from dwellspark.llm.quality import quality_rules, train
 from dwellspark.llm.secrets import secret_scan
 from dwellspark.llm.sharding import shard_records
@@ -82,6 +83,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(turns, damage(turns))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_ids(_table(spark, sf_dir, "conversations"))
+    return prefix_trie(with_borrowed_beginnings(turns))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -94,6 +100,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
