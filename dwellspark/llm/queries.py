@@ -8,6 +8,7 @@ import public_tokenizers
 from dwellspark.llm.bpe import bpe
 from dwellspark.llm.conversation_repair import damage, repair_report
 from dwellspark.llm.decontaminate import leaks
+from dwellspark.llm.licenses import license_scan
 from dwellspark.llm.line_dedup import line_dedup
 from dwellspark.llm.prefix_trie import prefix_trie, turn_ids, with_borrowed_beginnings
 from dwellspark.llm.quality import quality_rules, train
@@ -88,6 +89,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(with_borrowed_beginnings(turns))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -101,6 +106,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_license_scan": op13_license_scan,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
