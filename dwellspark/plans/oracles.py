@@ -130,16 +130,32 @@ STORED_TEXT = f"(select id, {SENTENCE} as text, description from stored)"
 SENTENCES = f"{buckets(STORED_TEXT, 'id', 'text', 64, 'sv')}, {buckets('stored', 'id', 'description', 64, 'dv')}"
 HITS = "found as (select label as query_id, vec_id as id, round(embedding[1]::double, 6) as score from embeddings)"
 
-SEARCHED = f"""{INDEX}, {REQUEST}, scored as (
-  select r.query_id, r."limit" as most, i.id, {MAX_SIM} as score, i.title, i.price, i.rooms from request r join idx i on
-  (r.price_min is null or i.price >= r.price_min) and (r.price_max is null or i.price <= r.price_max)
+FITS = """(r.price_min is null or i.price >= r.price_min) and (r.price_max is null or i.price <= r.price_max)
   and (r.rooms_min is null or i.rooms >= r.rooms_min) and (r.rooms_max is null or i.rooms <= r.rooms_max)
   and (coalesce(r.city, '') = '' or i.city = r.city) and (coalesce(r.location, '') = '' or i.location = r.location)
   and (r.has_parking is null or coalesce(i.has_parking, false) = r.has_parking)
   and (r.has_elevator is null or coalesce(i.has_elevator, false) = r.has_elevator)
-  and (r.furnished is null or coalesce(i.furnished, false) = r.furnished)),
+  and (r.furnished is null or coalesce(i.furnished, false) = r.furnished)"""
+SEARCHED = f"""{INDEX}, {REQUEST}, scored as (
+  select r.query_id, r."limit" as most, i.id, {MAX_SIM} as score, i.title, i.price, i.rooms from request r join idx i on
+  {FITS}),
   ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored)"""
 
+MATCHED = f"""{LISTING}, request as (select {REQUEST_COLUMNS} from listing where id % 50 = 0),
+  matched as (select r.query_id, i.* from request r join listing i on {FITS})"""
+FACETS = ["city", "rooms", "has_parking", "has_elevator", "furnished"]
+FACET_VALUE = " ".join(f"when grouping({c}) = 0 then {c}::varchar" for c in FACETS)
+KEYWORDS = r"""posting as materialized (select id, token, count(*) as tf from (
+    select id, unnest(regexp_split_to_array(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '[^\p{L}\p{N}]+')) as token from listing)
+    where token <> '' group by 1, 2),
+  size as (select id, sum(tf) as length from posting group by id), whole as (select count(*) as n, avg(length) as mean from size),
+  frequency as (select token, count(*) as df from posting group by token),
+  asked as (select distinct item_id as query_id, token from (
+    select item_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as token from benchmark) where token <> ''),
+  scored as (select query_id, id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
+      / (tf + 1.2::double * (0.25::double + 0.75::double * length / mean))), 6) as score
+    from asked join posting using (token) join frequency using (token) join size using (id), whole group by 1, 2)"""
+
 ORACLES = {
     "knn_top10": f"""with {MEAN} select vec_id as id, {cos('qv', 'embedding::double[]')} as score from embeddings, mean
   order by score desc, id limit 10""",
@@ -178,6 +194,14 @@ ORACLES = {
   case when price_min > 0 then price_min end as price_min, case when price_max > 0 then price_max end as price_max,
   case when rooms_min > 0 then rooms_min end as rooms_min, case when rooms_max > 0 then rooms_max end as rooms_max,
   nullif(trim(city), '') as city, nullif(trim(location), '') as location from form""",
+    "match_requests": f"with {MATCHED} select query_id, id, price, city from matched",
+    "request_facets": f"""with {MATCHED} select query_id,
+  case {' '.join(f"when grouping({c}) = 0 then '{c}'" for c in FACETS)} else 'total' end as facet,
+  case {FACET_VALUE} end as value, count(*) as matches
+  from matched group by grouping sets ({', '.join(f'(query_id, {c})' for c in FACETS)}, (query_id))""",
+    "keyword_match": f"""with {LISTING}, {KEYWORDS}, ranked as (
+    select *, row_number() over (partition by query_id order by score desc, id) as rank from scored)
+  select query_id, rank, id, score from ranked where rank <= 10""",
     "search_filtered": f"""with {SEARCHED}
   select query_id, rank, score, count(*) over (partition by query_id) as total_results, id, title, price, rooms
   from ranked where rank <= most""",

@@ -18,8 +18,10 @@ from dwellspark.operators.cleaning import clean_text_columns as clean_texts
 from dwellspark.operators.cleaning import split_rejects, to_table_types
 from dwellspark.operators.embedding import HashingEmbedder, dimensions, embed_column, embed_listings, embed_text
 from dwellspark.operators.fusion import fuse_max_sim, max_sim, max_sim_batch
+from dwellspark.operators.keywords import build_postings, keyword_match
 from dwellspark.operators.knn import knn, knn_batch, rank_all, top_hits
 from dwellspark.operators.lookup import assign_rank, fetch_hits, respond, with_preview
+from dwellspark.operators.matching import facets, match_requests
 from dwellspark.operators.records import build_payload, build_points, listing_to_record, nested_point, payload_json
 from dwellspark.operators.upsert import (
     assign_ids, dedup_by_key, ids_of_keys, load_stats, require_key, upsert_listings, upsert_vectors, vector_stats,
@@ -157,6 +159,26 @@ def ui_filters(spark: Session, sf_dir: str) -> DataFrame:
     return normalize_ui_filters(V.form_view(spark, sf_dir)).drop("query")
 
 
+def _filter_requests(spark: Session, sf_dir: str) -> DataFrame:
+    """The requests after every 50th listing."""
+    return V.select(V.listing_view(spark, sf_dir), V.REQUEST_COLUMNS).where("query_id % 50 = 0")
+
+
+def matched_requests(spark: Session, sf_dir: str) -> DataFrame:
+    return match_requests(V.listing_view(spark, sf_dir), _filter_requests(spark, sf_dir), ["price", "city"])
+
+
+def request_facets(spark: Session, sf_dir: str) -> DataFrame:
+    return facets(V.listing_view(spark, sf_dir), _filter_requests(spark, sf_dir), ["city", "rooms", "has_parking", "has_elevator", "furnished"])
+
+
+def keyword_hits(spark: Session, sf_dir: str) -> DataFrame:
+    """The texts of all benchmark items against titles and descriptions of all listings."""
+    postings = cut_lineage(build_postings(V.listing_view(spark, sf_dir), ["title", "description"]))
+    items = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return keyword_match(postings, items, 10)
+
+
 # Search
 
 
@@ -595,6 +617,9 @@ QUERIES = {
     "filter_inverted": filter_inverted,
     "validate_requests": request_check,
     "normalize_ui_filters": ui_filters,
+    "match_requests": matched_requests,
+    "request_facets": request_facets,
+    "keyword_match": keyword_hits,
     "search_filtered": search_filtered,
     "search_stored": search_stored,
     "search_one": search_single,
