@@ -53,36 +53,51 @@ def touch(old: str, loaded_at: Column, changed: Column) -> Column:
     return F.when(changed, loaded_at).otherwise(F.col(old))
 
 
-def full_batch(batch: DataFrame) -> DataFrame:
-    """Key and all data fields in the table's types; an absent flag is false, any other absent field NULL."""
+def full_batch(batch: DataFrame, loaded_at: datetime) -> DataFrame:
+    """Key, all data fields in the table's types, and ``scraped_at``; an absent flag is false, any other absent field NULL.
+
+    A row says when it was scraped, or else counts as scraped at the load.
+    """
     values = {name: F.col(name) if name in batch.columns else F.lit(None) for name in DATA_FIELDS}
     values |= {name: F.coalesce(values[name], F.lit(False)) for name in FLAG_FIELDS}
+    own = F.col("scraped_at").cast("timestamp") if "scraped_at" in batch.columns else F.lit(None)
+    values["scraped_at"] = F.coalesce(own, F.lit(loaded_at))
     return batch.select(KEY, *[value.cast(LISTING[name].dataType).alias(name) for name, value in values.items()])
 
 
-def changed_listings(target: DataFrame, batch: DataFrame, loaded_at: datetime, last: int) -> DataFrame:
-    """The rows that a batch (one row per key) changes or adds, with a ``status``.
+def compare_batch(target: DataFrame, batch: DataFrame, loaded_at: datetime) -> DataFrame:
+    """The batch (one row per key) with what the table has of its keys, and a ``status``: inserted, updated or late.
+
+    A late row was scraped before the one that the table has. At equal times the load counts, so that
+    the same scrape can be corrected. One join with four columns of the table, written once; how to
+    join is left to Spark: it broadcasts a small batch.
+    """
+    stored = target.select(KEY, "id", "created_at", F.col("scraped_at").alias("_stored"))
+    status = F.when(F.col("id").isNull(), "inserted").when(F.col("scraped_at") < F.col("_stored"), "late").otherwise("updated")
+    return cut_lineage(full_batch(batch, loaded_at).join(stored, KEY, "left").withColumn("status", status).drop("_stored"))
+
+
+def changed_listings(compared: DataFrame, loaded_at: datetime, last: int) -> DataFrame:
+    """The rows that a compared batch changes or adds, with their ``status``.
 
     Known keys keep id and created_at and take the batch's data, whole; new keys get the ids
-    after ``last``. One join with three columns of the table, written once, as both halves
-    and the numbering read it. How to join is left to Spark: it broadcasts a small batch.
+    after ``last``; late rows change nothing.
     """
     now = F.lit(loaded_at)
-    joined = cut_lineage(full_batch(batch).join(target.select(KEY, "id", "created_at"), KEY, "left"))
-    known = joined.where(F.col("id").isNotNull()).withColumn("status", F.lit("updated"))
-    new = assign_ids(joined.where(F.col("id").isNull()).drop("id"), last)
-    new = new.withColumns({"created_at": now, "status": F.lit("inserted")})
-    rows = known.unionByName(new).withColumns({"updated_at": now, "scraped_at": now})
+    known = compared.where("status = 'updated'")
+    new = assign_ids(compared.where("status = 'inserted'").drop("id"), last).withColumn("created_at", now)
+    rows = known.unionByName(new).withColumn("updated_at", now)
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in LISTING], "status")
 
 
 def upsert_listings(target: DataFrame, batch: DataFrame, loaded_at: datetime) -> DataFrame:
     """The table after the load, with a ``status`` per row: inserted, updated or kept.
 
-    ``batch`` has one row per key. The store does not rewrite the table like this: it takes
-    only the changed rows (see ``ingest``).
+    ``batch`` has one row per key. A key keeps the row that was scraped last, so loads may come in
+    any order. The store does not rewrite the table like this: it takes only the changed rows (see
+    ``ingest``).
     """
-    changed = cut_lineage(changed_listings(target, batch, loaded_at, last_id(target)))
+    changed = cut_lineage(changed_listings(compare_batch(target, batch, loaded_at), loaded_at, last_id(target)))
     kept = target.join(changed.select("id"), "id", "left_anti").select(*LISTING.names)
     return kept.withColumn("status", F.lit("kept")).unionByName(changed)
 

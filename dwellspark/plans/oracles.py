@@ -298,6 +298,11 @@ ORACLES = {
     "dedup_latest_feed": """select 'ext-'||k as external_id, arg_max(p_partkey, (p_partkey % 2) * 1000000000 + p_partkey)::int as price
   from (select p_partkey, p_partkey % 50 as k from part) group by k""",
     "ensure_tables": f"with {INGESTED} select id, external_id, price from stored",
+    "latest_wins": f"""with {LISTING}, load as (
+    select id, n, external_id, description, price + 100 * n as price, has_parking, to_timestamp(1700000000 + 3600 * ((id * 7 + n * 5) % 11) + n) as seen
+    from listing, range(1, 4) as loads(n) where (id + n) % 4 > 0)
+  select external_id, arg_max(description, seen) as description, arg_max(coalesce(price, -1), seen) as price,
+    arg_max(n, seen)::int as load, epoch(max(seen))::bigint as seen from load group by external_id""",
     "load_stats": f"""with {RAW}, {CLEANED} select cast(0 as bigint) as inserted, count(*) filter (rooms is null or rooms < 99.95) as updated,
   count(*) filter (rooms >= 99.95) as errors, count(*) as total_listings from cleaned""",
     "dedup_by_key": """select external_id, event_id, event_type, value from (select 'ext-'||user_id as external_id, event_id, event_type, value,
@@ -319,9 +324,9 @@ ORACLES = {
   n as (select count(*) as rows, count(*) filter (length(external_id) % 3 = 0) as part, coalesce(sum(u.cells), 0) as cells,
     coalesce(sum(u.cells) filter (length(external_id) % 3 = 0), 0) as part_cells from good join unread u using (external_id)),
   bad as (select count(*) as rows, count(*) filter (length(external_id) % 3 = 0) as part from cleaned where rooms >= 99.95)
-  select n.part as inserted, cast(0 as bigint) as updated, cast(0 as bigint) as duplicates, bad.part as errors,
+  select n.part as inserted, cast(0 as bigint) as updated, cast(0 as bigint) as late, cast(0 as bigint) as duplicates, bad.part as errors,
     cast(part_cells as bigint) as unread_values, n.part as total_listings, 1 as load from n, bad
-  union all select n.rows - n.part, n.part, n.rows, 2 * bad.rows, cast(2 * cells as bigint), n.rows, 2 from n, bad""",
+  union all select n.rows - n.part, n.part, 0, n.rows, 2 * bad.rows, cast(2 * cells as bigint), n.rows, 2 from n, bad""",
     "stream_ingest": f"with {INGESTED} select external_id, title, price, has_parking, true as loaded from stored",
     "read_listings": f"with {RAW} select external_id, title, description, price, rooms, city from raw",
     "snapshot_tables": f"""with {INDEX} select l.id, l.external_id, l.id % 64 as id_block, i.price, i.city

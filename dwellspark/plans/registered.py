@@ -407,6 +407,22 @@ def upsert_partial(spark: Session, sf_dir: str) -> DataFrame:
     return merged.select("id", "external_id", "title", "price", "city", "has_parking", "furnished", "pets_allowed", "status")
 
 
+def latest_wins(spark: Session, sf_dir: str) -> DataFrame:
+    """Three loads that overlap, none later than the others in all its rows, in an order that is not theirs."""
+    view = V.listing_view(spark, sf_dir)
+    table = spark.createDataFrame([], LISTING)
+    for n in (2, 3, 1):
+        seen = F.timestamp_seconds(1_700_000_000 + 3600 * ((F.col("id") * 7 + n * 5) % 11) + n)
+        batch = view.where((F.col("id") + n) % 4 > 0).select(
+            "external_id", "description", (F.coalesce(F.col("price") + 100 * n, F.lit(-1))).alias("price"),
+            F.lit(str(n)).alias("title"), seen.alias("scraped_at"),
+        )
+        table = cut_lineage(upsert_listings(table, cut_lineage(batch), LOADED).drop("status"))
+    return table.select(
+        "external_id", "description", "price", F.col("title").cast("int").alias("load"), F.unix_timestamp("scraped_at").alias("seen")
+    )
+
+
 def load_counts(spark: Session, sf_dir: str) -> DataFrame:
     good, bad = split_rejects(clean(V.raw_view(spark, sf_dir)))
     merged = upsert_listings(_stored(V.listing_view(spark, sf_dir)), cut_lineage(good), LOADED)
@@ -654,6 +670,7 @@ QUERIES = {
     "scan_vectors": scan_one_vector,
     "upsert_listings": upsert_rows,
     "upsert_partial_batch": upsert_partial,
+    "latest_wins": latest_wins,
     "load_stats": load_counts,
     "dedup_latest_feed": dedup_feed,
     "ensure_tables": empty_tables,

@@ -40,7 +40,7 @@ LISTING = T.StructType(
 )
 
 # Raw feeds are read loosely: every scalar as text, typed later by the cleaner.
-RAW = T.StructType([T.StructField(KEY, T.StringType())] + [T.StructField(f, T.StringType()) for f in DATA_FIELDS])
+RAW = T.StructType([T.StructField(name, T.StringType()) for name in [KEY, *DATA_FIELDS, "scraped_at"]])
 
 PAYLOAD = T.StructType(
     [

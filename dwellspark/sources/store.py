@@ -36,6 +36,7 @@ class Commit:
     total: int = 0
     epoch: int | None = None
     stats: dict | None = None
+    rejects: str | None = None
 
 
 def commits(spark: SparkSession, root: str) -> list[Commit]:
@@ -108,7 +109,8 @@ def read_table(spark: SparkSession, root: str, name: str, at: list[Commit] | Non
         changed = reduce(DataFrame.unionByName, [part(load).withColumn("_load", F.lit(load.number)) for load in later])
         newest = changed.drop("_load")
         if len(later) > 1:
-            newest = changed.groupBy("id").agg(F.max_by(F.struct(*base.columns), "_load").alias("row")).select("row.*")
+            # Ids and load numbers only; the rows that count are then read with the columns that are asked for.
+            newest = changed.join(changed.groupBy("id").agg(F.max("_load").alias("_load")), ["id", "_load"]).select(*base.columns)
         base = base.join(changed.select("id"), "id", "left_anti").unionByName(newest)
     return with_blocks(base, blocks) if name == "listings" else base
 
@@ -117,7 +119,7 @@ def compact(spark: SparkSession, root: str, blocks: int | None = None) -> Commit
     """A new base of all rows, laid out for searches; what costs the whole table, apart from loads."""
     known = commits(spark, root)
     last = known[-1]
-    made = replace(last, number=last.number + 1, folder=new_load(root, last.number + 1), base=True, blocks=blocks or last.blocks, stats=None)
+    made = replace(last, number=last.number + 1, folder=new_load(root, last.number + 1), base=True, blocks=blocks or last.blocks)
     listings, index = (read_table(spark, root, name, known) for name in SCHEMAS)
     lay_out_listings(listings.drop("id_block"), f"{made.folder}/listings", made.blocks)
     lay_out_index(index, f"{made.folder}/index")

@@ -60,6 +60,46 @@ def test_upsert_twice_changes_nothing_more(table, batch):
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
 
 
+def test_any_order_of_loads_gives_one_table(spark, tmp_path):
+    from itertools import permutations
+
+    feeds = [
+        [("a", "a1", "2024-03-01T00:00:00Z"), ("b", "b1", "2024-03-05T00:00:00Z"), ("c", "c1", None)],
+        [("a", "a2", "2024-03-02T00:00:00Z"), ("b", "b2", "2024-03-04T00:00:00Z"), ("a", "a0", "2024-02-02T00:00:00Z")],
+        [("a", "a3", "2024-03-01T12:00:00Z"), ("d", "d3", "2024-03-01T00:00:00Z"), ("b", "b3", "2024-03-06T00:00:00Z"), ("e", "e3", "no time")],
+    ]
+    times = [datetime(2024, 4, day, tzinfo=timezone.utc) for day in (1, 2, 3)]
+    found = set()
+    for number, order in enumerate(permutations(range(3))):
+        table, root = spark.createDataFrame([], LISTING), str(tmp_path / str(number))
+        for k in order:
+            raw = spark.createDataFrame(feeds[k], "external_id string, description string, scraped_at string")
+            load = ingest(raw, root, HashingEmbedder(8), times[k], most_loads=2)
+            typed = raw.where("description <> 'a0'").withColumn("scraped_at", F.col("scraped_at").try_cast("timestamp"))
+            table = upsert_listings(table, typed, times[k]).drop("status")
+        rows = lambda df: tuple(sorted((r.external_id, r.description, r.scraped_at) for r in df.collect()))
+        assert rows(table) == rows(load.listings)
+        points = {r.id: r.description for r in load.index.select("id", F.col("description").cast("string").alias("description")).collect()}
+        fresh = {r.id: str(r.v) for r in load.listings.select("id", HashingEmbedder(8).column(F.col("description")).cast("string").alias("v")).collect()}
+        assert points == fresh, "the index has the vectors of the rows that won"
+        assert len(commits(spark, root)) <= 2
+        found.add(rows(table))
+    assert len(found) == 1 and [(k, d) for k, d, _ in found.pop()] == [("a", "a2"), ("b", "b3"), ("c", "c1"), ("d", "d3"), ("e", "e3")]
+
+
+def test_late_rows_are_counted_and_a_repeated_epoch_survives_compaction(spark, tmp_path):
+    root, columns = str(tmp_path / "store"), "external_id string, description string, scraped_at string"
+    new = spark.createDataFrame([("a", "new", "2024-03-02"), ("b", "new", "2024-03-02")], columns)
+    old = spark.createDataFrame([("a", "old", "2024-03-01"), ("b", "fix", "2024-03-02"), ("b", "older", "2024-01-01")], columns)
+    ingest(new, root, HashingEmbedder(8), T2, epoch=1)
+    load = ingest(old, root, HashingEmbedder(8), T2, epoch=2)
+    assert {r.external_id: r.description for r in load.listings.collect()} == {"a": "new", "b": "fix"}
+    assert (load.stats.first().updated, load.stats.first().late, load.stats.first().duplicates) == (1, 1, 1)
+    compact(spark, root)
+    again = ingest(old, root, HashingEmbedder(8), T2, epoch=2)
+    assert again.stats.first() == load.stats.first() and again.rejects.count() == 0
+
+
 def test_absent_fields_of_a_batch_are_null_and_flags_false(spark, table):
     batch = spark.createDataFrame([("k1", "new"), ("k8", "new")], "external_id string, description string")
     rows = {r.external_id: r for r in upsert_listings(table, batch, T2).collect()}
@@ -218,9 +258,9 @@ def test_ingest_then_search(spark, tmp_path):
     assert rows["a"].description == "two & rooms near sea" and rows["a"].price == 8000 and rows["a"].city == "X Y" and rows["a"].has_parking
     assert rows["b"].price == 4000 and rows["b"].pets_allowed is None  # the later of two rows, whole
     assert sorted(r.reason for r in load.rejects.collect()) == ["blank description", "blank external_id"]
-    assert tuple(load.stats.first()) == (2, 0, 1, 2, 0, 2)
+    assert tuple(load.stats.first()) == (2, 0, 0, 1, 2, 0, 2)
     again = ingest(read_listings(spark, write_feed(tmp_path / "more", [{**FEED[0], "price": "9000"}, {"external_id": "d", "description": "cellar"}])), root, embedder, T2)
-    assert tuple(again.stats.first()) == (1, 1, 0, 0, 0, 3)
+    assert tuple(again.stats.first()) == (1, 1, 0, 0, 0, 0, 3)
     assert {r.external_id: (r.id, r.price) for r in again.listings.collect()} == {"a": (1, 9000), "b": (2, 4000), "d": (3, None)}
     assert sorted((r.id, r.payload.price) for r in again.index.collect() if r.payload.price) == [(1, 9000), (2, 4000)]
     found = search_one(again.index, again.listings, SearchRequest("large flat", limit=2), embedder).collect()
