@@ -20,6 +20,8 @@ PIECE = 1 << 16
 #: A cut before a blank or line end that follows something else: no match of the patterns meant here
 #: (words, numbers or signs with a blank before them, runs of white space) reaches across it or looks back.
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+#: Unicode white space, as the patterns' ``\s`` has it, in runs so long that looking back over them would exhaust the stack.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @lru_cache(maxsize=4)
@@ -30,6 +32,20 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def blank_runs(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts, and whether each is one match of ``\\s+(?!\\S)`` or ``\\s+``: a very long run of white space.
+
+    A run starts a match, and leaves its last character to what follows, unless the text ends there.
+    """
+    at = 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    yield text[at:], False
+
+
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """The text in parts of about ``size``, cut only where no token can lie across."""
     at = 0
@@ -42,9 +58,15 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(coder: tiktoken.Encoding, text: str) -> np.ndarray:
-    """Ids of the whole text, as encoding it at once would give them; special tokens are ordinary text."""
-    return np.concatenate([np.array(coder.encode_ordinary(part), "<u4") for part in pieces(text)])
+def encode(coder: tiktoken.Encoding, text: str, whole: tiktoken.Encoding) -> np.ndarray:
+    """Ids of the whole text, as encoding it at once would give them; special tokens are ordinary text.
+
+    ``whole`` has the same ranks and takes a run of white space as one match.
+    """
+    found = []
+    for part, is_run in blank_runs(text):
+        found += [np.array(whole.encode_ordinary(part), "<u4")] if is_run else [np.array(coder.encode_ordinary(p), "<u4") for p in pieces(part)]
+    return np.concatenate(found)
 
 
 def bpe(
@@ -59,14 +81,14 @@ def bpe(
     don't matter. ``path`` must lead to the rank file on every worker.
 
     Each text is encoded by itself in Arrow batches, without a shuffle; texts of any length
-    go through in pieces.
+    go through in pieces, very long runs of white space as the single matches that they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coder, ids, rest = encoding(path, pattern), [], []
+            coder, whole, ids, rest = encoding(path, pattern), encoding(path, r"\s+"), [], []
             for text in batch["text"]:
-                ids.append(encode(coder, text.as_py() or ""))
+                ids.append(encode(coder, text.as_py() or "", whole))
                 back = sha256()
                 for at in range(0, len(ids[-1]), PIECE):
                     back.update(coder.decode_bytes(ids[-1][at : at + PIECE].tolist()))

@@ -42,3 +42,26 @@ def test_pieces_encode_like_the_whole(coder, blank):
         parts = list(B.pieces(text, size))
         assert "".join(parts) == text
         assert [x for p in parts for x in coder.encode_ordinary(p)] == coder.encode_ordinary(text), size
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n\t", "\u3000 ", "\x85"])
+def test_long_runs_of_white_space_encode_like_their_matches(coder, blank):
+    import regex
+
+    whole = B.encoding(RANKS, r"\s+")
+    for text in (blank * 5000, f"a{blank * 5000}b", f"{blank * 5000}'s{blank * 6000} {blank * 4500}", f"x{blank * 4096}\x1c{blank * 4096}7"):
+        matches = regex.findall(PATTERN, text)
+        assert "".join(matches) == text
+        expected = [i for m in matches for i in coder._encode_single_piece(m)]
+        assert B.encode(coder, text, whole).tolist() == expected == coder.encode_ordinary(text)
+
+
+def test_ten_million_blanks_do_not_end_a_worker(make, coder):
+    n = 10**7
+    texts = {1: " " * n + "word", 2: "\n" * n, 3: "a" + "\t" * n + "é", 4: " \n" * (n // 2)}
+    got = {r.doc_id: r for r in B.bpe(make(list(texts.items())), RANKS, PATTERN, ids_column=None).collect()}
+    for i, text in texts.items():
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    matches = [" " * (n - 1), " word"]
+    ids = np.array([i for m in matches for i in coder._encode_single_piece(m)], "<u4")
+    assert (got[1].n_tokens, got[1].ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
