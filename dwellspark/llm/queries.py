@@ -171,18 +171,19 @@ placed as (
   select host, n, bad,
     array_to_string(case when is_long then parts[-3:] else parts[-2:] end, '.') as domain,
     array_to_string(case when is_long then parts[-2:] else parts[-1:] end, '.') as suffix from named),
-overall as (select coalesce((sum(bad) + 1) / (sum(n) + 2), 0.5) as p from placed),
-s0 as (select suffix, sum(n) as n, sum(bad) as bad, any_value(p) as p from placed, overall group by suffix),
+overall as (select coalesce(sum(bad), 0) + 1.0::double as alpha, coalesce(sum(n - bad), 0) + 1.0::double as beta from placed),
+s0 as (select *, pa / (pa + pb) as p from (select suffix, n, bad, alpha - bad as pa, beta - (n - bad) as pb from (select suffix, sum(n) as n, sum(bad) as bad from placed group by suffix), overall)),
 s_fit as (select sum(n * (bad / n - p) ** 2) as spread, sum(p * (1 - p)) as noise, sum(p * (1 - p) * (n - 1)) as excess from s0),
-s1 as (select suffix, (bad + m * p) / (n + m) as p from s0, (select """ + "{strength}" + r""" as m from s_fit)),
-d0 as (select domain, suffix, sum(n) as n, sum(bad) as bad, any_value(p) as p from placed join s1 using (suffix) group by all),
+s1 as (select suffix, bad + least(m, pa + pb) * p as alpha, n - bad + least(m, pa + pb) * (1 - p) as beta from s0, (select """ + "{strength}" + r""" as m from s_fit)),
+d0 as (select *, pa / (pa + pb) as p from (select domain, d.n as n, d.bad as bad, alpha - d.bad as pa, beta - (d.n - d.bad) as pb from (select domain, suffix, sum(n) as n, sum(bad) as bad from placed group by all) d join s1 using (suffix))),
 d_fit as (select sum(n * (bad / n - p) ** 2) as spread, sum(p * (1 - p)) as noise, sum(p * (1 - p) * (n - 1)) as excess from d0),
-d1 as (select domain, (bad + m * p) / (n + m) as p from d0, (select """ + "{strength}" + r""" as m from d_fit)),
-h0 as (select host, placed.n, placed.bad, p from placed join d1 using (domain)),
+d1 as (select domain, bad + least(m, pa + pb) * p as alpha, n - bad + least(m, pa + pb) * (1 - p) as beta from d0, (select """ + "{strength}" + r""" as m from d_fit)),
+h0 as (select *, pa / (pa + pb) as p from (select host, h.n as n, h.bad as bad, alpha - h.bad as pa, beta - (h.n - h.bad) as pb from placed h join d1 using (domain))),
 h_fit as (select sum(n * (bad / n - p) ** 2) as spread, sum(p * (1 - p)) as noise, sum(p * (1 - p) * (n - 1)) as excess from h0),
-h1 as (select host, bad + m * p as a, n - bad + m * (1 - p) as b from h0, (select """ + "{strength}" + r""" as m from h_fit)),
+h1 as (select host, bad + least(m, pa + pb) * p as alpha, n - bad + least(m, pa + pb) * (1 - p) as beta from h0, (select """ + "{strength}" + r""" as m from h_fit)),
 bad_hosts as (
-  select host from h1 where a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) > 0.5)
+  select host from (select host, alpha + beta as t, alpha / (alpha + beta) as r, 1.645::double as z from h1)
+  where (r + z * z / (2 * t) - z * sqrt(r * (1 - r) / t + z * z / (4 * t * t))) / (1 + z * z / t) > 0.5)
 select page_id, host, path, rule,
   coalesce(says, case when host in (select host from bad_hosts) then 'block' else 'allow' end) as verdict
 from urls left join ruled using (page_id)

@@ -81,7 +81,8 @@ def reputations(outcomes: DataFrame) -> DataFrame:
 
     ``outcomes`` has ``host, bad``, a row per labelled page. The rate of a suffix is shrunk
     towards that of all pages, a domain's towards its suffix's, a host's towards its
-    domain's, each by a beta prior whose strength is estimated from the level. Counts
+    domain's, each by a beta prior whose strength is estimated from the level and is at most what the
+    level above knows without the group. Counts
     combine on the map side, so a host with a third of all pages costs each task one row;
     from there on there is a row per host, written once. Four one-row aggregates reach the
     driver.
@@ -92,25 +93,39 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     def level(name: str, above: list[str]) -> DataFrame:
         return hosts.groupBy(name, *above).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    pages, bad = hosts.agg(F.sum("n"), F.sum("bad")).first()
-    overall = (bad + 1) / (pages + 2) if pages else 0.5
+    def shrunk(groups: DataFrame) -> DataFrame:
+        """``alpha, beta`` of groups with ``n, bad`` and the level above's ``above_alpha, above_beta``.
 
-    def shrunk(groups: DataFrame, prior: str) -> DataFrame:
-        strength = _strength(groups, prior)
+        What the other groups of the level above say is the prior: the group's own pages are taken out of
+        it, so that they are not counted twice. The prior weighs what groups of this level have in common,
+        but no more than those pages do, however alike the groups of other domains are.
+        """
+        groups = groups.withColumns({"pa": F.col("above_alpha") - F.col("bad"), "pb": F.col("above_beta") - (F.col("n") - F.col("bad"))})
+        groups = groups.withColumn("prior", F.col("pa") / (F.col("pa") + F.col("pb")))
+        weight = F.least(F.lit(_strength(groups, "prior")), F.col("pa") + F.col("pb"))
         return groups.withColumns({
-            "alpha": F.col("bad") + strength * F.col(prior), "beta": F.col("n") - F.col("bad") + strength * (1 - F.col(prior))
+            "alpha": F.col("bad") + weight * F.col("prior"), "beta": F.col("n") - F.col("bad") + weight * (1 - F.col("prior"))
         })
 
-    mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
-    suffixes = shrunk(level("suffix", []).withColumn("all", F.lit(overall)), "all").select("suffix", mean.alias("suffix_rate"))
-    domains = shrunk(level("domain", ["suffix"]).join(suffixes, "suffix"), "suffix_rate").select("domain", mean.alias("domain_rate"))
-    return shrunk(hosts.join(domains, "domain"), "domain_rate").select("host", "n", "bad", "alpha", "beta")
+    def above(groups: DataFrame, name: str) -> DataFrame:
+        return groups.select(name, F.col("alpha").alias("above_alpha"), F.col("beta").alias("above_beta"))
+
+    pages, bad = (x or 0 for x in hosts.agg(F.sum("n"), F.sum("bad")).first())
+    overall = {"above_alpha": F.lit(bad + 1.0), "above_beta": F.lit(pages - bad + 1.0)}
+    suffixes = shrunk(level("suffix", []).withColumns(overall))
+    domains = shrunk(level("domain", ["suffix"]).join(above(suffixes, "suffix"), "suffix"))
+    return shrunk(hosts.join(above(domains, "domain"), "domain")).select("host", "n", "bad", "alpha", "beta")
 
 
 def surely_bad(alpha: Column, beta: Column, deviations: float, most_bad: float) -> Column:
-    """Whether the lower bound of the posterior (normal approximation) exceeds ``most_bad``."""
-    total = alpha + beta
-    bound = alpha / total - deviations * F.sqrt(alpha * beta / (total * total * (total + 1)))
+    """Whether the lower bound of the posterior exceeds ``most_bad``.
+
+    The bound is Wilson's for a rate seen in ``alpha + beta`` pages: around few pages, or rates near 1, the
+    spread of the posterior alone would be too sure.
+    """
+    total, square = alpha + beta, deviations * deviations
+    rate = alpha / total
+    bound = (rate + square / (2 * total) - deviations * F.sqrt(rate * (1 - rate) / total + square / (4 * total * total))) / (1 + square / total)
     return bound > most_bad
 
 

@@ -53,3 +53,26 @@ def test_bad_host_is_blocked_unless_a_rule_allows(spark):
     labels = spark.createDataFrame([(i, 0) for i in range(25)] + [(99, 0), (99, None)] + [(100 + i, 1) for i in range(30)], "doc_id bigint, quality int")
     got = {(r.host, r.verdict) for r in url_filter(pages, labels, RULES).collect()}
     assert got == {("bad.org", "block"), ("bad.com", "allow"), ("ok.org", "allow")}
+
+
+def test_twin_sees_blocked_hosts(spark, tmp_path):
+    """The query and its twin over pages with hosts that are blocked by their labels, which the given tables don't have."""
+    import random
+
+    import duckdb
+
+    from dwellspark.llm.queries import ORACLES, op4_url_filter
+
+    rng = random.Random(7)
+    hosts = {"a.bad.org": 0.95, "b.bad.org": 0.9, "c.bad.org": 1.0, "lone.org": 1.0, "x.good.org": 0.05, "g.co.uk": 0.0, "h.co.uk": 0.9, "www.example.com": 1.0}
+    pages = [(i, f"https://{host}/p{i}") for i, host in enumerate(rng.choices(list(hosts), k=400))] + [(1000, "https://lone.org/"), (1001, None), (1002, "http://n.net/es/1")]
+    labels = [(i, int(rng.random() >= hosts[url.split("/")[2]])) for i, url in pages[:400] if "lone" not in url] + [(1000, 0), (1001, 1)]
+    spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    sql = duckdb.connect()
+    for name in ("pages", "labels"):
+        sql.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, op4_url_filter(spark, str(tmp_path)).collect()))
+    assert got == sorted(sql.execute(ORACLES["op4_url_filter"]).fetchall())
+    blocked = {host for _, host, _, rule, verdict in got if verdict == "block" and rule is None}
+    assert {"a.bad.org", "b.bad.org", "c.bad.org", "h.co.uk"} <= blocked and not blocked & {"lone.org", "x.good.org", "g.co.uk"}
