@@ -22,6 +22,10 @@ BROADCAST_BYTES = 64 << 20
 # Queries in one block, and bytes of items that a task holds against the blocks.
 BLOCK_ROWS = 16_384
 HELD_BYTES = 256 << 20
+# Items in so many that a first pass looks at, to know what a query's hits reach at least; and the tasks that it has
+# to one of a shuffle. Of a thousand tasks and more, few then have something to tell about a query.
+SAMPLE_OF = 32
+SAMPLE_TASKS = 16
 # Names that a scan is asked for.
 LISTED = 1000
 # Groups of tasks whose partial lists are merged before the last merge of a query.
@@ -138,18 +142,30 @@ def _scan_with_queries(items: DataFrame, queries: pa.Table, lists: list[list[str
 
 
 def _scan_with_blocks(
-    items: DataFrame, queries: DataFrame, lists: list[list[str]], k: int, schema: T.StructType, block_rows: int
+    items: DataFrame, queries: DataFrame, lists: list[list[str]], k: int, schema: T.StructType, block_rows: int,
+    sample_of: int | None = SAMPLE_OF,
 ) -> DataFrame:
-    """Large query table: still one pass over the items, which stay where they are.
+    """Large query table: the items stay where they are and are read in one pass, after one over a sample.
 
     The queries are written once, in files of at most ``block_rows`` rows, to the shared
     folder. A task takes in items up to ``HELD_BYTES`` and goes through the files with them,
-    one block in memory at a time.
+    one block in memory at a time. With ``sample_of`` a first pass over one item in so many
+    gives each query a score that its last hit reaches in any case; it goes with the blocks,
+    and a task leaves out what is below it.
     """
-    spark = queries.sparkSession
-    path = new_folder(spark, "queries")
+    written = _written_blocks(queries, block_rows)
+    if sample_of:
+        written = _written_blocks(_with_floors(items, written, lists, k, schema, sample_of), block_rows)
+    return _covering_filter(items, written).mapInArrow(_through_blocks(written, lists, k, schema), schema)
+
+
+def _written_blocks(queries: DataFrame, block_rows: int) -> DataFrame:
+    path = new_folder(queries.sparkSession, "queries")
     queries.write.option("maxRecordsPerFile", block_rows).parquet(path)
-    written = spark.read.schema(queries.schema).parquet(path)
+    return queries.sparkSession.read.schema(queries.schema).parquet(path)
+
+
+def _through_blocks(written: DataFrame, lists: list[list[str]], k: int, schema: T.StructType):
     files, names = sorted(written.inputFiles()), schema.names
 
     def passed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +186,21 @@ def _scan_with_blocks(
         if held:
             yield from passed(held)
 
-    return _covering_filter(items, written).mapInArrow(scan, schema)
+    return scan
+
+
+def _with_floors(items: DataFrame, written: DataFrame, lists: list[list[str]], k: int, schema: T.StructType, sample_of: int) -> DataFrame:
+    """The queries with ``floors``, for each list the score of the last hit among a sample of the items; NULL if it has too few.
+
+    The best of some items are no better than the best of all, so each floor holds for the whole table.
+    """
+    tasks = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SAMPLE_TASKS)
+    sampled = _covering_filter(items, written).sample(1 / sample_of, seed=sample_of).repartition(tasks)
+    hits = top_hits(sampled.mapInArrow(_through_blocks(written, lists, k, schema), schema), k, ("list", "query_id"))
+    last = hits.where(F.col("rank") == F.col("limit")).groupBy("query_id").agg(
+        F.array(*[F.max(F.when(F.col("list") == number, F.col("score"))) for number in range(len(lists))]).alias("floors")
+    )
+    return written.join(last, "query_id", "left")
 
 
 def top_hits(hits: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -201,6 +231,7 @@ def knn_lists(
     prefix: str = "",
     broadcast_queries: int = BROADCAST_QUERIES,
     block_rows: int = BLOCK_ROWS,
+    sample_of: int | None = SAMPLE_OF,
 ) -> DataFrame:
     """Several rankings of the same items from one scan: (list, query_id, rank, id, score).
 
@@ -220,7 +251,7 @@ def knn_lists(
     if isinstance(queries, pa.Table):
         hits = _scan_with_queries(items, queries, vectors, k, schema)
     else:
-        hits = _scan_with_blocks(items, queries, vectors, k, schema, block_rows)
+        hits = _scan_with_blocks(items, queries, vectors, k, schema, block_rows, sample_of)
     ranked = top_hits(hits, k, ("list", "query_id")).where(F.col("rank") <= F.col("limit"))
     name = F.element_at(F.array(*[F.lit(n) for n in lists]), F.col("list") + 1)
     return ranked.select(name.alias("list"), "query_id", "rank", "id", "score")
@@ -228,7 +259,7 @@ def knn_lists(
 
 def knn_batch(
     items: DataFrame, queries: DataFrame | pa.Table, k: int = 10, using: str | Sequence[str] = "embedding",
-    prefix: str = "", **sizes: int,
+    prefix: str = "", **sizes: int | None,
 ) -> DataFrame:
     """The best items for each row of a query table: (query_id, rank, id, score).
 

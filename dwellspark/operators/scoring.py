@@ -75,6 +75,8 @@ class QueryBlock:
         else:
             self.limits = np.full(len(self.ids), k)
         self.k = int(self.limits.max()) if len(self.ids) else 0
+        # Per list a score that a query's last hit is known to reach.
+        self.floors = table["floors"].to_pylist() if "floors" in table.column_names else None
         self.filters = {}
         for name, (column, kind) in FILTERS.items():
             if name in table.column_names:
@@ -132,12 +134,15 @@ class QueryBlock:
 class TopK:
     """Running best items of every query: rounded score descending, then id ascending."""
 
-    def __init__(self, block: QueryBlock):
+    def __init__(self, block: QueryBlock, number: int = 0):
         self.block = block
         self.query = np.empty(0, np.int64)
         self.id = np.empty(0, np.int64)
         self.score = np.empty(0)
         self.floor = np.full(len(block.ids), NO_FLOOR)
+        if block.floors is not None:
+            known = [NO_FLOOR if floors is None or floors[number] is None else floors[number] for floors in block.floors]
+            self.floor = np.array(known, np.float64)
 
     def candidates(self, scores: np.ndarray) -> np.ndarray:
         """Items that can still be among the best; few after the first batches."""
@@ -158,7 +163,7 @@ class TopK:
         starts = np.searchsorted(query, np.arange(len(self.floor)))
         place = np.arange(len(query)) - starts[query]
         full = place == self.block.k - 1
-        self.floor[query[full]] = score[full]
+        self.floor[query[full]] = np.maximum(self.floor[query[full]], score[full])
         keep = place < self.block.limits[query]
         self.query, self.score, self.id = query[keep], score[keep], ids[keep]
 
@@ -176,7 +181,7 @@ def best_items(
     batches: Iterable[pa.RecordBatch], block: QueryBlock, lists: list[list[str]]
 ) -> Iterator[list[pa.Array]]:
     """The best items of all batches, list by list, as the columns query_id, id, score, limit, list."""
-    tops = [TopK(block) for _ in lists]
+    tops = [TopK(block, number) for number in range(len(lists))]
     step = max(1, CELLS // max(1, len(block.ids)))
     if block.k:
         for batch in batches:

@@ -328,6 +328,20 @@ ORACLES = {
     cast(part_cells as bigint) as unread_values, n.part as total_listings, 1 as load from n, bad
   union all select n.rows - n.part, n.part, 0, n.rows, 2 * bad.rows, cast(2 * cells as bigint), n.rows, 2 from n, bad""",
     "stream_ingest": f"with {INGESTED} select external_id, title, price, has_parking, true as loaded from stored",
+    "stream_dedup": """select 'ext-'||p_partkey as external_id, 'flat '||p_partkey as description,
+  (case when p_partkey % 3 > 0 then 2000 else 1000 end + p_partkey % 7)::int as price, case when p_partkey % 3 > 0 then 3 else 2 end as day from part""",
+    "price_history": """with seen as (
+    select user_id, ts, max(floor(value / 20)::int) as level from events where event_type = 'view' group by all),
+  told as (select *, lag(level) over w as before, row_number() over w as n from seen window w as (partition by user_id order by ts)),
+  opened as (select * from told where n = 1 or before is distinct from level)
+  select user_id, level, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as valid_from,
+    strftime(lead(ts) over (partition by user_id order by ts), '%Y-%m-%d %H:%M:%S.%f') as valid_to from opened""",
+    "price_as_of": """select p.event_id, p.user_id, v.event_id as seen_id, v.value as price
+  from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'view') v
+  on p.user_id = v.user_id and p.ts >= v.ts""",
+    "collection_profile": f"""with {INDEX}, cell as (select unnest(['price', 'rooms', 'city']) as "column",
+    unnest([price::varchar, rooms::varchar, nullif(city, '')]) as value from idx)
+  select "column", count(*) as rows, count(*) filter (value is null) as nulls, true as distinct_within, true as quantiles_within from cell group by 1""",
     "read_listings": f"with {RAW} select external_id, title, description, price, rooms, city from raw",
     "snapshot_tables": f"""with {INDEX} select l.id, l.external_id, l.id % 64 as id_block, i.price, i.city
   from listing l left join idx i on i.id = l.id""",

@@ -18,10 +18,12 @@ from dwellspark.operators.cleaning import clean_text_columns as clean_texts
 from dwellspark.operators.cleaning import split_rejects, to_table_types
 from dwellspark.operators.embedding import HashingEmbedder, dimensions, embed_column, embed_listings, embed_text
 from dwellspark.operators.fusion import fuse_max_sim, max_sim, max_sim_batch
+from dwellspark.operators.history import as_of, validity
 from dwellspark.operators.keywords import build_postings, keyword_match
 from dwellspark.operators.knn import knn, knn_batch, rank_all, top_hits
 from dwellspark.operators.lookup import assign_rank, fetch_hits, respond, with_preview
 from dwellspark.operators.matching import facets, match_requests
+from dwellspark.operators.profile import DISTINCT_ERROR, RANK_ERROR, merged_profile, profile_files
 from dwellspark.operators.records import build_payload, build_points, listing_to_record, nested_point, payload_json
 from dwellspark.operators.upsert import (
     assign_ids, dedup_by_key, ids_of_keys, load_stats, require_key, upsert_listings, upsert_vectors, vector_stats,
@@ -387,6 +389,25 @@ def scan_one_vector(spark: Session, sf_dir: str) -> DataFrame:
     return scanned.select("id", "city", "price", _digest("description").alias("digest"))
 
 
+def collection_profile(spark: Session, sf_dir: str) -> DataFrame:
+    """Sketches of an index's files, merged, and whether the exact figures are within the stated bounds (four standard errors)."""
+    stored = publish_index(V.index_view(spark, sf_dir), f"{_run_dir(spark)}/index").select("payload.price", "payload.rooms", "payload.city")
+    names = ["price", "rooms", "city"]
+    found = merged_profile(profile_files(stored, names), [0.25, 0.5, 0.75])
+    cells = stored.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"), F.expr(f"try_cast({c} as double)").alias("x")) for c in names])))
+    exact = cells.groupBy("column").agg(F.countDistinct("text").alias("exact"))
+    at = lambda n: F.get("quantiles", F.lit(n))
+    joined = cells.join(F.broadcast(found.join(exact, "column")), "column")
+    share = lambda condition: F.coalesce(F.avg(F.when(F.col("x").isNotNull(), condition.cast("int"))), F.lit(0.0))
+    within = [(share(F.col("x") < at(n)) <= r + RANK_ERROR) & (r - RANK_ERROR <= share(F.col("x") <= at(n))) for n, r in enumerate([0.25, 0.5, 0.75])]
+    return joined.groupBy("column", "rows", "nulls", "distinct", "exact", F.col("quantiles").isNotNull().alias("numbers")).agg(
+        (within[0] & within[1] & within[2]).alias("ranks")
+    ).select(
+        "column", "rows", "nulls", (F.abs(F.col("distinct") - F.col("exact")) <= 4 * DISTINCT_ERROR * F.col("exact")).alias("distinct_within"),
+        (F.col("ranks") | ~F.col("numbers")).alias("quantiles_within"),
+    )
+
+
 # Loading
 
 
@@ -519,6 +540,42 @@ def stream_flow(spark: Session, sf_dir: str) -> DataFrame:
     return table.select("external_id", "title", "price", "has_parking", (F.col("updated_at") == F.lit(LOADED)).alias("loaded"))
 
 
+def stream_dedup(spark: Session, sf_dir: str) -> DataFrame:
+    """Three versions of a feed that arrive out of order, the newest twice; what was delivered before is dropped by state."""
+    root = _run_dir(spark)
+    part = V.read(spark, sf_dir, "part")
+    for n in (2, 3, 1, 2):
+        rows = part.where((F.col("p_partkey") % 3 > 0) | F.lit(n != 2)).select(
+            F.concat(F.lit("ext-"), F.col("p_partkey").cast("string")).alias("external_id"),
+            F.concat(F.lit("flat "), F.col("p_partkey").cast("string")).alias("description"),
+            (1000 * n + F.col("p_partkey") % 7).cast("string").alias("price"),
+            F.lit({1: "2024-03-02T00:00:00Z", 2: "2024-03-03T00:00:00Z", 3: "2024-03-01T00:00:00Z"}[n]).alias("scraped_at"),
+        )
+        rows.coalesce(1).write.mode("append").json(f"{root}/landing")
+    stream_ingest(
+        spark, f"{root}/landing", root, EMBEDDER, _run_dir(spark), files_per_load=1, clock=lambda: LOADED, remember="7 days"
+    ).awaitTermination()
+    return read_table(spark, root, "listings").select("external_id", "description", "price", F.dayofmonth("scraped_at").alias("day"))
+
+
+def _views(spark: Session, sf_dir: str) -> DataFrame:
+    """Views among the events, as observations of a price by the user's number."""
+    return V.read(spark, sf_dir, "events").where("event_type = 'view'")
+
+
+def price_history(spark: Session, sf_dir: str) -> DataFrame:
+    seen = _views(spark, sf_dir).select("user_id", "ts", F.floor(F.col("value") / 20).cast("int").alias("level"))
+    times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("valid_from", "valid_to")]
+    return validity(seen, "user_id", "ts", "level").select("user_id", "level", *times)
+
+
+def price_as_of(spark: Session, sf_dir: str) -> DataFrame:
+    """What was last seen before each purchase."""
+    probes = V.read(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = _views(spark, sf_dir).select("user_id", "ts", F.col("event_id").alias("seen_id"), F.col("value").alias("price"))
+    return as_of(probes, seen, "user_id", "ts", ["seen_id", "price"]).drop("ts")
+
+
 def empty_tables(spark: Session, sf_dir: str) -> DataFrame:
     """Tables created twice, with a load in between; the load stays."""
     root = _run_dir(spark)
@@ -666,6 +723,7 @@ QUERIES = {
     "l2_normalize": normalized,
     "vector_dim": vector_dims,
     "collection_info": index_info,
+    "collection_profile": collection_profile,
     "named_vectors": named_vectors,
     "scan_vectors": scan_one_vector,
     "upsert_listings": upsert_rows,
@@ -683,6 +741,9 @@ QUERIES = {
     "ingest": ingest_flow,
     "ingest_stats": ingest_stats,
     "stream_ingest": stream_flow,
+    "stream_dedup": stream_dedup,
+    "price_history": price_history,
+    "price_as_of": price_as_of,
     "read_listings": json_feed,
     "snapshot_tables": snapshot_tables,
     "compare_rankings": compare_rankings,

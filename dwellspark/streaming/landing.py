@@ -12,6 +12,7 @@ from dwellspark.operators.embedding import Embedder
 from dwellspark.plans.ingest import ingest
 from dwellspark.schema import RAW
 from dwellspark.sources.listings import FORMATS, with_source_file, with_source_row
+from dwellspark.streaming.dedup import drop_redelivered
 
 
 def utc_now() -> datetime:
@@ -28,11 +29,13 @@ def stream_ingest(
     form: str = "json",
     files_per_load: int = 1000,
     clock: Callable[[], datetime] = utc_now,
+    remember: str | None = None,
 ) -> StreamingQuery:
     """Loads what has arrived and stops.
 
-    The only state is the newest row per key, which the store holds, so no watermark is
-    needed. A load is committed together with its epoch: one repeated after a failure is
+    The newest row per key is held by the store. With ``remember`` (as ``"7 days"``) rows that were delivered
+    before within that time are dropped by keyed state, before they are compared, embedded and written again; the
+    tables are the same. A load is committed together with its epoch: one repeated after a failure is
     either done as if for the first time, or found committed and left out. A store is fed
     by one stream, with one ``checkpoint``; files are read as ``read_listings`` does.
     """
@@ -41,8 +44,9 @@ def stream_ingest(
         ingest(with_source_row(batch), root, embedder, clock(), epoch=epoch)
 
     files = spark.readStream.schema(schema).options(**FORMATS.get(form, {})).option("maxFilesPerTrigger", files_per_load)
+    rows = with_source_file(files.format(form).load(landing))
     return (
-        with_source_file(files.format(form).load(landing))
+        (drop_redelivered(rows, remember) if remember else rows)
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -341,6 +341,30 @@ def test_a_repeated_epoch_is_loaded_once(spark, tmp_path):
     assert {r.updated_at for r in again.listings.collect()} == {naive(T1)}
 
 
+def test_redelivered_rows_are_dropped_by_state_and_out_of_order_files_load_like_a_batch(spark, tmp_path):
+    when = "2024-03-{:02d}T00:00:00Z".format
+    files = [
+        [{"external_id": "a", "description": "late", "scraped_at": when(9)}, {"external_id": "b", "description": "first", "scraped_at": when(2)}],
+        [{"external_id": "a", "description": "early", "scraped_at": when(1)}, {"external_id": "c", "description": "untimed"}],
+        [{"external_id": "a", "description": "late", "scraped_at": when(9)}, {"external_id": "b", "description": "first", "scraped_at": when(2)}],
+        [{"external_id": "b", "description": "second", "scraped_at": when(3)}, {"external_id": "a", "description": "early", "scraped_at": when(1)}, {"external_id": "c", "description": "untimed"}],
+    ]
+    stores = {}
+    for name, remember in (("plain", None), ("keyed", "7 days")):
+        root, landing = str(tmp_path / name), tmp_path / f"{name}-landing"
+        for rows in files:
+            write_feed(landing, rows)
+            query = stream_ingest(spark, str(landing), root, HashingEmbedder(8), str(tmp_path / f"{name}-mark"), clock=lambda: T2, remember=remember)
+            query.awaitTermination()
+        seen = [c.stats for c in commits(spark, root)[1:]]
+        stores[name] = [sum(c[n] for n in ("inserted", "updated", "late", "duplicates")) for c in seen]
+        rows = {r.external_id: (r.description, r.scraped_at) for r in read_table(spark, root, "listings").collect()}
+        assert {k: d for k, (d, _) in rows.items()} == {"a": "late", "b": "second", "c": "untimed"}
+        stores[name, "rows"] = rows
+    assert stores["plain", "rows"] == stores["keyed", "rows"]
+    assert stores["plain"] == [2, 2, 2, 3] and [n for n in stores["keyed"] if n] == [2, 2, 2], "of the last files only what is new, and what has no time"
+
+
 def test_unreadable_values_are_counted(spark, tmp_path):
     feed = [{"external_id": "a", "description": "x", "price": "99999999999", "floor": "third", "rooms": "2"}, {"external_id": "b", "description": "x", "price": " ", "pets_allowed": "maybe"}]
     load = ingest(read_listings(spark, write_feed(tmp_path / "feed", feed)), str(tmp_path / "store"), HashingEmbedder(8), T1)

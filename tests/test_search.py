@@ -335,3 +335,18 @@ def test_filters_common_to_all_queries_lose_nothing(world, spark):
     )
     names = ["structured", "description"]
     assert got(knn_batch(index, table, 100, names)) == brute(items, mixed, names, 100) != []
+
+
+def test_floors_from_a_sample_leave_the_rows_and_keep_tasks_quiet(spark):
+    from dwellspark.operators import knn as K
+
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, rng.normal(size=8).tolist(), rng.normal(size=8).tolist()) for i in range(20_000)], "id bigint, a array<double>, b array<double>")
+    queries = spark.createDataFrame([(q, rng.normal(size=8).tolist(), 1 + q % 5) for q in range(60)], "query_id bigint, vector array<double>, limit int")
+    items = items.repartition(400)
+    lists = {"one": ["a"], "both": ["a", "b"]}
+    rows = lambda **sizes: sorted(map(tuple, K.knn_lists(items, queries, 5, lists, broadcast_queries=1, block_rows=25, **sizes).collect()))
+    assert rows(sample_of=8) == rows(sample_of=None) == sorted(map(tuple, K.knn_lists(items, queries, 5, lists).collect()))
+    schema, names = K._hit_schema(queries), list(lists.values())
+    told = {n: K._scan_with_blocks(items.select("id", "a", "b"), queries, names, 5, schema, 25, n).count() for n in (8, None)}
+    assert told[None] == 400 * sum(2 * (1 + q % 5) for q in range(60)) and told[8] < 0.05 * 400 * 60 * 2 * 5
