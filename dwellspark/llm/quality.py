@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh32_intdigest
 
 from dwellspark.llm.rows import BLANKS, column
+from dwellspark.session import cut_lineage
 
 #: Buckets of hashed features: the first half for words and word pairs, the second for character n-grams.
 BUCKETS = 1 << 17
-#: Bytes in a character n-gram.
+#: Characters (code points) in an n-gram.
 GRAMS = (2, 4)
 #: Labelled rows that training reads at most, drawn by a hash of the id.
 SAMPLE = 2000
@@ -23,7 +24,7 @@ SAMPLE = 2000
 LEAST = 0.4
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Bytes whose features are in memory at a time.
+#: Words, or characters, whose features are in memory at a time.
 BLOCK = 1 << 18
 
 
@@ -73,36 +74,37 @@ def word_features(words: list[bytes]) -> np.ndarray:
     return _mix(np.concatenate([hashed, pairs]))
 
 
-def char_features(data: bytes) -> np.ndarray:
-    """Buckets of all runs of ``GRAMS`` bytes, repeats included."""
-    padded = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint64)
-    found = []
-    for n in GRAMS:
-        if len(padded) >= n:
-            value = np.full(len(padded) - n + 1, n, np.uint64)
-            for k in range(n):
-                value = (value << np.uint64(8)) | padded[k : len(padded) - n + 1 + k]
-            found.append(_mix(value) + BUCKETS // 2)
-    return np.concatenate(found)
+def char_features(points: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of all runs of ``n`` code points, repeats included."""
+    value = np.full(max(len(points) - n + 1, 0), n, np.uint64)
+    for k in range(n):
+        value = (value ^ points[k : k + len(value)]) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return _mix(value) + BUCKETS // 2
+
 
+def feature_blocks(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Kind (0 words, 1 characters) and buckets of a text's features, in blocks that lose none.
 
-def _blocks(data: bytes) -> Iterator[bytes]:
-    """The bytes in blocks cut at blanks where there are some; features across a cut are left out."""
-    at = 0
-    while at < len(data):
-        end = at + BLOCK
-        if end < len(data):
-            end = data.rfind(b" ", at + 1, end) if data.rfind(b" ", at + 1, end) > 0 else end
-        yield data[at:end]
-        at = end
+    A block goes on into the next by as much as a feature that begins in it needs.
+    """
+    words = text.encode().split()
+    for at in range(0, len(words), BLOCK):
+        part = words[at : at + BLOCK + 1]
+        found = word_features(part)
+        # A word that only ends a pair is counted in the next block.
+        yield 0, found if len(part) <= BLOCK else np.delete(found, BLOCK)
+    points = np.frombuffer(f" {text} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+    for n in GRAMS:
+        for at in range(0, len(points) - n + 1, BLOCK):
+            yield 1, char_features(points[at : at + BLOCK + n - 1], n)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their values: counts over all features of the kind, words and characters each."""
     total = np.zeros(BUCKETS)
-    for block in _blocks(text.encode()):
-        for found in (word_features(block.split()), char_features(block)):
-            total += np.bincount(found, minlength=BUCKETS)
+    for _, found in feature_blocks(text):
+        total += np.bincount(found, minlength=BUCKETS)
     half = BUCKETS // 2
     for part in (slice(0, half), slice(half, BUCKETS)):
         total[part] /= max(total[part].sum(), 1)
@@ -124,10 +126,9 @@ class Model:
     def probability(self, text: str) -> float:
         """Of a whole text; the score is the mean weight of its words' features plus that of its characters'."""
         sums, numbers = np.zeros(2), np.zeros(2)
-        for block in _blocks(text.encode()):
-            for kind, found in enumerate((word_features(block.split()), char_features(block))):
-                sums[kind] += self.weights[found].sum(dtype=np.float64)
-                numbers[kind] += len(found)
+        for kind, found in feature_blocks(text):
+            sums[kind] += self.weights[found].sum(dtype=np.float64)
+            numbers[kind] += len(found)
         score = float((sums / np.maximum(numbers, 1)).sum())
         return float(1 / (1 + np.exp(-np.clip(self.slope * score + self.offset, -50, 50))))
 
@@ -184,9 +185,12 @@ def train(
 
     Documents of both outcomes are drawn alike, half and half where there are enough, by a
     hash of the id, so a task that runs again draws the same; in calibration they weigh by
-    what they stand for among all labels. Labels without quality or document don't count. Only features of the sample reach the driver.
+    what they stand for among all labels. Labels without quality or document don't count, and of several for a
+    document the lowest does. Only features of the sample reach the driver.
     """
-    known = labels.select(column(id_column).alias("id"), column(quality_column).alias("quality")).dropna().dropDuplicates(["id"])
+    known = labels.select(column(id_column).alias("id"), column(quality_column).alias("quality")).dropna()
+    known = known.groupBy("id").agg(F.min("quality").alias("quality"))
+    known = cut_lineage(known.join(docs.select(column(id_column).alias("id")), "id", "left_semi"))
     bad, labelled = known.agg(F.count_if(F.col("quality") == 0), F.count(F.lit(1))).first()
     stands = tuple(max(n, 1) / max(min(n, sample // 2), 1) for n in (bad, labelled - bad))
     drawn = None

@@ -53,10 +53,30 @@ def test_scores_are_of_whole_texts_and_training_and_scoring_agree(model):
         assert model.probability(text) == pytest.approx(1 / (1 + np.exp(-(model.slope * float(model.weights[at] @ value) + model.offset))), rel=1e-3)
 
 
-def test_blocks_hold_all_bytes(monkeypatch):
-    data = ("word " * 50 + "x" * 300 + " end").encode()
-    monkeypatch.setattr(Q, "BLOCK", 64)
-    assert b"".join(Q._blocks(data)) == data and list(Q._blocks(b"")) == []
+def test_blocks_lose_no_feature(monkeypatch):
+    text = ("wörd " * 50 + "x" * 300 + " 日本語 🎉 end ") * 7
+    at, value = Q.features(text)
+    for size in (1, 2, 64):
+        monkeypatch.setattr(Q, "BLOCK", size)
+        again = Q.features(text)
+        assert (again[0] == at).all() and (again[1] == value).all()
+
+
+def test_character_grams_are_of_code_points():
+    points = np.array([ord(c) for c in "日本語🎉"], np.uint64)
+    assert len(Q.char_features(points, 2)) == 3 and len(Q.char_features(points, 4)) == 1 and len(Q.char_features(points[:1], 2)) == 0
+    kinds = [found for kind, found in Q.feature_blocks("日本") if kind == 1]
+    assert sum(map(len, kinds)) == 3 + 1, "with a blank at either end: three of two characters, one of four"
+
+
+def test_of_contradicting_labels_the_lowest_counts_and_labels_without_documents_do_not(spark):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} words of number {i} " * 5) for i in range(80)], "doc_id bigint, text string")
+    labels = [(i, i % 2) for i in range(80)]
+    one = Q.train(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    more = labels + [(i, 1) for i in range(0, 80, 2)] + [(1000 + i, 0) for i in range(500)] + [(3, None)]
+    two = Q.train(docs, spark.createDataFrame(more, "doc_id bigint, quality int").repartition(5))
+    assert (one.weights == two.weights).all() and (one.slope, one.offset) == (two.slope, two.offset)
+
 
 
 def test_held_out_accuracy(spark):
