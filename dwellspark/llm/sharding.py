@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -44,12 +45,17 @@ def order(key) -> tuple:
     return key[0], key[1] is not None, key[1] if key[1] is not None else 0
 
 
-def _cut(sample: list, step: float) -> list[tuple]:
-    """Keys at which the weight summed along the sorted sample passes a multiple of ``step``."""
-    cuts, at = [], 0.0
+def _cut(sample: list, step: float, whole: float) -> list[tuple]:
+    """Keys at which the weight summed along the sorted sample passes a multiple of ``step``.
+
+    A text with copies of no more than ``whole`` together is not parted: the cut goes before its first copy.
+    """
+    cuts, at, weights = [], 0.0, Counter()
+    for h, _, weight in sample:
+        weights[h] += weight
     for h, row_id, weight in sorted(sample, key=order):
         if (at + weight) // step > at // step:
-            cuts.append((h, row_id))
+            cuts.append((h, row_id if weights[h] > whole else None))
         at += weight
     return sorted(set(cuts), key=order)
 
@@ -74,8 +80,8 @@ def shard_records(
 ) -> DataFrame:
     """All rows with ``size, text_crc32, law, shard, slot, grown_shard``; shards have nearly equal bytes.
 
-    The law is ``bytes``. Rows are ordered by (hash of the text, id), so copies of a text
-    share a shard unless a border falls among them; ``slot`` counts a shard's rows from 0 in
+    The law is ``bytes``. Rows are ordered by (hash of the text, id). Copies of a text share a
+    shard, but for groups that are larger than a range (estimated by the sample); ``slot`` counts a shard's rows from 0 in
     that order. ``grown_shard`` is NULL: the law fixes no shard for a later count. NULL text
     has size 16 and the checksum of the empty text; NULL ids come first; repeated rows are
     placed one after the other. Empty tables give no rows; input columns named like an
@@ -95,7 +101,8 @@ def shard_records(
     sized = docs.select(size.alias("size"), key.alias("key"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     mean = max(total / (shards * ranges), 1.0)
-    cuts = _cut(_draw(sized, mean / SAMPLES).collect(), mean)
+    whole = OVERFULL * mean
+    cuts = _cut(_draw(sized, mean / SAMPLES).collect(), mean, whole)
 
     def filled(cuts: list[tuple]) -> list:
         part = _range_of(F.col("key"), cuts, id_type).alias("part")
@@ -110,7 +117,7 @@ def shard_records(
         samples: dict[int, list] = {}
         for row in _draw(inner, mean / (4 * SAMPLES)).collect():
             samples.setdefault(bisect_right(places, order(row)), []).append(row)
-        more = [cut for sample in samples.values() for cut in _cut(sample, mean / 4)]
+        more = [cut for sample in samples.values() for cut in _cut(sample, mean / 4, whole)]
         cuts = sorted({*cuts, *more}, key=order)
         sums = filled(cuts)
 

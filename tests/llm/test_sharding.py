@@ -37,7 +37,23 @@ def test_a_text_that_a_third_has_is_split_and_small_groups_stay_together(spark):
     for r in rows:
         homes[r.text].add(r.shard)
     assert len(homes["hot text " * 40]) > 5
-    assert sum(len(h) > 1 for h in homes.values()) < 60
+    assert [t for t, h in homes.items() if len(h) > 1] == ["hot text " * 40]
+
+
+def test_query_keeps_the_law_and_groups_of_copies(spark, folder, documents):
+    from dwellspark.llm.queries import op5_sharding
+    from dwellspark.llm.sharding import RANGES
+
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    rows = op5_sharding(spark, folder).collect()
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == sorted((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts.items())
+    law(rows, 40, 2 * max(r["size"] for r in rows))
+    homes, size = defaultdict(set), defaultdict(int)
+    for r in rows:
+        homes[texts[r.doc_id]].add(r.shard)
+        size[texts[r.doc_id]] += r["size"]
+    total = sum(r["size"] for r in rows)
+    assert all(len(h) == 1 for t, h in homes.items() if size[t] <= total / 40 / RANGES), "groups no larger than a range"
 
 
 def test_odd_rows(make, odd):
