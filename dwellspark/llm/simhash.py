@@ -14,8 +14,10 @@ from dwellspark.llm.rows import column
 from dwellspark.session import cut_lineage
 
 SHINGLE, BUDGET = 3, 2
-#: Fingerprints aimed at in one subtree, and the depths at which the trie is dealt out.
-SUBTREE, DEPTHS = 4_096, (4, 24)
+#: Fingerprints aimed at in one subtree, and the depths at which the trie is dealt out first.
+SUBTREE, DEPTHS = 1 << 14, (4, 24)
+#: A pair of subtrees with more fingerprints is dealt on, by so many bits more.
+OVERFULL, DEEPER = 1 << 17, 4
 #: Node pairs that go down together.
 FRONT = 1 << 16
 #: Shingle hashes of a text that are in memory at a time.
@@ -116,32 +118,69 @@ def walk(left: np.ndarray, right: np.ndarray | None, depth: int, budget: int) ->
     return forest.links
 
 
-def _near_prefixes(depth: int, budget: int) -> list[int]:
-    return [sum(1 << k for k in c) for n in range(budget + 1) for c in combinations(range(depth), n)]
+def _flips(bits: int, budget: int) -> Column:
+    """All ways to flip at most ``budget`` of ``bits`` bits, and how many each flips."""
+    ways = [(sum(1 << k for k in c), n) for n in range(min(budget, bits) + 1) for c in combinations(range(bits), n)]
+    return F.array(*[F.struct(F.lit(x).cast("long").alias("flip"), F.lit(n).alias("spent")) for x, n in ways])
 
 
-def trie_links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``a, b``: links that connect all fingerprints of the column ``fp`` which differ in few bits.
+def _deal(rows: DataFrame, depth: Column, bits: int, budget: int) -> DataFrame:
+    """Rows of pairs of subtrees, ``bits`` further down: each goes to every pair below its own that the budget allows.
 
-    Values must be distinct. The topmost levels of the walk are dealt out: a subtree, named
-    by its prefix, goes to itself and to each prefix that differs from it within the
-    budget. A task walks one pair of subtrees with what is left of the budget, and returns
-    of the links it finds a spanning forest, so rows out never exceed fingerprints in. The
-    depth grows with the number of fingerprints, so subtrees stay about as large.
+    Of a pair ``low < high`` the rows in ``high`` are ``upper``; a subtree is paired with itself by ``low = high``.
     """
-    count = prints.count()
-    depth = int(np.clip(np.ceil(np.log2(max(count, 1) / SUBTREE)), *DEPTHS))
-    flips = F.array(*[F.lit(x).cast("long") for x in _near_prefixes(depth, budget)])
-    top = F.call_function("shiftrightunsigned", F.col("fp"), F.lit(64 - depth))
-    dealt = prints.select("fp", top.alias("own"), F.explode(flips).alias("flip")).select(
+    own = F.call_function("shiftrightunsigned", F.col("fp"), F.lit(64) - depth - bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    one, upper = F.col("low") == F.col("high"), F.col("upper")
+    spread = rows.withColumns({"own": own, "way": F.explode(F.filter(_flips(bits, budget), lambda w: w["spent"] <= F.col("rest")))})
+    mine, other = F.col("own"), F.col("own").bitwiseXOR(F.col("way.flip"))
+    below = lambda side, sub: F.col(side) * (1 << bits) + sub
+    return spread.select(
         "fp",
-        F.least("own", F.col("own").bitwiseXOR(F.col("flip"))).alias("low"),
-        F.greatest("own", F.col("own").bitwiseXOR(F.col("flip"))).alias("high"),
-        (F.col("own") > F.col("own").bitwiseXOR(F.col("flip"))).alias("upper"),
+        (depth + bits).cast("int").alias("depth"),
+        below("low", F.when(one, F.least(mine, other)).when(upper, other).otherwise(mine)).alias("low"),
+        below("high", F.when(one, F.greatest(mine, other)).when(upper, mine).otherwise(other)).alias("high"),
+        F.when(one, mine > other).otherwise(upper).alias("upper"),
+        (F.col("rest") - F.col("way.spent")).alias("rest"),
     )
 
+
+def dealt_subtrees(prints: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE, overfull: int = OVERFULL) -> DataFrame:
+    """``fp, depth, low, high, upper, rest``: the pairs of subtrees to walk, with what is left of the budget.
+
+    The first depth grows with the number of fingerprints. Pairs are counted, and those with more
+    than ``overfull`` are dealt on, four bits at a time, until none is left: so fingerprints that agree in
+    many bits do not meet in one task. A pair of which one side is empty is dropped. A round writes only
+    what is dealt on.
+    """
+    count = prints.count()
+    depth = int(np.clip(np.ceil(np.log2(max(count, 1) / subtree)), *DEPTHS))
+    root = prints.select(
+        "fp", *[F.lit(0).cast("long").alias(c) for c in ("low", "high")], F.lit(False).alias("upper"), F.lit(budget).alias("rest")
+    )
+    dealt, keys, done = cut_lineage(_deal(root, F.lit(0), depth, budget)), ["depth", "low", "high"], None
+    while True:
+        sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("upper").alias("n_upper"))
+        both = (F.col("low") == F.col("high")) | ((F.col("n_upper") > 0) & (F.col("n_upper") < F.col("n")))
+        over = (F.col("n") > overfull) & (F.col("depth") <= 64 - DEEPER)
+        sizes = cut_lineage(sizes.filter(both).select(*[F.col(k).alias(f"_{k}") for k in keys], over.alias("over")))
+        marked = dealt.join(sizes, [F.col(k) == F.col(f"_{k}") for k in keys]).drop(*[f"_{k}" for k in keys])
+        fine = marked.filter(~F.col("over")).drop("over")
+        done = fine if done is None else done.unionByName(fine)
+        if sizes.filter("over").isEmpty():
+            return done
+        dealt = cut_lineage(_deal(marked.filter("over").drop("over"), F.col("depth"), DEEPER, budget))
+
+
+def trie_links(prints: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE, overfull: int = OVERFULL) -> DataFrame:
+    """``a, b``: links that connect all fingerprints of the column ``fp`` which differ in few bits.
+
+    Values must be distinct. The topmost levels of the walk are dealt out by ``dealt_subtrees``. A
+    task walks one pair of subtrees with what is left of the budget, and returns of the links it
+    finds a spanning forest, so rows out never exceed fingerprints in.
+    """
+
     def joined(key: tuple, table: pa.Table) -> pa.Table:
-        low, high = key[0].as_py(), key[1].as_py()
+        depth, low, high = (k.as_py() for k in key)
         fps, upper = table["fp"].to_numpy().view(np.uint64), table["upper"].to_numpy()
         left, right = np.sort(fps[~upper]), np.sort(fps[upper])
         links = []
@@ -153,7 +192,8 @@ def trie_links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
         a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"a": both[a], "b": both[b]})
 
-    return dealt.groupBy("low", "high").applyInArrow(joined, "a long, b long")
+    dealt = dealt_subtrees(prints, budget, subtree, overfull)
+    return dealt.drop("rest").groupBy("depth", "low", "high").applyInArrow(joined, "a long, b long")
 
 
 def simhash_groups(

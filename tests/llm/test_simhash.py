@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from dwellspark.llm.components import components
-from dwellspark.llm.simhash import fingerprint, simhash_dedup, simhash_groups, trie_links, walk
+from dwellspark.llm.simhash import dealt_subtrees, fingerprint, simhash_dedup, simhash_groups, trie_links, walk
 
 
 def words(text):
@@ -119,6 +119,25 @@ def test_a_dense_group_is_linked_without_all_pairs(spark):
     assert len({member[x] for x in dense}) == 1 and all((x in dense) == (member[x] == min(dense)) for x in member if x in dense)
 
 
+def test_prefixes_that_half_of_all_share_are_dealt_on(spark):
+    rng = random.Random(6)
+    top = rng.getrandbits(20) << 44
+    hot = [top | rng.getrandbits(44) for _ in range(1500)]
+    prints = {*hot, *[rng.getrandbits(64) for _ in range(1500)]}
+    prints |= {p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in rng.sample(sorted(prints), 600)}
+    signed = lambda p: p - (p >> 63 << 64)
+    rows = spark.createDataFrame([(signed(p),) for p in prints], "fp bigint").repartition(4)
+    dealt = dealt_subtrees(rows, 2, 64, 200).cache()
+    largest = dealt.groupBy("depth", "low", "high").count().agg({"count": "max"}).first()[0]
+    assert largest <= 200 and dealt.selectExpr("max(depth)").first()[0] > 20
+    assert dealt.count() < 60 * len(prints)
+    links = [tuple(r) for r in trie_links(rows, 2, 64, 200).collect()]
+    order = {signed(p): n for n, p in enumerate(sorted(prints))}
+    values = sorted(prints)
+    near = [(i, j) for i, x in enumerate(values) for j in range(i) if (x ^ values[j]).bit_count() <= 2]
+    assert near and _parts([(order[a], order[b]) for a, b in links], len(values)) == _parts(near, len(values))
+
+
 def test_components_of_paths_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 200)] + [(300, 301), (301, 302), (302, 300), (5, 5), (7, 7)]
     random.Random(2).shuffle(links)
