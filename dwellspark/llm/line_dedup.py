@@ -31,7 +31,7 @@ def line_dedup(
     itself moves once.
     """
     names = {"doc_id": id_column, "text": text_column}
-    rows = pack(docs, **names).withColumn("mark", F.hash("text"))
+    rows = pack(docs, **names).withColumn("mark", F.xxhash64("text"))
     lines = (
         # An outer explode: before an inner one Spark adds a filter that splits the text once more.
         rows.filter(F.col("doc_id").isNotNull())
