@@ -216,6 +216,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     return _kept(archives.select("path").mapInArrow(run, "path string, records bigint"), f"{folder}/members-list")
 
 
+#: Bytes of payloads in a batch of records, or one record more.
+HELD_BYTES = 16 << 20
 READ = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
 
 
@@ -233,9 +235,14 @@ def read_records(archives: DataFrame, folder: str, payloads: bool = False) -> Da
             with files.open_input_stream(f"{root}/{path}.idx", compression=None) as source:
                 index = [json.loads(line) for line in source.read().splitlines()]
             with files.open_input_file(f"{root}/{path}") as source:
-                for first in range(0, len(index), 500):
-                    rows = [read_record(zlib.decompress(source.read_at(x["length"], x["offset"]), 31)) for x in index[first : first + 500]]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(kinds))], names)
+                rows, held = [], 0
+                for at, x in enumerate(index, 1):
+                    row = read_record(zlib.decompress(source.read_at(x["length"], x["offset"]), 31))
+                    rows.append(row[: len(kinds)])  # the payload goes at once unless it is asked for
+                    held += len(row[-1] or b"") if payloads else 0
+                    if len(rows) == 500 or held > HELD_BYTES or at == len(index):
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(kinds))], names)
+                        rows, held = [], 0
 
     names = [f.split()[0] for f in READ.split(", ")] + ["payload"] * payloads
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.binary()] * payloads
