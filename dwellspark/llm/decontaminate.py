@@ -98,7 +98,9 @@ def leaks(
     span = max(map(len, masks))
     # Outer explodes: before an inner one Spark adds a filter that computes the array once more.
     named = pack(items, item_id=item_column, item_text=item_text_column).filter(F.col("item_id").isNotNull())
-    test = named.select("item_id", word_hashes(F.col("item_text")).alias("item_words")).dropDuplicates()
+    test = named.select("item_id", word_hashes(F.col("item_text")).alias("item_words"))
+    # Shorter items have no window; without them every item has seeds, which bound what is broadcast.
+    test = test.filter(F.size("item_words") >= overlap).dropDuplicates()
     test_seeds = test.select("item_id", F.inline_outer(seeds(F.col("item_words"), masks)))
     test_seeds = test_seeds.withColumnsRenamed({"at": "item_at", "seed": "item_seed"})
     few = test_seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
