@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.errors import PythonException
@@ -19,17 +20,24 @@ def compare_methods(index: DataFrame, queries: DataFrame, k: int = TOP_K) -> Dat
     return compare_rankings(knn_lists(index, queries.select("query_id", "vector"), k, lists), k)
 
 
+# What a model that is not there raises when it is loaded.
+LOAD_ERRORS = ("ImportError", "ModuleNotFoundError", "OSError", "FileNotFoundError")
+
+
 def works(spark: SparkSession, embedder: Embedder) -> bool:
-    """Whether an embedder can encode a text; a model that is not there cannot."""
+    """Whether an embedder can be loaded; one that cannot is named in a warning, any other failure is an error."""
     try:
         spark.range(1).select(embedder.column(F.lit("text"))).collect()
-    except PythonException:
+    except PythonException as error:
+        if not any(f"\n{name}:" in str(error) or f" {name}:" in str(error) for name in LOAD_ERRORS):
+            raise
+        warnings.warn(f"{embedder.name} is left out: it cannot be loaded", stacklevel=3)
         return False
     return True
 
 
 def compare_embedders(items: DataFrame, queries: DataFrame, embedders: list[Embedder], times: DataFrame | None = None) -> DataFrame:
-    """Best description score of each query under each embedder; one that fails is left out.
+    """Best description score of each query under each embedder; one that cannot be loaded is left out, with a warning.
 
     ``items`` has id and description, ``queries`` has query_id and query.
     """

@@ -6,6 +6,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dwellspark.functions.text import strip_whitespace
 from dwellspark.schema import DEFAULT_LIMIT, REQUEST
 
 # The bounds of a request.
@@ -49,7 +50,7 @@ class SearchRequest:
 def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid requests with the default limit filled in, and the others with a ``reason``."""
     filled = requests.withColumn("limit", F.coalesce("limit", F.lit(DEFAULT_LIMIT)))
-    reason = F.when(F.coalesce(F.trim("query") == "", F.lit(True)), F.lit("query is empty")).when(
+    reason = F.when(F.coalesce(strip_whitespace(F.col("query")) == "", F.lit(True)), F.lit("query is empty")).when(
         ~F.col("limit").between(MIN_LIMIT, MAX_LIMIT), F.lit("limit out of range")
     )
     for name in NOT_NEGATIVE:

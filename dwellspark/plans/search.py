@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dwellspark.operators.embedding import Embedder
-from dwellspark.operators.fusion import max_sim_batch
+from dwellspark.operators.fusion import max_sim, max_sim_batch
 from dwellspark.operators.knn import gather_queries
 from dwellspark.operators.lookup import BROADCAST_HITS, assign_rank, fetch_hits, respond
 from dwellspark.plans.requests import MAX_LIMIT, SearchRequest, validate_requests
@@ -37,6 +39,13 @@ def search(index: DataFrame, listings: DataFrame, requests: DataFrame, embedder:
 
 
 def search_one(index: DataFrame, listings: DataFrame, request: SearchRequest, embedder: Embedder) -> DataFrame:
-    """The ranked results of one request."""
-    found = search(index, listings, request.as_table(index.sparkSession), embedder)
-    return found.drop("query_id").orderBy("rank")
+    """The ranked results of one request.
+
+    Its filters go to the scan whole, and the best hits are taken without a window or a shuffle of candidates.
+    """
+    filters = asdict(request)
+    text, limit = filters.pop("query"), filters.pop("limit")
+    vector = index.sparkSession.range(1).select(embedder.column(F.lit(text)).alias("v")).first().v
+    hits = max_sim(index, vector or [0.0] * embedder.dim, limit, VECTOR_NAMES, filters, "payload.")
+    found = fetch_hits(listings, hits.withColumn("query_id", F.lit(1)), True)
+    return respond(assign_rank(found)).drop("query_id").orderBy("rank")

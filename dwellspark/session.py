@@ -34,9 +34,16 @@ def local_session(cpus: str | int = "*", app: str = "dwellspark", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node reaches: ``spark.checkpoint.dir``, else the warehouse folder."""
+    """The folder every node reaches: ``spark.checkpoint.dir``, else the warehouse folder.
+
+    On a cluster a warehouse on the driver's own disk is no such folder, so it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir")
+        if named.startswith("file:") and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

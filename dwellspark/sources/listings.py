@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from dwellspark.schema import RAW
 
 
-# How feeds are written; the same for files that are there and files that arrive.
-FORMATS = {"csv": {"header": "true", "multiLine": "true", "escape": '"'}, "json": {}}
+# How feeds are written; the same for files that are there and files that arrive. A file can be read in parts;
+# a CSV feed with line ends inside its values needs the option multiLine, and then each file is one task.
+FORMATS = {"csv": {"header": "true", "escape": '"'}, "json": {}}
 
 
 def with_source_file(scan: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ def stream_ingest(
     files_per_load: int = 1000,
     clock: Callable[[], datetime] = utc_now,
     remember: str | None = None,
+    **options: str,
 ) -> StreamingQuery:
     """Loads what has arrived and stops.
 
@@ -43,7 +44,7 @@ def stream_ingest(
     def load(batch: DataFrame, epoch: int) -> None:
         ingest(with_source_row(batch), root, embedder, clock(), epoch=epoch)
 
-    files = spark.readStream.schema(schema).options(**FORMATS.get(form, {})).option("maxFilesPerTrigger", files_per_load)
+    files = spark.readStream.schema(schema).options(**FORMATS.get(form, {}) | options).option("maxFilesPerTrigger", files_per_load)
     rows = with_source_file(files.format(form).load(landing))
     return (
         (drop_redelivered(rows, remember) if remember else rows)

@@ -246,7 +246,7 @@ def test_read_listings(spark, tmp_path):
     assert feed.drop("source_order").schema == RAW and feed.count() == 5
     assert {r.price for r in feed.collect()} == {"8,000 ש״ח", "5000", "4000", None}
     (tmp_path / "f.csv").write_text('external_id,description\na,"line one\nline ""two"""\n')
-    rows = read_listings(spark, str(tmp_path / "f.csv"), "csv", T.StructType().add("external_id", "string").add("description", "string")).collect()
+    rows = read_listings(spark, str(tmp_path / "f.csv"), "csv", T.StructType().add("external_id", "string").add("description", "string"), multiLine="true").collect()
     assert rows[0].description == 'line one\nline "two"'
 
 
@@ -289,7 +289,7 @@ def test_a_csv_stream_reads_like_a_csv_feed(spark, tmp_path):
     (tmp_path / "landing" / "a.csv").write_text('external_id,description\na,"line one\nline ""two"""\n')
     schema = T.StructType().add("external_id", "string").add("description", "string")
     root = str(tmp_path / "store")
-    stream_ingest(spark, str(tmp_path / "landing"), root, HashingEmbedder(8), str(tmp_path / "mark"), schema, "csv", clock=lambda: T1).awaitTermination()
+    stream_ingest(spark, str(tmp_path / "landing"), root, HashingEmbedder(8), str(tmp_path / "mark"), schema, "csv", clock=lambda: T1, multiLine="true").awaitTermination()
     assert [(r.external_id, r.description) for r in read_table(spark, root, "listings").collect()] == [("a", 'line one line "two"')]
 
 
