@@ -553,7 +553,7 @@ def stream_dedup(spark: Session, sf_dir: str) -> DataFrame:
         )
         rows.coalesce(1).write.mode("append").json(f"{root}/landing")
     stream_ingest(
-        spark, f"{root}/landing", root, EMBEDDER, _run_dir(spark), files_per_load=1, clock=lambda: LOADED, remember="7 days"
+        spark, f"{root}/landing", root, EMBEDDER, _run_dir(spark), files_per_load=2, clock=lambda: LOADED, remember="7 days"
     ).awaitTermination()
     return read_table(spark, root, "listings").select("external_id", "description", "price", F.dayofmonth("scraped_at").alias("day"))
 
