@@ -200,6 +200,91 @@ select page_id, octet_length(encode(html)) as payload_bytes,
 from p join last using (html)
 """
 
+# CRC-32 by its byte table, of texts that are all ASCII.
+CRC = """crc_table as (select list_transform(range(256), lambda n: list_reduce(
+    list_prepend(n::bigint, range(8)::bigint[]), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as bytes)"""
+CRC_OF = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda x: ord(x)::bigint)),
+    lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+OP12 = f"""
+with {CRC},
+own as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place
+  from conversations where conv_id is not null),
+convs as (select conv_id, {CRC_OF.format("conv_id::varchar")} % 9 as h from (select distinct conv_id from own), crc_table),
+begun as (
+  select c.conv_id, o.place, role, text from convs c join own o on o.conv_id = c.conv_id - c.conv_id % 5 where o.place < h),
+sizes as (select conv_id, count(*) as n from begun group by conv_id),
+built as (
+  select * from begun union all
+  select conv_id, place - h + coalesce(n, 0), role, text from own join convs using (conv_id) left join sizes using (conv_id) where place >= h),
+paths as (
+  select conv_id, list({{'role': role, 'text': text}} order by place) as turns from built group by conv_id union all
+  select conv_id, []::struct(role varchar, text varchar)[] from convs anti join built using (conv_id)),
+prefixes as (select conv_id, d, len(turns) as n, turns[1:d] as node from (select *, unnest(range(len(turns) + 1)) as d from paths)),
+nodes as materialized (
+  select node, d as depth, min(conv_id) as conv_id, count(*) as n_convs,
+    (count(*) - 1) * coalesce(strlen(node[-1].text), 0) as value, string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d) as ends
+  from prefixes group by node, d),
+children as (select node[1:depth - 1] as node, count(*) as n_children from nodes where depth > 0 group by 1),
+below as (
+  select up as node, sum(value) as saved, count(*) filter (n_children is null) as n_leaves
+  from (select value, n_children, unnest(list_transform(range(depth + 1), lambda k: node[1:k])) as up from nodes left join children using (node)) group by up)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+  saved::bigint as saved_tokens, sha256(coalesce(n.ends, '')) as ends_sha256
+from nodes n join below using (node) left join children using (node) left join nodes p on p.node = n.node[1:n.depth - 1] and p.depth = n.depth - 1
+"""
+
+# Backward over the turns, the best cost and edits of what follows at each place of the pattern; then the edits are played.
+OP11 = rf"""
+with recursive {CRC},
+fates as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {CRC_OF.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fate from conversations, crc_table),
+damaged as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+    case when fate = 1 then '' when fate = 2 then translate(text, '.!?', '') else text end as text
+  from fates, range(2) as copy(k) where fate <> 0 and (k = 0 or fate = 3)),
+ordered as (
+  select *, trim(text, {_BLANKS}) as inside, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+faulty as (
+  select *, role[1] as f, case when inside = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+    when inside[-1] not in ('.', '!', '?') then 'truncated' else '' end as fault from ordered),
+turns as (select *, (fault = 'truncated')::int as t, fault in ('blank', 'duplicate') as gone from faulty),
+counted as (
+  select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (wrong) as illegal
+  from (select *, lag(f) over (partition by conv_id order by i) || f not in ('su', 'ua', 'au') as wrong from turns) group by conv_id),
+best as (
+  select conv_id, n as i, {{'c': 0::bigint, 'a': ''}} as b, {{'c': 4::bigint, 'a': 'II'}} as s, {{'c': 2::bigint, 'a': 'I'}} as u, {{'c': 0::bigint, 'a': ''}} as w from counted
+  union all
+  select conv_id, i, least(ob, {{'c': ou2.c + 2, 'a': 'I' || ou2.a}}), least(os, {{'c': ou2.c + 2, 'a': 'I' || ou2.a}}), ou2, least(ow, {{'c': ou.c + 2, 'a': 'I' || ou.a}})
+  from (
+    select *, least(ou, {{'c': ow.c + 2, 'a': 'I' || ow.a}}) as ou2 from (
+      select best.conv_id, best.i - 1 as i,
+        least({{'c': b.c + 3, 'a': 'D' || b.a}}, case when not gone then {{'c': u.c + t + if(f = 'u', 0, 2), 'a': if(f = 'u', 'K', 'R') || u.a}} end,
+          case when not gone and f = 's' then {{'c': s.c + t, 'a': 'K' || s.a}} end) as ob,
+        least({{'c': s.c + 3, 'a': 'D' || s.a}}, case when not gone then {{'c': u.c + t + if(f = 'u', 0, 2), 'a': if(f = 'u', 'K', 'R') || u.a}} end) as os,
+        least({{'c': u.c + 3, 'a': 'D' || u.a}}, case when not gone then {{'c': w.c + t + if(f = 'a', 0, 2), 'a': if(f = 'a', 'K', 'R') || w.a}} end) as ou,
+        least({{'c': w.c + 3, 'a': 'D' || w.a}}, case when not gone then {{'c': u.c + t + if(f = 'u', 0, 2), 'a': if(f = 'u', 'K', 'R') || u.a}} end) as ow
+      from best join turns on best.conv_id is not distinct from turns.conv_id and best.i = turns.i))),
+found as (select conv_id, b.c as cost, b.a as audit from best where i = 0),
+played as (
+  select conv_id, audit, 0 as k, 0::bigint as used, '' as place, []::varchar[] as kept from found
+  union all
+  select p.conv_id, audit, k + 1, used + if(audit[k + 1] = 'I', 0, 1),
+    case when audit[k + 1] = 'D' then place when audit[k + 1] = 'K' and place = '' and f = 's' then 's' when place = 'u' then 'a' else 'u' end,
+    case audit[k + 1] when 'D' then kept when 'K' then list_append(kept, role || ':' || text)
+      else list_append(kept, if(place = 'u', 'assistant:', 'user:') || if(audit[k + 1] = 'I', '', text)) end
+  from played p left join turns on p.conv_id is not distinct from turns.conv_id and turns.i = used + 1 where k < length(audit))
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(p.audit, '') as audit, sha256(coalesce(array_to_string(kept, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counted c on o.conv_id is not distinct from c.conv_id
+left join found f on o.conv_id is not distinct from f.conv_id
+left join (select * from played where k = length(audit)) p on o.conv_id is not distinct from p.conv_id
+"""
+
 _STRENGTH = (
     "case when coalesce(excess, 0) = 0 or spread <= noise then 1000.0 else "
     "round(least(greatest((1 - least((spread - noise) / excess, 0.5)) / least((spread - noise) / excess, 0.5), 1.0), 1000.0), 6) end"
@@ -210,4 +295,6 @@ ORACLES = {
     "op3_decontaminate": OP3,
     "op4_url_filter": OP4.replace("{strength}", _STRENGTH),
     "op8_warc": OP8,
+    "op11_conversation_repair": OP11,
+    "op12_prefix_trie": OP12,
 }
