@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "part documents embeddings pages events benchmark labels".split()
+TABLES = "part documents embeddings pages events benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
