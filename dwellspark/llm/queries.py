@@ -8,7 +8,7 @@ import public_tokenizers
 from dwellspark.llm.bpe import bpe
 from dwellspark.llm.conversation_repair import damage, repair_report
 from dwellspark.llm.decontaminate import leaks
-from dwellspark.llm.licenses import license_scan
+from dwellspark.llm.licenses import AGREE, PHRASES, RAREST, SLACK, TEMPLATES, agreeing, license_scan
 from dwellspark.llm.line_dedup import line_dedup
 from dwellspark.llm.prefix_trie import prefix_trie, turn_ids, with_borrowed_beginnings
 from dwellspark.llm.quality import quality_rules, train
@@ -285,6 +285,51 @@ left join found f on o.conv_id is not distinct from f.conv_id
 left join (select * from played where k = length(audit)) p on o.conv_id is not distinct from p.conv_id
 """
 
+def _listed(*rows: tuple) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+# No index: all places of all notices' rare words are counted.
+OP13 = rf"""
+with docs as materialized (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as words from documents),
+spaced as (select *, ' ' || array_to_string(words, ' ') || ' ' as flat from docs),
+phrase(phrase) as (values {_listed(*[(x,) for x in sorted({p for t in TEMPLATES for p in t.phrases} | {p for p, _ in PHRASES})])}),
+found as (
+  select doc_id, phrase, unnest(list_filter(range(len(words)), lambda i: words[i + 1:i + len(string_split(phrase, ' '))] = string_split(phrase, ' '))) as p
+  from spaced, phrase where contains(flat, ' ' || phrase || ' ')),
+base(phrase, label) as (values {_listed(*PHRASES)}),
+based as (
+  select doc_id, count(*) as n_base, min(p) as first_word, max(p) as last_word, list(distinct label) as labels from found join base using (phrase) group by doc_id),
+template(label, text, enough) as (values {_listed(*[(t.label, t.text, agreeing(t, AGREE)) for t in TEMPLATES])}),
+needs(label, phrase) as (values {_listed(*[(t.label, p) for t in TEMPLATES for p in t.phrases])}),
+wants as (select label, count(*) as many from needs group by label),
+place as (select label, enough, len(string_split(text, ' ')) as n, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as k from template),
+word as (select doc_id, unnest(words) as word, unnest(range(len(words))) as i from docs),
+held as (select word, count(distinct doc_id) as documents from word where word in (select word from place) group by word),
+near as (
+  select doc_id, label from found join needs using (phrase) join wants using (label) group by doc_id, label having count(distinct phrase) = any_value(many)),
+rare as (
+  select * from (
+    select doc_id, label, word, row_number() over (partition by doc_id, label order by documents, word) as r
+    from (select distinct doc_id, label, word from near join place using (label) join word using (doc_id, word)) join held using (word)) where r <= {RAREST}),
+origin as (
+  select doc_id, label, i - k as at_word, any_value(n) as n from rare join place using (label, word) join word using (doc_id, word)
+  group by doc_id, label, i - k having count(*) >= any_value(enough)),
+stands as (
+  select o.doc_id, o.label, at_word, n from origin o join needs using (label) join wants using (label)
+  join found f on f.doc_id = o.doc_id and f.phrase = needs.phrase and f.p >= at_word - {SLACK} and f.p < at_word + n + {SLACK}
+  group by all having count(distinct needs.phrase) = any_value(many)),
+judged as (
+  select doc_id, list(distinct label) as labels, max(round(share, 6)) as score from (
+    select s.doc_id, s.label, len(list_intersect(string_split(text, ' '), words[greatest(at_word - {SLACK}, 0) + 1:at_word + n + {SLACK}]))
+      / len(list_distinct(string_split(text, ' '))) as share
+    from stands s join template using (label) join docs using (doc_id)) group by doc_id)
+select doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(based.labels), ','), '') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(based.labels, []), coalesce(judged.labels, [])))), ',') as labels, coalesce(score, 0.0)::double as score
+from docs left join based using (doc_id) left join judged using (doc_id)
+"""
+
 _STRENGTH = (
     "case when coalesce(excess, 0) = 0 or spread <= noise then 1000.0 else "
     "round(least(greatest((1 - least((spread - noise) / excess, 0.5)) / least((spread - noise) / excess, 0.5), 1.0), 1000.0), 6) end"
@@ -297,4 +342,5 @@ ORACLES = {
     "op8_warc": OP8,
     "op11_conversation_repair": OP11,
     "op12_prefix_trie": OP12,
+    "op13_license_scan": OP13,
 }
