@@ -30,7 +30,7 @@ CONTEXT = re.compile(
 #: A value is a secret from this many guesses on, as a power of ten.
 LEAST_COST = 8.0
 
-# Common parts of passwords, the most common first.
+# Common parts of passwords, the most common first.
 COMMON = (
     "password pass admin root user login secret token welcome letmein qwerty dragon monkey master shadow sunshine "
     "princess football baseball superman batman hello love freedom whatever trust hunter ranger summer winter spring "
@@ -40,15 +40,15 @@ COMMON = (
     "for this that with from not you are have word code home house star blue red green black white money computer "
     "internet soccer hockey killer pepper ginger cookie flower tiger lion bear eagle"
 ).split()
-# Letters, each with those that often follow it in words of languages in Latin script.
+# Letters, each with those that often follow it in words of languages in Latin script.
 FOLLOWERS = (
     "abcdefgijklmnopqrstuvyz baeilorsuy cacehiklortuyz dadeijlosu eabcdefghijlmnpqrstuvwxy faefiloruy gaeghilnorsu "
     "haeilnort iabcdefgjlmnoprstvxz jaou keistu ladeijlopstuyz mabeimopsu nacdefgijlnostuvyz oabcdefgijklmnoprstuvw "
     "paehiloprstu qu racdefgiklmnoprstuvwyz sacehiklopstuwyz tacdehilorstuyz uabcdegilmnprst vaeio waehior xceiptx "
     "yinpst zaeuw"
 ).split()
-#: Guesses for any word of a dictionary, as a power of ten.
-WORD_COST = 6.0
+#: Guesses for any word of a dictionary, as a power of ten; and the fewest letters that are taken for one.
+WORD_COST, LEAST_WORD = 6.0, 5
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 
@@ -87,15 +87,20 @@ def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON)) -> float:
 
     ``cost[i]`` is that of the first i characters: the least, over the last segment, of what
     is before it plus the segment's own guesses. Segments are common words (by rank; doubled
-    for capitals and for signs in place of letters), dates and years, repeated blocks,
-    walks over neighbouring keys or along the alphabet, and single characters by brute force.
-    Each segment doubles the guesses. Time is linear in the length.
+    for capitals and for signs in place of letters), letters that read like a word of any dictionary
+    (one case or a capital first, at most one pair of neighbours that is rare in words; other scripts than
+    Latin have none), dates and years, repeated blocks, walks over neighbouring keys or along the
+    alphabet, and single characters by brute force. Each segment doubles the guesses. Of walks, runs,
+    repetitions and words, those of up to ``LONGEST`` characters and the longest that ends at a place are tried, so
+    time is linear in the length.
     """
     ranks, near = _words(words), _neighbours()
     low = value.lower()
     plain, n = low.translate(LEET), len(value)
     cost = [0.0] + [math.inf] * n
     walk = run = 1
+    follow, letters = _follow(), 0
+    upper, lower, rare = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # sums over the first i characters, and pairs in them
     join = math.log10(2)
     ends: dict[int, list[tuple[int, float]]] = {}
     for match in DATE.finditer(low):
@@ -110,6 +115,16 @@ def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON)) -> float:
         if i > 1:
             walk = walk + 1 if (low[i - 2], low[i - 1]) in near else 1
             run = run + 1 if low[i - 2] == low[i - 1] else 1
+        char = value[i - 1]
+        letters = letters + 1 if char.isalpha() else 0
+        upper[i], lower[i] = upper[i - 1] + char.isupper(), lower[i - 1] + char.islower()
+        pair = low[i - 2 : i] if i > 1 else ""
+        rare[i] = rare[i - 1] + (len(pair) == 2 and pair.isascii() and pair not in follow)
+        for size in _sizes(LEAST_WORD, letters):
+            start = i - size
+            one_case = upper[i] - upper[start + 1] == 0 or lower[i] - lower[start] == 0
+            if one_case and rare[i] - rare[start + 1] <= 1:
+                best = min(best, cost[start] + WORD_COST + join)
         for size in _sizes(3, walk):
             best = min(best, cost[i - size] + math.log10(47 * size) + join)
         for size in _sizes(3, run):
@@ -146,7 +161,8 @@ def spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int
             while base < len(taken) and taken[base][1] <= start:
                 base += 1
             inside = base < len(taken) and taken[base][0] < end
-            if not inside and min(guess_cost(m[1]), _word_cost(m[1])) >= least_cost:
+            word = m[1].rstrip(".:!?)")  # what follows a colon may be prose
+            if not inside and guess_cost(word if word.isalpha() else m[1]) >= least_cost:
                 found.append((start, 3, end))
     return sorted(found)
 
@@ -156,19 +172,6 @@ def _follow() -> frozenset[str]:
     return frozenset(x[0] + y for x in FOLLOWERS for y in x[1:])
 
 
-def _word_cost(value: str) -> float:
-    """``WORD_COST`` of a lone word, else infinite: the value after a colon may be prose.
-
-    A word has letters of one case, or a capital first, and of its neighbouring letters at
-    most one pair that is rare in words; other scripts than Latin count as words.
-    """
-    word = value.rstrip(".:!?)")
-    if not word.isalpha() or not (word[1:].islower() or word.isupper() or word.lower() == word.upper()):
-        return math.inf
-    low = word.lower()
-    return WORD_COST if sum(p.isascii() and p not in _follow() for p in map("".join, zip(low, low[1:]))) <= 1 else math.inf
-
-
 def secret_scan(
     docs: DataFrame, least_cost: float = LEAST_COST, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -176,7 +179,7 @@ def secret_scan(
 
     ``assign``, ``access`` and ``hex`` are the base patterns; ``guess`` is a value in a
     credential context, outside those, that takes 10^``least_cost`` guesses or more, be it
-    of letters or digits only; a lone word takes ``WORD_COST``. ``spans`` lists ``kind:start:end`` (code points, end
+    of letters or digits only; a lone word takes ``WORD_COST`` and so is none. ``spans`` lists ``kind:start:end`` (code points, end
     exclusive) by start, then kind, comma-joined; ``base_sha256`` is of the same list without
     ``guess``. NULL and empty texts have none. Repeated rows and rows without id are scanned
     each; empty tables give no rows; other columns are not read.
