@@ -1,8 +1,12 @@
 import math
 import re
+import tempfile
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import types as T
 
 from dwellspark.operators.keywords import build_postings, keyword_match
 
@@ -51,3 +55,32 @@ def test_no_items_or_requests(spark):
     requests = spark.createDataFrame(REQUESTS, "query_id bigint, query string")
     assert keyword_match(build_postings(items.limit(0), ["title"]), requests).count() == 0
     assert keyword_match(build_postings(items, ["title"]), requests.limit(0)).count() == 0
+
+
+def test_requests_in_blocks_and_texts_of_repeated_ids(spark):
+    halves = [(i, part, None) for i, a, b in ITEMS for part in (a, b)]
+    items = spark.createDataFrame([*halves, (None, "common rare2", "")], "id bigint, title string, description string")
+    requests = spark.createDataFrame(REQUESTS, "query_id bigint, query string")
+    got = keyword_match(build_postings(items, ["title", "description"]), requests, 15, block_requests=2)
+    expected = brute(15)
+    rows = sorted(map(tuple, got.collect()))
+    assert [r[:3] for r in rows] == [r[:3] for r in expected] and [r[3] for r in rows] == pytest.approx([r[3] for r in expected])
+    # Items and requests meet inside tasks, not as joined rows.
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+
+
+def test_held_postings_end_with_an_item(spark, monkeypatch):
+    from dwellspark.operators import keywords
+
+    rows = pa.table({"id": [1, 1, 2, 2, 2, 3, 3, 4], "code": [1, 2, 1, 2, 3, 1, 3, 2], "weight": [0.5, 0.25, 1.0, 2.0, 4.0, 1.0, 1.0, 8.0]})
+    block = pa.table({"query_id": [7, 8], "codes": [[1, 2], [3]]})
+    folder = tempfile.mkdtemp()
+    pq.write_table(block, f"{folder}/block.parquet")
+    schema = T.StructType().add("query_id", "long").add("id", "long").add("score", "double")
+    expected = {(7, 1): 0.75, (7, 2): 3.0, (7, 3): 1.0, (7, 4): 8.0, (8, 2): 4.0, (8, 3): 1.0}
+    for held, cells in ((1, 1), (2, 5), (100, 1000)):
+        monkeypatch.setattr(keywords, "HELD_POSTINGS", held)
+        monkeypatch.setattr(keywords, "SUM_CELLS", cells)
+        scan = keywords._scored([f"file://{folder}/block.parquet"], 10, schema)
+        found = pa.Table.from_batches(list(scan(rows.to_batches(max_chunksize=2)))).to_pylist()
+        assert {(r["query_id"], r["id"]): r["score"] for r in found} == expected and len(found) == len(expected)
