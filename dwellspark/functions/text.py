@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 # Unicode white space as Python sees it: the Java class under (?U) plus four separators.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
+# Bytes of texts that a Python worker takes apart at once; an Arrow batch has many rows, however long they are.
+SLICE_BYTES = 4 << 20
+
+
+def byte_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts in order, in slices of about ``most`` bytes, or one text where it is longer; at least one slice."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    borders = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    for start, end in zip([0, *borders], [*borders, len(texts)]):
+        yield texts.slice(start, end - start)
+
+
 @F.arrow_udf(T.StringType())
 def _decode_entities(texts: pa.Array) -> pa.Array:
-    return pa.array([t if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+    return pa.concat_arrays([
+        pa.array([t if t is None else html.unescape(t) for t in part.to_pylist()], pa.string()) for part in byte_slices(texts)
+    ])
 
 
 def html_unescape(text: Column) -> Column:

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dwellspark.functions.phrases import structured_text
+from dwellspark.functions.text import byte_slices
 from dwellspark.schema import VECTOR
 
 # Default model, its vector size and the texts per encoder call.
@@ -77,8 +78,7 @@ class HashingEmbedder:
     def column(self, text: Column) -> Column:
         dim, normalize = self.dim, self.normalize
 
-        @F.arrow_udf(VECTOR)
-        def embed(texts: pa.Array) -> pa.Array:
+        def part(texts: pa.Array) -> pa.Array:
             n = len(texts)
             parts = pc.ascii_split_whitespace(texts.fill_null(""))
             row = np.repeat(np.arange(n), pc.list_value_length(parts).to_numpy())
@@ -91,6 +91,10 @@ class HashingEmbedder:
                 rows /= np.where(length > 0, length, 1.0)[:, None]
             return vector_array(rows[length > 0], length > 0)
 
+        @F.arrow_udf(VECTOR)
+        def embed(texts: pa.Array) -> pa.Array:
+            return pa.concat_arrays([part(some) for some in byte_slices(texts)])
+
         return embed(F.lower(text))
 
     def columns(self, *texts: Column) -> Column:

@@ -98,3 +98,15 @@ def test_rejects_are_set_aside_one_by_one(spark):
 def test_typing_marks_but_drops_nothing(spark):
     raw = spark.createDataFrame(ROWS, "external_id string, description string, rooms string")
     assert to_table_types(clean_listings(raw)).count() == len(ROWS)
+
+
+def test_a_worker_takes_texts_apart_in_slices_of_bytes():
+    import pyarrow as pa
+
+    from dwellspark.functions.text import byte_slices
+
+    for texts in ([], [None], ["a" * n if n % 5 else None for n in range(60)], ["x", "y" * 500, "", "z"]):
+        given = pa.array(texts, pa.string())
+        parts = list(byte_slices(given, 100))
+        assert pa.concat_arrays(parts).to_pylist() == texts
+        assert all(sum(len(t or "") for t in p.to_pylist()[1:]) < 100 for p in parts)
