@@ -65,41 +65,46 @@ def full_batch(batch: DataFrame, loaded_at: datetime) -> DataFrame:
     return batch.select(KEY, *[value.cast(LISTING[name].dataType).alias(name) for name, value in values.items()])
 
 
-def compare_batch(target: DataFrame, batch: DataFrame, loaded_at: datetime) -> DataFrame:
-    """The batch (one row per key) with what the table has of its keys, and a ``status``: inserted, updated or late.
+def compare_batch(target: DataFrame, times: DataFrame, loaded_at: datetime, last: int) -> DataFrame:
+    """What becomes of the rows of a batch: the columns of ``times``, ``id``, ``created_at`` and ``status``, written once.
 
-    A late row was scraped before the one that the table has. At equal times the load counts, so that
-    the same scrape can be corrected. One join with four columns of the table, written once; how to
-    join is left to Spark: it broadcasts a small batch.
+    ``times`` has the key and ``scraped_at`` of each row, and what else tells rows apart. A late row was scraped before the
+    one that the table has. At equal times the load counts, so that the same scrape can be corrected. New keys get
+    the ids after ``last``. Only these columns are joined, numbered and written; how to join is left to Spark.
     """
     stored = target.select(KEY, "id", "created_at", F.col("scraped_at").alias("_stored"))
     status = F.when(F.col("id").isNull(), "inserted").when(F.col("scraped_at") < F.col("_stored"), "late").otherwise("updated")
-    return cut_lineage(full_batch(batch, loaded_at).join(stored, KEY, "left").withColumn("status", status).drop("_stored"))
+    compared = cut_lineage(times.join(stored, KEY, "left").withColumn("status", status).drop("_stored"))
+    new = assign_ids(compared.where("status = 'inserted'").drop("id"), last)
+    new = new.withColumn("created_at", F.lit(loaded_at).cast(LISTING["created_at"].dataType))
+    return cut_lineage(compared.where("status <> 'inserted'").unionByName(new))
 
 
-def changed_listings(compared: DataFrame, loaded_at: datetime, last: int) -> DataFrame:
-    """The rows that a compared batch changes or adds, with their ``status``.
+def changed_listings(compared: DataFrame, batch: DataFrame, loaded_at: datetime, by: str = KEY) -> DataFrame:
+    """The rows that a compared batch changes or adds, with their ``status``; ``by`` tells its rows apart.
 
-    Known keys keep id and created_at and take the batch's data, whole; new keys get the ids
-    after ``last``; late rows change nothing.
+    Known keys keep id and created_at and take the batch's data, whole; late rows change nothing. The only
+    step of a load that joins whole rows.
     """
-    now = F.lit(loaded_at)
-    known = compared.where("status = 'updated'")
-    new = assign_ids(compared.where("status = 'inserted'").drop("id"), last).withColumn("created_at", now)
-    rows = known.unionByName(new).withColumn("updated_at", now)
+    decided = compared.where("status <> 'late'").select(by, "id", "created_at", "status")
+    rows = batch.join(decided, by).withColumn("updated_at", F.lit(loaded_at))
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in LISTING], "status")
 
 
 def upsert_listings(target: DataFrame, batch: DataFrame, loaded_at: datetime) -> DataFrame:
     """The table after the load, with a ``status`` per row: inserted, updated or kept.
 
-    ``batch`` has one row per key. A key keeps the row that was scraped last, so loads may come in
-    any order. The store does not rewrite the table like this: it takes only the changed rows (see
-    ``ingest``).
+    ``batch`` should have one row per key; of rows that share one, or have none, each counts for itself. A key keeps the row
+    that was scraped last, so loads may come in any order. The store does not rewrite the table like this: it takes
+    only the changed rows (see ``ingest``). What changes is compared and numbered at once; the rows are put
+    together when the result is read.
     """
-    changed = cut_lineage(changed_listings(compare_batch(target, batch, loaded_at), loaded_at, last_id(target)))
-    kept = target.join(changed.select("id"), "id", "left_anti").select(*LISTING.names)
-    return kept.withColumn("status", F.lit("kept")).unionByName(changed)
+    by, whole = KEY, full_batch(batch, loaded_at)
+    if not whole.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col(KEY).isNull() | (F.col("n") > 1)).isEmpty():
+        by, whole = "_row", cut_lineage(whole.withColumn("_row", F.monotonically_increasing_id()))
+    compared = compare_batch(target, whole.select(*{KEY: 0, by: 0}, "scraped_at"), loaded_at, last_id(target))
+    kept = target.join(compared.where("status = 'updated'").select("id"), "id", "left_anti").select(*LISTING.names)
+    return kept.withColumn("status", F.lit("kept")).unionByName(changed_listings(compared, whole, loaded_at, by))
 
 
 def ids_of_keys(batch: DataFrame, listings: DataFrame) -> DataFrame:

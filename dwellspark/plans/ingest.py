@@ -11,7 +11,7 @@ from dwellspark.functions.text import strip_whitespace
 from dwellspark.operators.cleaning import clean_listings, split_rejects
 from dwellspark.operators.embedding import Embedder, embed_listings
 from dwellspark.operators.records import build_points
-from dwellspark.operators.upsert import changed_listings, compare_batch, dedup_by_key
+from dwellspark.operators.upsert import changed_listings, compare_batch, dedup_by_key, full_batch
 from dwellspark.schema import KEY, LISTING
 from dwellspark.session import cut_lineage, cuts_deleted
 from dwellspark.sources.snapshots import ID_BLOCKS
@@ -34,11 +34,11 @@ class Load:
     stats: DataFrame
 
 
-def prepare(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prepare(raw: DataFrame, cut: bool = False) -> tuple[DataFrame, DataFrame]:
     """Typed rows with ``unread``, how many of their values could not be read, and the rejected rows.
 
     ``source_order`` tells which of two rows is later; rows without one count in the order
-    in which they come.
+    in which they come. With ``cut`` the feed is read and cleaned once, for both.
     """
     if "source_order" not in raw.columns:
         raw = raw.withColumn("source_order", F.monotonically_increasing_id())
@@ -47,7 +47,8 @@ def prepare(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = raw.withColumn("_said", said)
     if "scraped_at" in raw.columns:
         typed = typed.withColumn("scraped_at", F.col("scraped_at").try_cast("timestamp"))
-    good, rejects = split_rejects(clean_listings(typed))
+    cleaned = clean_listings(typed)
+    good, rejects = split_rejects(cut_lineage(cleaned) if cut else cleaned)
     lost = [F.when(F.col(f"_said.{n}") & F.col(n).isNull(), 1).otherwise(0) for n in given]
     return good.withColumn("unread", sum(lost, F.lit(0))).drop("_said"), rejects.drop("_said", "source_order")
 
@@ -89,16 +90,18 @@ def ingest(
         return _loaded(spark, root, known)
     made = replace(last, number=last.number + 1, folder=new_load(root, last.number + 1), base=False, epoch=last.epoch if epoch is None else epoch)
     with cuts_deleted(spark):
-        good, rejects = prepare(raw)
+        good, rejects = prepare(raw, cut=True)
         made = replace(made, rejects=f"{made.folder}/rejects")
         rejects.write.parquet(made.rejects)
         own = F.col("scraped_at") if "scraped_at" in good.columns else F.lit(None).cast("timestamp")
         good = good.withColumn("scraped_at", F.coalesce(own, F.lit(loaded_at)))
         order = ["scraped_at", "source_order"]
-        good = cut_lineage(good.select(KEY, *[c for c in good.columns if c != KEY and c in {*LISTING.names, *order, "unread"}]))
-        batch = dedup_by_key(good, latest=order).drop("unread")
-        compared = compare_batch(read_table(spark, root, "listings", known), batch, loaded_at)
-        rows = changed_listings(compared, loaded_at, last.last_id)
+        good = good.select(KEY, *[c for c in good.columns if c != KEY and c in {*LISTING.names, *order, "unread"}])
+        # The row of a key that counts has its greatest time, so times are compared without whole rows.
+        times = good.groupBy(KEY).agg(F.max("scraped_at").alias("scraped_at"))
+        compared = compare_batch(read_table(spark, root, "listings", known), times, loaded_at, last.last_id)
+        batch = full_batch(dedup_by_key(good, latest=order).drop("unread"), loaded_at)
+        rows = changed_listings(compared, batch, loaded_at)
         rows = write_load(rows.drop("status"), made.folder, "listings", last.blocks)
         write_load(points_of(rows, embedder), made.folder, "index", last.blocks)
         sums = good.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("unread"), F.lit(0)).alias("unread")).first()

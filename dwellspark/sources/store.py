@@ -128,8 +128,8 @@ def compact(spark: SparkSession, root: str, blocks: int | None = None) -> Commit
 
 
 def write_load(rows: DataFrame, folder: str, name: str, blocks: int) -> DataFrame:
-    """The rows that a load changed, in few files; read back."""
+    """The rows that a load changed, in as many files as they have partitions; read back."""
     if name == "listings":
         rows = rows.withColumn("id_block", id_block(F.col("id"), blocks))
-    rows.hint("rebalance").write.parquet(f"{folder}/{name}")
+    rows.write.parquet(f"{folder}/{name}")
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")

@@ -388,3 +388,18 @@ def test_a_model_is_loaded_once_per_worker_for_both_texts(spark, tmp_path):
     assert 1 <= len(list(tmp_path.iterdir())) <= 8  # workers, not the 40 tasks
     with pytest.raises(Exception, match="gives 2 values, not 3"):
         embed_column(rows, "description", ModelEmbedder(str(tmp_path), 3, load=CountingModel)).collect()
+
+
+def test_times_and_keys_alone_are_compared_and_rows_that_share_a_key_count_each(spark):
+    from dwellspark.operators.upsert import changed_listings, compare_batch, full_batch
+
+    now = datetime(2024, 5, 1, tzinfo=timezone.utc)
+    rows = spark.createDataFrame([("a", "one"), ("b", "two"), ("b", "three"), (None, "four")], "external_id string, description string")
+    first = upsert_listings(spark.createDataFrame([], LISTING), rows, now)
+    assert sorted(r.description for r in first.collect()) == ["four", "one", "three", "two"]
+    assert sorted(r.id for r in first.collect()) == [1, 2, 3, 4] and {r.status for r in first.collect()} == {"inserted"}
+    table = upsert_listings(spark.createDataFrame([], LISTING), rows.limit(1), now).drop("status")
+    batch = full_batch(spark.createDataFrame([("a", "new"), ("c", "other")], "external_id string, description string"), now)
+    compared = compare_batch(table, batch.select("external_id", "scraped_at"), now, 1)
+    assert "description" not in compared.columns
+    assert sorted((r.id, r.description, r.status) for r in changed_listings(compared, batch, now).collect()) == [(1, "new", "updated"), (2, "other", "inserted")]
