@@ -403,3 +403,19 @@ def test_times_and_keys_alone_are_compared_and_rows_that_share_a_key_count_each(
     compared = compare_batch(table, batch.select("external_id", "scraped_at"), now, 1)
     assert "description" not in compared.columns
     assert sorted((r.id, r.description, r.status) for r in changed_listings(compared, batch, now).collect()) == [(1, "new", "updated"), (2, "other", "inserted")]
+
+
+def test_a_feed_is_written_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    from dwellspark.plans import registered
+
+    written = []
+    monkeypatch.setattr(registered, "FEED_FILE_ROWS", 10)
+    monkeypatch.setattr(registered, "stream_ingest", lambda s, landing, *a, **k: written.append((len(s.read.json(landing).inputFiles()), k["files_per_load"])) or type("Q", (), {"awaitTermination": lambda self: None})())
+    monkeypatch.setattr(registered, "compact", lambda *a: None)
+    monkeypatch.setattr(registered, "read_table", lambda s, *a: s.createDataFrame([], LISTING))
+    spark.range(100).selectExpr(
+        "id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type", "cast(id as int) as p_size", "1.0D as p_retailprice"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(100).selectExpr("id as doc_id", "'text' as text").write.parquet(f"{tmp_path}/documents.parquet")
+    registered.stream_flow(spark, str(tmp_path))
+    assert written == [(12, 8), (12, 8)]
